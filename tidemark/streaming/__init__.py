@@ -1,0 +1,2 @@
+"""Intentionally empty: every input of this analysis is a complete table, so
+there is no streaming surface to offer."""

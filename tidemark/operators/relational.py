@@ -115,20 +115,25 @@ def pick(df: DataFrame, wanted) -> DataFrame:
     return df.select(*[c for c in df.columns if c in keep])
 
 
-def grid(df: DataFrame, values: DataFrame, col: str, within=(), chunks: int = 8) -> DataFrame:
+def grid(
+    df: DataFrame, values: DataFrame, col: str, within=(), chunks: int = 1, minus: str | None = None
+) -> DataFrame:
     """Every row of ``df`` with every distinct value of ``values[col]``, within
     groups of the ``within`` columns when given.
 
     The value list is cut by hash into ``chunks`` arrays per group; rows meet the
     arrays by an equi-join on (group, chunk) and are exploded in place, so the
-    product is never shuffled and no side has to fit one task.
+    product itself is never shuffled.  Raise ``chunks`` for a very long list.
+    ``minus`` names an array column of ``df`` with values to leave out.
     """
     within = _names(within)
     lists = (
-        values.select(*within, col).distinct()
+        values.select(*within, col).where(F.col(col).isNotNull()).distinct()
         .groupBy(*within, F.pmod(F.xxhash64(col), F.lit(chunks)).cast("int").alias("__chunk"))
-        .agg(F.collect_list(F.struct(F.col(col).alias("v"))).alias("__values"))
+        .agg(F.collect_list(col).alias("__values"))
     )
     rows = df.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     out = merge(rows, lists, by=within + ["__chunk"])
-    return out.withColumn("__v", F.explode("__values")).select(*df.columns, F.col("__v.v").alias(col))
+    vals = F.col("__values") if minus is None else F.array_except("__values", minus)
+    cols = [c for c in df.columns if c != minus]
+    return out.select(*cols, F.explode(vals).alias(col))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,13 @@ def build(master: str | None = None, **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for written tables, inside the cluster's shared checkpoint
+    folder; a temporary one only where the session names none (local tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="tidemark-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder.
 

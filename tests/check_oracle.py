@@ -79,7 +79,8 @@ def main():
 
     args = sys.argv[1:]
     folder = args.pop(0) if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
-    spark = session.build("local[8]", spark_sql_shuffle_partitions="8", spark_ui_enabled="false", spark_driver_memory="12g")
+    spark = session.build("local[8]", spark_sql_shuffle_partitions="8", spark_ui_enabled="false", spark_driver_memory="12g",
+                          spark_ui_showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     qs, sqls = entry.queries(), entry.oracle_sql()

@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None, fl: str = "", d: int = 6):
 
         QUERIES[name] = run
         if sql:
-            text = sql
+            text = f"SELECT * FROM ({sql})"
             if digits:
                 repl = ", ".join(f'floor("{c}" * 1e{n} + 0.5) / 1e{n} AS "{c}"' for c, n in digits.items())
                 text = f"SELECT * REPLACE ({repl}) FROM ({sql})"

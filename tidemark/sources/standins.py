@@ -12,8 +12,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geo import bin_mid
 from ..functions.text import capitalize
-from ..operators.relational import grid
+from ..operators.relational import grid, merge
+from ..operators.survey import survey_landings_panel, zero_fill_summary
 from .tables import rectangle
 
 # -- fixed values of the stand-ins ---------------------------------------------
@@ -75,7 +77,7 @@ class View:
             F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("n")
         )
         d = d.join(o.select("o_orderkey", "o_orderdate"), d.l_orderkey == F.col("o_orderkey"))
-        miss = F.col("q").cast("long") % 17 == 0
+        miss = (F.col("l_orderkey") * 7 + F.col("q").cast("long")) % 997 == 0
         return d.select(
             F.concat(F.year("o_orderdate").cast("string"), F.lit("-"), F.col("o_orderkey").cast("string")).alias("haulid"),
             F.concat(F.lower("p_type"), F.lit(" marina_Atl")).alias("sppocean"),
@@ -249,6 +251,20 @@ class View:
         ).withColumn("grp", (F.col("user_id") % 3).cast("int"))
 
 
+    def bin_landings(self) -> DataFrame:
+        t = self.trips().withColumn("lat_bin", bin_mid("declat", 30, 46)).where(F.col("lat_bin").isNotNull())
+        names = self.stock_map().select("VTR_sppcode", "spp").distinct()
+        t = merge(t, names, by_x="sppcode", by_y="VTR_sppcode", nulls="drop")
+        return t.groupBy("spp", "lat_bin", "year").agg(F.sum("qtykept").alias("tl_mt"))
+
+    def bio_panel(self) -> DataFrame:
+        """Species by latitude bin and year: survey means and landings."""
+        h = self.hauls().withColumn("lat_bin", bin_mid("lat", 30, 46)).where(F.col("lat_bin").isNotNull())
+        h = h.withColumnsRenamed({"SBT_seasonal": "SBT", "SST_seasonal_mean": "SST"})
+        s = zero_fill_summary(self.catch_spp(), h, ["lat_bin", "year"], strict=("SBT", "SST", "SBT_max", "SST_max"), skip=("depth",))
+        return survey_landings_panel(s.drop("wtcpue_skip"), self.bin_landings(), ["spp", "lat_bin", "year"], "tl_mt").drop("tl_mt")
+
+
 def _stockid(region, half):
     return F.concat("p_type", F.lit("-"), region.cast("string"), F.when(half == 1, "b").otherwise(""))
 
@@ -280,9 +296,9 @@ SQL = {
               FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)""",
     "v_catch": """
         SELECT year(o_orderdate) || '-' || o_orderkey AS haulid, lower(p_type) || ' marina_Atl' AS sppocean,
-               CASE WHEN CAST(q AS BIGINT) % 17 = 0 THEN CAST(-9999 AS DOUBLE) ELSE q END AS wtcpue,
+               CASE WHEN (l_orderkey * 7 + CAST(q AS BIGINT)) % 997 = 0 THEN CAST(-9999 AS DOUBLE) ELSE q END AS wtcpue,
                CASE WHEN n = 3 THEN CAST(-9999 AS DOUBLE) ELSE CAST(n AS DOUBLE) END AS cntcpue,
-               CASE WHEN CAST(q AS BIGINT) % 17 <> 0 THEN ln(q) END AS logwtcpue, TRUE AS presfit
+               CASE WHEN (l_orderkey * 7 + CAST(q AS BIGINT)) % 997 <> 0 THEN ln(q) END AS logwtcpue, TRUE AS presfit
         FROM (SELECT l_orderkey, p_type, sum(l_quantity) AS q, count(*) AS n
               FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) JOIN orders ON l_orderkey = o_orderkey""",
     "v_catch_spp": """
@@ -363,6 +379,21 @@ SQL = {
     "v_areas_old": """
         SELECT CAST(300000 + s_suppkey AS INTEGER) AS "STAT_AREA", CAST(s_suppkey % 90 - 179 AS DOUBLE) AS lon,
                CAST(s_suppkey % 25 + 48 AS DOUBLE) AS lat FROM supplier WHERE s_suppkey % 3 = 0""",
+    "v_zero": """
+        SELECT h.*, s.spp, c.haulid IS NOT NULL AS pres2, nullif(coalesce(c.wtcpue, 0), -9999) AS wtcpue,
+               ln(CASE WHEN nullif(coalesce(c.wtcpue, 0), -9999) = 0 THEN CAST(1e-4 AS DOUBLE) ELSE nullif(coalesce(c.wtcpue, 0), -9999) END) AS wtcpuenal,
+               CASE WHEN lat > 30 AND lat <= 46 THEN ceil(lat) - CAST(0.5 AS DOUBLE) END AS lat_bin
+        FROM v_hauls h CROSS JOIN (SELECT DISTINCT spp FROM v_catch_spp) s LEFT JOIN v_catch_spp c ON c.haulid = h.haulid AND c.spp = s.spp""",
+    "v_bin_landings": """
+        SELECT spp, ceil(declat) - CAST(0.5 AS DOUBLE) AS lat_bin, year, sum(qtykept) AS tl_mt FROM v_trips
+        JOIN (SELECT DISTINCT "VTR_sppcode" AS sppcode, spp FROM v_stock_map) USING (sppcode) WHERE declat > 30 AND declat <= 46 GROUP BY 1, 2, 3""",
+    "v_bio_panel": """
+        SELECT b.*, coalesce(l.tl_mt, 0) AS land_mt FROM (
+            SELECT spp, lat_bin, year, avg(CAST(pres2 AS INTEGER)) AS pres2, CASE WHEN count(*) = count(wtcpue) THEN avg(wtcpue) END AS wtcpue,
+                   CASE WHEN count(*) = count(wtcpue) THEN avg(wtcpuenal) END AS wtcpuenal,
+                   avg("SBT_seasonal") AS "SBT", avg("SST_seasonal_mean") AS "SST",
+                   CASE WHEN count(*) = count("SBT_max") THEN avg("SBT_max") END AS "SBT_max", avg("SST_max") AS "SST_max", avg(depth) AS depth, count(*) AS num_hauls
+            FROM v_zero WHERE lat_bin IS NOT NULL GROUP BY 1, 2, 3) b LEFT JOIN v_bin_landings l USING (spp, lat_bin, year)""",
     "v_panel": """
         SELECT user_id, CAST(dayofmonth(ts) AS INTEGER) AS day, avg(value) AS y, CAST(count(*) AS DOUBLE) AS x,
                sum(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END)::DOUBLE AS clicks,

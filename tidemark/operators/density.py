@@ -18,15 +18,17 @@ from .relational import merge
 
 
 def _binned(rows: DataFrame, by, x: str, w: str, lo: float, step: float, n: int) -> DataFrame:
+    """Mass per cell; what falls off the grid is kept under a NULL cell."""
     pos = (F.col(x) - F.lit(lo)) / F.lit(step)
-    cell = F.floor(pos).cast("int")
+    left = F.floor(pos).cast("int")
     right = pos - F.floor(pos)
     parts = F.array(
-        F.struct(cell.alias("cell"), (F.col(w) * (F.lit(1.0) - right)).alias("mass")),
-        F.struct((cell + 1).alias("cell"), (F.col(w) * right).alias("mass")),
+        F.struct(left.alias("cell"), (F.col(w) * (F.lit(1.0) - right)).alias("mass")),
+        F.struct((left + 1).alias("cell"), (F.col(w) * right).alias("mass")),
     )
     d = rows.select(*by, F.explode(parts).alias("p")).select(*by, "p.cell", "p.mass")
-    return d.where((F.col("cell") >= 0) & (F.col("cell") < n)).groupBy(*by, "cell").agg(F.sum("mass").alias("mass"))
+    d = d.withColumn("cell", F.when(F.col("cell").between(0, n - 1), F.col("cell")))
+    return d.groupBy(*by, "cell").agg(F.sum("mass").alias("mass"))
 
 
 def kernel_density(df: DataFrame, by, x: str, w: str, lo: float, hi: float, bw: float, n: int = 512) -> DataFrame:
@@ -41,9 +43,8 @@ def kernel_density(df: DataFrame, by, x: str, w: str, lo: float, hi: float, bw:
     start, step = lo - 4 * bw, (hi - lo + 8 * bw) / (n - 1)
     cells = _binned(rows, by, x, w, start, step, n)
     # at most n cells a group, so the list is bounded
-    mass = cells.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("cell", "mass"))).alias("c"))
-    total = rows.groupBy(*by).agg(F.sum(w).alias("total"))
-    mass = merge(mass, total, by=by)
+    on_grid = F.when(F.col("cell").isNotNull(), F.struct("cell", "mass"))
+    mass = cells.groupBy(*by).agg(F.sort_array(F.collect_list(on_grid)).alias("c"), F.sum("mass").alias("total"))
     at = np.linspace(lo, hi, n)
     centres = start + step * np.arange(n)
     kernel = np.exp(-0.5 * ((at[:, None] - centres[None, :]) / bw) ** 2) / (bw * np.sqrt(2 * np.pi))

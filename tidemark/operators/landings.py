@@ -115,8 +115,8 @@ def estimated_landings(state_stock: DataFrame, density: DataFrame, first_year=19
 
 def area_landings_by_lat(land: DataFrame, key: DataFrame, stock_map: DataFrame) -> DataFrame:
     """Stat-area landings named, limited to each stock's areas, summed by latitude."""
-    j = merge(land, key.select("NESPP3", "spp"), by="NESPP3", how="left").withColumn("year", F.col("YEAR"))
-    j = merge(j.drop("YEAR"), stock_map.select("spp", "StatArea", "RAM_stockid"), by_x=["spp", "AREA"], by_y=["spp", "StatArea"])
+    j = merge(land, key.select("NESPP3", "spp"), by="NESPP3", how="left").withColumnRenamed("YEAR", "year")
+    j = merge(j, stock_map.select("spp", "StatArea", "RAM_stockid"), by_x=["spp", "AREA"], by_y=["spp", "StatArea"])
     return j.groupBy("spp", "RAM_stockid", "year", "lat").agg(skip_sum("SPPLIVMT").alias("tl_mt")).withColumn(
         "source", F.lit("catch_dat")
     )

@@ -65,44 +65,45 @@ def demean(df: DataFrame, by, cols, prefix="fe_", mean_of: dict[str, str] | None
     return out.drop(*[f"__m_{c}" for c in cols])
 
 
-def row_shift(df: DataFrame, by, order: str, cols: dict[str, str], n: int = 1, slab: Column | None = None) -> DataFrame:
+def row_shift(df: DataFrame, by, order: str, cols: dict, n: int = 1, slab: Column | None = None) -> DataFrame:
     """Value ``n`` rows before (``n`` > 0) or after (``n`` < 0) in ``order``.
 
-    ``cols`` maps new names to source columns and ``order`` must be unique in a
-    group.  With ``slab`` - a non-decreasing function of ``order``, such as its
-    decade - a group is cut into slabs that are sorted in separate tasks; the
-    few rows that look across a slab border take their value from a table of
-    slab ends.  Without it a group must be small, as a panel unit is.
+    ``cols`` maps new names to source columns, or to (column, distance) pairs to
+    take several distances in one pass.  ``order`` must be unique in a group.
+    With ``slab`` - a non-decreasing function of ``order``, such as its decade -
+    a group is cut into slabs that are sorted in separate tasks; the few rows
+    that look across a slab border take their value from a table of slab ends.
+    Without it a group must be small, as a panel unit is.
     """
-    by, k = _names(by), abs(n)
-    shift = (lambda c, w: F.lag(c, k).over(w)) if n > 0 else (lambda c, w: F.lead(c, k).over(w))
+    by = _names(by)
+    want = {name: (c, abs(n)) if isinstance(c, str) else c for name, c in cols.items()}
+    shift = F.lag if n > 0 else F.lead
     if slab is None:
         w = Window.partitionBy(*by).orderBy(order)
-        return df.withColumns({name: shift(c, w) for name, c in cols.items()})
-    src = sorted(set(cols.values()))
-    direction = F.asc if n > 0 else F.desc
+        return df.withColumns({name: shift(c, k).over(w) for name, (c, k) in want.items()})
+    src, far = sorted({c for c, _ in want.values()}), max(k for _, k in want.values())
+    toward, away = (F.asc, F.desc) if n > 0 else (F.desc, F.asc)
     d = df.withColumn("__slab", slab)
-    w = Window.partitionBy(*by, "__slab").orderBy(direction(order))
-    d = d.withColumn("__rn", F.row_number().over(w))
-    d = d.withColumns({f"__s_{c}": F.lag(c, k).over(w) for c in src})
-    # The last k rows of a slab in looking direction: bounded by k.
-    wend = Window.partitionBy(*by, "__slab").orderBy(F.desc(order) if n > 0 else F.asc(order))
+    w = Window.partitionBy(*by, "__slab").orderBy(toward(order))
+    here = d.withColumn("__rn", F.row_number().over(w))
+    here = here.withColumns({f"__s_{name}": F.lag(c, k).over(w) for name, (c, k) in want.items()})
+    # The last rows of a slab in looking direction: at most ``far`` of them.
+    back = F.row_number().over(Window.partitionBy(*by, "__slab").orderBy(away(order)))
     ends = (
-        df.withColumn("__slab", slab).withColumn("__e", F.row_number().over(wend)).where(F.col("__e") <= k)
-        .groupBy(*by, "__slab")
+        d.withColumn("__e", back).where(F.col("__e") <= far).groupBy(*by, "__slab")
         .agg(F.sort_array(F.collect_list(F.struct(F.col("__e"), *src)), asc=False).alias("__end"))
     )
-    # Every slab holds at least one row, so the k slabs before hold the k rows.
-    wprev = Window.partitionBy(*by).orderBy(direction("__slab")).rowsBetween(-k, -1)
-    ends = ends.withColumn("__prev", F.flatten(F.collect_list("__end").over(wprev))).drop("__end")
-    j = merge(d, ends, by=by + ["__slab"], how="left")
-    at = F.size("__prev") - F.lit(k) + F.col("__rn")  # 1-based, only for __rn <= k
-    old = F.when((F.col("__rn") <= k) & (at >= 1), F.try_element_at("__prev", at))
-    j = j.withColumn("__old", old)
-    out = {
-        name: F.when(F.col("__rn") <= k, F.col(f"__old.`{c}`")).otherwise(F.col(f"__s_{c}")) for name, c in cols.items()
-    }
-    return j.select(*df.columns, *[v.alias(name) for name, v in out.items()])
+    # Every slab holds at least one row, so ``far`` slabs hold ``far`` rows.
+    before = Window.partitionBy(*by).orderBy(toward("__slab")).rowsBetween(-far, -1)
+    ends = ends.withColumn("__prev", F.flatten(F.collect_list("__end").over(before))).drop("__end")
+    j = merge(here, ends, by=by + ["__slab"], how="left")
+
+    def value(name, c, k):
+        at = F.size("__prev") - F.lit(k) + F.col("__rn")  # 1-based place in the rows before
+        old = F.when(at >= 1, F.try_element_at("__prev", at))[c]
+        return F.when(F.col("__rn") <= k, old).otherwise(F.col(f"__s_{name}")).alias(name)
+
+    return j.select(*df.columns, *[value(name, c, k) for name, (c, k) in want.items()])
 
 
 def calendar_lag(df: DataFrame, unit, time: str, cols: dict[str, str], k: int = 1) -> DataFrame:
@@ -144,6 +145,4 @@ def neighbour(
 
 def spread_lags(df: DataFrame, by, order: str, vars_, lags=(1, 2, 3), slab: Column | None = None) -> DataFrame:
     """``lag<k>_<var>`` for every variable and lag."""
-    for k in lags:
-        df = row_shift(df, by, order, {f"lag{k}_{v}": v for v in vars_}, k, slab)
-    return df
+    return row_shift(df, by, order, {f"lag{k}_{v}": (v, k) for k in lags for v in vars_}, 1, slab)

@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None, fl: str = "", d: int = 6):
         if sql:
             text = f"SELECT * FROM ({sql})"
             if digits:
-                repl = ", ".join(f'floor("{c}" * 1e{n} + 0.5) / 1e{n} AS "{c}"' for c, n in digits.items())
+                repl = ", ".join(f'floor("{c}" * 1e{n} + 0.501) / 1e{n} AS "{c}"' for c, n in digits.items())
                 text = f"SELECT * REPLACE ({repl}) FROM ({sql})"
             ORACLE[name] = with_views(text, VIEWS)
         return fn
@@ -43,4 +43,5 @@ def query(name: str, sql: str | None = None, fl: str = "", d: int = 6):
 
 
 def rounded(x, n: int):
-    return F.floor(x * F.lit(10.0**n) + F.lit(0.5)).cast("double") / F.lit(10.0**n)
+    """Round half up; a tie stays a tie under the noise of a distributed sum."""
+    return F.floor(x * F.lit(10.0**n) + F.lit(0.501)).cast("double") / F.lit(10.0**n)

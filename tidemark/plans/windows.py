@@ -86,9 +86,8 @@ def _(v):
     SELECT user_id, event_id, lag(value, 2) OVER w AS back2, lag(value, 1) OVER w AS back1 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
 def _(v):
     d = v.table("events").select("user_id", "event_id", "value")
-    for k in (2, 1):
-        d = P.row_shift(d, "user_id", "event_id", {f"back{k}": "value"}, k, slab=F.floor(F.col("event_id") / 1000))
-    return d.drop("value")
+    back = {"back2": ("value", 2), "back1": ("value", 1)}
+    return P.row_shift(d, "user_id", "event_id", back, slab=F.floor(F.col("event_id") / 1000)).drop("value")
 
 
 @query("f9_row_lead", """

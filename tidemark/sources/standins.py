@@ -16,6 +16,7 @@ from ..functions.geo import bin_mid
 from ..functions.text import capitalize
 from ..operators.relational import grid, merge
 from ..operators.survey import survey_landings_panel, zero_fill_summary
+from ..session import cut
 from .tables import rectangle
 
 # -- fixed values of the stand-ins ---------------------------------------------
@@ -258,11 +259,16 @@ class View:
         return t.groupBy("spp", "lat_bin", "year").agg(F.sum("qtykept").alias("tl_mt"))
 
     def bio_panel(self) -> DataFrame:
-        """Species by latitude bin and year: survey means and landings."""
+        """Species by latitude bin and year: survey means and landings.
+
+        Stored, as the panel is the hand-over between the survey summary and
+        the models, which read it several times.
+        """
         h = self.hauls().withColumn("lat_bin", bin_mid("lat", 30, 46)).where(F.col("lat_bin").isNotNull())
         h = h.withColumnsRenamed({"SBT_seasonal": "SBT", "SST_seasonal_mean": "SST"})
         s = zero_fill_summary(self.catch_spp(), h, ["lat_bin", "year"], strict=("SBT", "SST", "SBT_max", "SST_max"), skip=("depth",))
-        return survey_landings_panel(s.drop("wtcpue_skip"), self.bin_landings(), ["spp", "lat_bin", "year"], "tl_mt").drop("tl_mt")
+        s = s.drop("wtcpue_skip")
+        return cut(survey_landings_panel(s, self.bin_landings(), ["spp", "lat_bin", "year"], "tl_mt").drop("tl_mt"))
 
 
 def _stockid(region, half):

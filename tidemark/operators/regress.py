@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import fill
 from ..functions.tails import chi2_upper, f_upper, t_two_sided
+from ..session import cut
 from .panel import row_shift, with_stats
 from .relational import _names, merge
 
@@ -26,7 +27,7 @@ TERM_SCHEMA = "term string, est double, se double, t double, p double, n long, d
 # -- sums ----------------------------------------------------------------------
 
 def moments(df: DataFrame, cols, by, within=()) -> DataFrame:
-    """Per ``by`` group over complete rows: ``n``, ``g`` (groups of ``within``),
+    """Per ``by`` group over complete rows: ``n``, ``n_units`` (groups of ``within``),
     overall ``mean``, ``cross`` centred on the ``within`` groups and ``raw``
     uncentred cross products (flattened upper triangles)."""
     cols, by, within = list(cols), _names(by), _names(within)
@@ -34,7 +35,7 @@ def moments(df: DataFrame, cols, by, within=()) -> DataFrame:
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     nn = F.col("n").cast("double")
     m = [F.get("mean", F.lit(i)) for i in range(len(cols))]
-    aggs = [F.sum("n").alias("n"), F.count(F.lit(1)).alias("g")]
+    aggs = [F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_units")]
     aggs.append(F.array(*[F.sum(nn * x) / F.sum(nn) for x in m]).alias("mean"))
     aggs.append(F.array(*[F.sum(F.get("cross", F.lit(q))) for q in range(len(pairs))]).alias("cross"))
     aggs.append(
@@ -153,7 +154,7 @@ def fixed_effects(df: DataFrame, y: str, xs, by, unit) -> DataFrame:
     def one(r):
         s = full(r["cross"], len(xs) + 1)
         n = int(r["n"])
-        beta, cov, rss, dof, kept = solve(s[1:, 1:], s[1:, 0], s[0, 0], n, int(r["g"]))
+        beta, cov, rss, dof, kept = solve(s[1:, 1:], s[1:, 0], s[0, 0], n, int(r["n_units"]))
         r2 = 1 - rss / s[0, 0] if s[0, 0] > 0 else np.nan
         return [_row(xs[j], beta[i], np.sqrt(cov[i, i]), n, dof, r2) for i, j in enumerate(kept)]
 
@@ -172,7 +173,7 @@ def within_fit(df: DataFrame, y: str, xs, by, unit) -> DataFrame:
 
     def one(r):
         s = full(r["cross"], q + 1)
-        beta, cov, rss, dof, kept = solve(s[1:, 1:], s[1:, 0], s[0, 0], int(r["n"]), int(r["g"]))
+        beta, cov, rss, dof, kept = solve(s[1:, 1:], s[1:, 0], s[0, 0], int(r["n"]), int(r["n_units"]))
         b, v = np.zeros(q), np.zeros((q, q))
         b[kept] = beta
         v[np.ix_(kept, kept)] = cov
@@ -223,23 +224,35 @@ def significant(table: DataFrame, var: str, sign: int, alpha: float) -> DataFram
 
 # -- two-way effects ---------------------------------------------------------------
 
-def two_way_demean(df: DataFrame, cols, unit, time, by=(), passes: int = 6) -> DataFrame:
-    """Remove unit and time means by alternating passes (one is exact on a
-    balanced panel).  Incomplete rows drop out first.  ``df`` should be stored,
-    as every pass reads it."""
+def two_way_demean(df: DataFrame, cols, unit: str, time: str, by=(), passes: int = 8) -> DataFrame:
+    """Remove unit and time means (``tw_*``) by alternating passes; one pass is
+    exact on a balanced panel.  Incomplete rows drop out first.
+
+    Only the unit and time effects are carried from pass to pass: each pass is
+    two aggregations of the stored rows, and the time effects are stored.
+    """
     cols, by = list(cols), _names(by)
-    d = df.dropna(subset=cols)
-    for c in cols:
-        d = d.withColumn(f"tw_{c}", F.col(c).cast("double"))
+    d = cut(df.dropna(subset=cols).withColumns({f"tw_{c}": F.col(c).cast("double") for c in cols}))
+
+    def effects(rows, level, other, mark):
+        keys = [*by, level]
+        x = {c: F.col(f"tw_{c}") for c in cols}
+        if other is not None:
+            j = merge(rows, other, by=[c for c in other.columns if not c.startswith("__")])
+            x = {c: F.col(f"tw_{c}") - F.col(f"__{'t' if mark == 'u' else 'u'}_{c}") for c in cols}
+            rows = j
+        return rows.groupBy(*keys).agg(*[F.avg(x[c]).alias(f"__{mark}_{c}") for c in cols])
+
+    times = None
     for _ in range(passes):
-        for g in (unit, time):
-            d = with_stats(d, [*by, *_names(g)], **{f"__m_{c}": F.avg(f"tw_{c}") for c in cols})
-            d = d.withColumns({f"tw_{c}": F.col(f"tw_{c}") - F.col(f"__m_{c}") for c in cols})
-            d = d.drop(*[f"__m_{c}" for c in cols])
-    return d
+        units = effects(d, unit, times, "u")
+        times = cut(effects(d, time, units, "t"))
+    out = merge(merge(d, units, by=[*by, unit]), times, by=[*by, time])
+    out = out.withColumns({f"tw_{c}": F.col(f"tw_{c}") - F.col(f"__u_{c}") - F.col(f"__t_{c}") for c in cols})
+    return out.select(*d.columns)
 
 
-def two_way_fixed_effects(df: DataFrame, y: str, xs, unit: str, time: str, by, passes: int = 6) -> DataFrame:
+def two_way_fixed_effects(df: DataFrame, y: str, xs, unit: str, time: str, by, passes: int = 8) -> DataFrame:
     """Within estimator with unit and time effects."""
     xs, by = list(xs), _names(by)
     d = two_way_demean(df, [y, *xs], unit, time, by, passes)
@@ -262,13 +275,13 @@ def _levels(d, by, unit, time):
 
 # -- instruments --------------------------------------------------------------------
 
-def two_stage(df: DataFrame, y: str, exog, endog, instruments, by, unit: str, time: str | None = None, passes: int = 6) -> DataFrame:
+def two_stage(df: DataFrame, y: str, exog, endog, instruments, by, unit: str, time: str | None = None, passes: int = 8) -> DataFrame:
     """Two-stage least squares within units, or within units and times."""
     exog, endog, instruments, by = list(exog), list(endog), list(instruments), _names(by)
     xs = [*exog, *endog]
     cols = [y, *xs, *instruments]
     if time is None:
-        stats = moments(df, cols, by, within=unit).withColumn("lost", F.col("g"))
+        stats = moments(df, cols, by, within=unit).withColumn("lost", F.col("n_units"))
         field = "cross"
     else:
         d = two_way_demean(df, cols, unit, time, by, passes)
@@ -343,7 +356,7 @@ def drop_one(df: DataFrame, y: str, xs, by, unit: str) -> DataFrame:
 
     def one(r):
         k = len(xs) + 1
-        s, raw, n, g = full(r["cross"], k), full(r["raw"], k), int(r["n"]), int(r["g"])
+        s, raw, n, g = full(r["cross"], k), full(r["raw"], k), int(r["n"]), int(r["n_units"])
         _, _, rss, dof, kept = solve(s[1:, 1:], s[1:, 0], s[0, 0], n, g)
         out = []
 

@@ -1 +1,301 @@
-"""pending"""
+"""Regression, panel, instrument, mixed and additive models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.missing import squeeze
+from ..operators import mixed as X
+from ..operators import panel as P
+from ..operators import regress as G
+from ..operators import relational as R
+from ..operators import smooth as A
+from ..session import cut
+from .registry import VIEWS, query
+from .shift import around, bias_and_intensity
+from .survey import growth
+
+UNIT = ["spp", "lat_bin"]
+
+VIEWS["v_lag"] = """
+    SELECT *, lag(land_mt) OVER w AS lag1_land, lag(wtcpuenal) OVER w AS lag1_bio, lag(pres2) OVER w AS lag1_pres, lag("SBT") OVER w AS lag1_sbt, lag("SST") OVER w AS lag1_sst
+    FROM v_bio_panel WINDOW w AS (PARTITION BY spp, lat_bin ORDER BY year)"""
+
+
+def lagged(v):
+    d = P.row_shift(v.bio_panel(), UNIT, "year", {
+        "lag1_land": "land_mt", "lag1_bio": "wtcpuenal", "lag1_pres": "pres2", "lag1_sbt": "SBT", "lag1_sst": "SST",
+        "lag2_land": ("land_mt", 2),
+    }, slab=F.floor(F.col("year") / 4))
+    return cut(d)
+
+
+def two(src, y, a, b, by, unit=None, raw=False):
+    """SQL of a fit on two regressors by Cramer's rule: b1, b2 and totals."""
+    src = f'SELECT * FROM ({src}) WHERE {y} IS NOT NULL AND {a} IS NOT NULL AND {b} IS NOT NULL'
+    keys = f"{by}, {unit}" if unit else by
+    pairs = {"yy": (y, y), "ya": (y, a), "yb": (y, b), "aa": (a, a), "ab": (a, b), "bb": (b, b)}
+    one = ", ".join(f"sum({p} * {q}) AS s{k}" if raw else f"covar_pop({p}, {q}) * count(*) AS s{k}" for k, (p, q) in pairs.items())
+    outer = ", ".join(f"sum(s{k}) AS s{k}" for k in pairs)
+    return f"""
+    SELECT *, syy - b1 * sya - b2 * syb AS rss FROM (SELECT *, (sya * sbb - syb * sab) / (saa * sbb - sab * sab) AS b1, (syb * saa - sya * sab) / (saa * sbb - sab * sab) AS b2 FROM (
+      SELECT {by}, sum(n) AS n, count(*) AS g, {outer}, sum(n * my) / sum(n) AS my, sum(n * ma) / sum(n) AS ma, sum(n * mb) / sum(n) AS mb FROM (
+        SELECT {keys}, count(*) AS n, avg({y}) AS my, avg({a}) AS ma, avg({b}) AS mb, {one} FROM ({src}) GROUP BY {keys}) GROUP BY {by}))"""
+
+
+def terms(sql, by, names, lost, intercept=False):
+    """Long form of ``two``: estimate, standard error, n, dof, r2 per term."""
+    dof = f"(n - {lost} - 2)"
+    s2 = f"rss / {dof}"
+    det = "(saa * sbb - sab * sab)"
+    tail = f"CAST(n AS BIGINT) AS n, CAST({dof} AS BIGINT) AS dof, 1 - rss / syy AS r2 FROM ({sql})"
+    parts = [
+        f"SELECT {by}, '{names[0]}' AS term, b1 AS est, sqrt({s2} * sbb / {det}) AS se, {tail}",
+        f"SELECT {by}, '{names[1]}' AS term, b2 AS est, sqrt({s2} * saa / {det}) AS se, {tail}",
+    ]
+    if intercept:
+        var = f"{s2} * (1.0 / n + (ma * ma * sbb - 2 * ma * mb * sab + mb * mb * saa) / {det})"
+        parts.append(f"SELECT {by}, '(Intercept)' AS term, my - b1 * ma - b2 * mb AS est, sqrt({var}) AS se, {tail}")
+    return " UNION ALL ".join(parts)
+
+
+def fit(df, *by):
+    return df.select(*by, "term", "est", "se", "n", "dof", "r2")
+
+
+_LINES = "SELECT l_returnflag AS flag, l_extendedprice / 1000 AS y, l_quantity AS q, l_discount * 100 AS d FROM lineitem"
+
+
+def _lines(v):
+    return v.table("lineitem").select(
+        F.col("l_returnflag").alias("flag"), (F.col("l_extendedprice") / 1000).alias("y"), F.col("l_quantity").alias("q"),
+        (F.col("l_discount") * 100).alias("d"), (F.col("l_tax") * 100).alias("t"),
+    )
+
+
+@query("k2_multiple_regression", terms(two(_LINES, "y", "q", "d", "flag"), "flag", ("q", "d"), 1, True), fl="est se r2")
+def _(v):
+    return fit(G.ols(_lines(v), "y", ["q", "d"], "flag"), "flag")
+
+
+@query("k2_regression_full")
+def _(v):
+    return G.ols(_lines(v), "y", ["q", "d", "t"], "flag")
+
+
+@query("k3_no_intercept", terms(two(_LINES, "y", "q", "d", "flag", raw=True), "flag", ("q", "d"), 0), fl="est se r2")
+def _(v):
+    return fit(G.ols(_lines(v), "y", ["q", "d"], "flag", intercept=False), "flag")
+
+
+@query("k3_growth_model")
+def _(v):
+    d = growth(v).where(F.col("season") == "fall")
+    return G.ols(d, "percap_log", ["sbt_diff", "bio_mt", "logLB"], "spp", intercept=False)
+
+
+_PANEL = 'SELECT spp, lat_bin, year, wtcpuenal AS y, "SBT" AS sbt, land_mt FROM v_bio_panel'
+
+
+@query("k4_dummy_regression", f"""
+    WITH f AS ({two(_PANEL, 'y', 'sbt', 'land_mt', 'spp', 'lat_bin')}),
+    u AS (SELECT spp, lat_bin, avg(y) AS my, avg(sbt) AS ma, avg(land_mt) AS mb FROM ({_PANEL}) WHERE y IS NOT NULL AND sbt IS NOT NULL GROUP BY 1, 2),
+    l AS (SELECT spp, avg(land_mt) AS mean_land FROM v_bio_panel GROUP BY 1),
+    t AS (SELECT spp, 'SBT' AS var, b1 AS est FROM f UNION ALL SELECT spp, 'land_mt', b2 FROM f
+      UNION ALL SELECT spp, 'lat_bin' || CAST(u.lat_bin AS VARCHAR), u.my - b1 * u.ma - b2 * u.mb FROM u JOIN f USING (spp))
+    SELECT spp, var, est, mean_land FROM t JOIN l USING (spp)""", fl="est mean_land")
+def _(v):
+    d = v.bio_panel()
+    return G.dummy_regression(d, "wtcpuenal", ["SBT", "land_mt"], "spp", "lat_bin", {"mean_land": F.avg("land_mt")}).drop("pval")
+
+
+@query("k4_dummy_regression_lagged")
+def _(v):
+    return G.dummy_regression(lagged(v), "wtcpuenal", ["SBT", "SST", "depth", "lag1_bio", "lag2_land"], "spp", "lat_bin", {"mean_land": F.avg("land_mt")})
+
+
+@query("k5_significant_terms")
+def _(v):
+    t = G.dummy_regression(lagged(v), "wtcpuenal", ["SBT", "SST", "depth", "lag1_bio", "land_mt"], "spp", "lat_bin")
+    up, down = (G.significant(t, "land_mt", s, 0.5).withColumn("sign", F.lit(s)) for s in (1, -1))
+    return up.unionByName(down)
+
+
+@query("k6_fixed_effects", terms(two(_PANEL, "y", "sbt", "land_mt", "spp", "lat_bin"), "spp", ("SBT", "land_mt"), "g"), fl="est:5 se:5 r2")
+def _(v):
+    return fit(G.fixed_effects(v.bio_panel(), "wtcpuenal", ["SBT", "land_mt"], "spp", "lat_bin"), "spp")
+
+
+@query("k6_fixed_effects_events", terms(two("SELECT grp, user_id, y, x, clicks FROM v_panel", "y", "x", "clicks", "grp", "user_id"), "grp", ("x", "clicks"), "g"), fl="est se r2")
+def _(v):
+    return fit(G.fixed_effects(v.panel(), "y", ["x", "clicks"], "grp", "user_id"), "grp")
+
+
+_TW = ", ".join(
+    f"{c} - avg({c}) OVER (PARTITION BY spp, lat_bin) - avg({c}) OVER (PARTITION BY spp, year) + avg({c}) OVER (PARTITION BY spp) AS {c}"
+    for c in ("y", "sbt", "sst")
+)
+_TWP = f'SELECT spp, lat_bin, year, {_TW} FROM (SELECT spp, lat_bin, year, pres2 AS y, "SBT" AS sbt, "SST" AS sst FROM v_bio_panel)'
+
+
+@query("k7_two_way_effects", f"""
+    WITH d AS ({_TWP}), t AS (SELECT spp, count(DISTINCT lat_bin) + count(DISTINCT year) - 1 AS lost FROM d GROUP BY 1)
+    {terms("SELECT * FROM (" + two("SELECT * FROM d", "y", "sbt", "sst", "spp", raw=True) + ") JOIN t USING (spp)", "spp", ("SBT", "SST"), "lost")}""", fl="est se r2")
+def _(v):
+    return fit(G.two_way_fixed_effects(v.bio_panel(), "pres2", ["SBT", "SST"], "lat_bin", "year", "spp", passes=1), "spp")
+
+
+@query("k7_two_way_unbalanced")
+def _(v):
+    d = v.panel()
+    return G.two_way_fixed_effects(d, "y", ["x", "clicks"], "user_id", "day", "grp")
+
+
+@query("k8_unit_effects", f"""
+    SELECT spp, lat_bin, u.my - b1 * u.ma - b2 * u.mb AS est FROM (SELECT spp, lat_bin, avg(y) AS my, avg(sbt) AS ma, avg(land_mt) AS mb FROM ({_PANEL}) WHERE y IS NOT NULL AND sbt IS NOT NULL GROUP BY 1, 2) u
+    JOIN ({two(_PANEL, 'y', 'sbt', 'land_mt', 'spp', 'lat_bin')}) f USING (spp)""", fl="est")
+def _(v):
+    return G.unit_effects(v.bio_panel(), "wtcpuenal", ["SBT", "land_mt"], "spp", "lat_bin").select("spp", "lat_bin", "est")
+
+
+_FE = """
+    SELECT spp, pres2 - avg(pres2) OVER u AS fy, lag1_land - avg(land_mt) OVER u AS fland, "SBT" - avg("SBT") OVER u AS fsbt FROM v_lag WINDOW u AS (PARTITION BY spp, lat_bin)"""
+
+
+@query("k9_manual_fixed_effects", terms(two(_FE, "fy", "fland", "fsbt", "spp"), "spp", ("fe_lag1_land", "fe_SBT"), 1, True), fl="est se r2")
+def _(v):
+    d = P.demean(lagged(v), UNIT, ["pres2", "lag1_land", "SBT"], mean_of={"lag1_land": "land_mt"})
+    return fit(G.ols(d, "fe_pres2", ["fe_lag1_land", "fe_SBT"], "spp"), "spp")
+
+
+_FD = """SELECT spp, wtcpuenal - lag1_bio AS dy, "SBT" - lag1_sbt AS dsbt, land_mt - lag1_land AS dland FROM v_lag"""
+
+
+@query("k10_first_differences", terms(two(_FD, "dy", "dsbt", "dland", "spp"), "spp", ("sbt_delta", "land_delta"), 1, True), fl="est se r2")
+def _(v):
+    d = lagged(v).withColumns({
+        "bio_delta": F.col("wtcpuenal") - F.col("lag1_bio"), "sbt_delta": F.col("SBT") - F.col("lag1_sbt"),
+        "land_delta": F.col("land_mt") - F.col("lag1_land"),
+    })
+    return fit(G.ols(d, "bio_delta", ["sbt_delta", "land_delta"], "spp"), "spp")
+
+
+@query("k11_instruments", """
+    WITH d AS (SELECT grp, y - avg(y) OVER u AS y, x - avg(x) OVER u AS x, clicks - avg(clicks) OVER u AS z FROM v_panel WINDOW u AS (PARTITION BY grp, user_id))
+    SELECT grp, 'x' AS term, sum(z * y) / sum(z * x) AS est FROM d GROUP BY 1""", fl="est")
+def _(v):
+    return G.two_stage(v.panel(), "y", [], ["x"], ["clicks"], "grp", "user_id").select("grp", "term", "est")
+
+
+def _with_neighbours(v):
+    d = v.bio_panel()
+    d = P.neighbour(d, "spp", "lat_bin", "year", {"north": "land_mt"}, 1)
+    d = P.neighbour(d, "spp", "lat_bin", "year", {"south": "land_mt"}, -1)
+    return cut(P.calendar_lag(d, UNIT, "year", {"land_lag1": "land_mt", "pres_lag1": "pres2", "nlag": "north", "slag": "south"}))
+
+
+@query("k11_instruments_two_way")
+def _(v):
+    return G.two_stage(_with_neighbours(v), "wtcpuenal", ["SBT", "SST", "depth"], ["land_lag1"], ["nlag", "slag"], "spp", "lat_bin", "year")
+
+
+@query("k11_instruments_one_way")
+def _(v):
+    return G.two_stage(_with_neighbours(v), "wtcpuenal", ["SBT", "SST", "depth"], ["pres_lag1", "land_lag1"], ["nlag", "slag"], "spp", "lat_bin")
+
+
+@query("k12_serial_correlation")
+def _(v):
+    return G.serial_correlation(v.panel(), "y", ["x", "clicks"], "grp", "user_id", "day", 1, F.floor(F.col("day") / 8))
+
+
+@query("k13_drop_one")
+def _(v):
+    return G.drop_one(lagged(v), "wtcpuenal", ["SBT", "SST", "depth", "lag1_bio", "lag1_land"], "spp", "lat_bin")
+
+
+@query("k14_additive_model")
+def _(v):
+    return A.additive(lagged(v), "wtcpuenal", ["SBT", "SST", "lag1_land"], "spp", ["depth"])
+
+
+@query("k14_additive_hauls")
+def _(v):
+    return A.additive(v.hauls(), "depth", ["lat", "SBT_seasonal"], "regionfact")
+
+
+@query("k15_additive_random")
+def _(v):
+    return A.additive_random(v.panel(), "y", ["x", "peak"], "grp", "user_id")
+
+
+@query("k16_presence_smooths")
+def _(v):
+    d = lagged(v).withColumn("p", squeeze("pres2"))
+    return A.additive_logit(d, "p", ["SBT_max", "SST_max", "depth", "lag1_land"], "spp", passes=4)
+
+
+@query("k17_species_smooths")
+def _(v):
+    d = lagged(v).withColumn("p", squeeze("pres2"))
+    fished = R.having(d, "spp", (F.col("mean_land") >= 1) & (F.col("years") > 5), mean_land=F.avg("land_mt"),
+                      years=F.sum((F.col("land_mt") > 0).cast("int")))
+    d = R.keep_in(d, fished, "spp")
+    bio = A.additive(d, "wtcpuenal", ["SBT", "SST"], "spp", ["depth", "lag1_land"]).withColumn("model", F.lit("bio"))
+    pres = A.additive_logit(d, "p", ["SBT", "SST"], "spp", ["depth", "lag1_land"], passes=4).withColumn("model", F.lit("presence"))
+    return bio.unionByName(pres)
+
+
+VIEWS["v_tests"] = """
+    SELECT spp, 's(SBT)' AS var, avg(pres2) / 10 AS pval FROM v_bio_panel GROUP BY 1 UNION ALL SELECT spp, 's(land)', avg(land_mt % 17) / 160 FROM v_bio_panel GROUP BY 1
+    UNION ALL SELECT spp, 's(depth)', avg(land_mt % 13) / 160 FROM v_bio_panel GROUP BY 1"""
+
+
+def _tests(v):
+    d = v.bio_panel().groupBy("spp").agg(
+        (F.avg("pres2") / 10).alias("a"), (F.avg(F.col("land_mt") % 17) / 160).alias("b"), (F.avg(F.col("land_mt") % 13) / 160).alias("c")
+    )
+    return d.select("spp", F.expr("stack(3, 's(SBT)', a, 's(land)', b, 's(depth)', c) as (var, pval)"))
+
+
+def flags(table, terms_):
+    """One row per species: is each term significant?"""
+    sig = F.col("pval") < 0.05
+    return table.groupBy("spp").agg(*[F.max(F.when(F.col("var") == t, sig)).alias(n) for n, t in terms_.items()])
+
+
+@query("k18_significance_by_species", """
+    SELECT spp, bool_or(pval < 0.05) FILTER (var = 's(SBT)') AS sig_sbt, bool_or(pval < 0.05) FILTER (var = 's(land)') AS sig_land, bool_or(pval < 0.05) FILTER (var = 's(depth)') AS sig_depth FROM v_tests GROUP BY 1""")
+def _(v):
+    return flags(_tests(v), {"sig_sbt": "s(SBT)", "sig_land": "s(land)", "sig_depth": "s(depth)"})
+
+
+@query("k18_significance_totals", """
+    SELECT count(*) FILTER (var = 's(SBT)' AND pval < 0.05) AS n_sbt, count(*) FILTER (var = 's(land)' AND pval < 0.05) AS n_land, count(*) FILTER (var = 's(depth)' AND pval < 0.05) AS n_depth FROM v_tests""")
+def _(v):
+    d = flags(_tests(v), {"sbt": "s(SBT)", "land": "s(land)", "depth": "s(depth)"})
+    return d.agg(*[F.sum(F.col(c).cast("int")).alias(f"n_{c}") for c in ("sbt", "land", "depth")])
+
+
+@query("k19_mixed_crossed")
+def _(v):
+    d = bias_and_intensity(v).withColumn("model", F.lit("bias"))
+    areas = ["US East Coast", "EBS", "US West Coast", "SEUS", "Canada East Coast"]
+    return X.random_intercepts(d, "annual_bias", ["UdivUmsypref"], "model", "spp", "subarea", areas)
+
+
+@query("k19_mixed_edge")
+def _(v):
+    d = around(v).withColumn("model", F.lit("edge"))
+    return X.random_intercepts(d, "annual_bias", ["log_landedge"], "model", "spp")
+
+
+@query("k19_mixed_events")
+def _(v):
+    return X.random_intercepts(v.panel(), "y", ["x", "clicks"], "grp", "user_id")
+
+
+@query("k23_effect_curve")
+def _(v):
+    d = lagged(v).where(F.col("pres2") != 0)
+    return G.effect_curve(d, "wtcpuenal", ["SBT", "SST", "depth", "lag1_land"], "spp", "lat_bin", "lag1_land")

@@ -49,11 +49,11 @@ def _ratio_sums(groups: DataFrame, by, k: int) -> DataFrame:
                 key + (float(t), b.tolist(), float(ld), n)
                 for key, (ts, bs, lds, n) in acc.items() for t, b, ld in zip(ts, bs, lds)
             ]
-            yield pd.DataFrame(rows, columns=[*by, "ratio", "m", "logdet", "n"])
+            yield pd.DataFrame(rows, columns=[*by, "ratio", "sums", "logdet", "n"])
 
-    parts = groups.mapInPandas(partial, f"{keys}, ratio double, m array<double>, logdet double, n double")
+    parts = groups.mapInPandas(partial, f"{keys}, ratio double, sums array<double>, logdet double, n double")
     return parts.groupBy(*by, "ratio").agg(
-        F.array(*[F.sum(F.get("m", F.lit(i))) for i in range(m)]).alias("m"), F.sum("logdet").alias("logdet"),
+        F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(m)]).alias("sums"), F.sum("logdet").alias("logdet"),
         F.sum("n").alias("n"),
     )
 
@@ -114,7 +114,7 @@ def random_intercepts(df: DataFrame, y: str, xs, by, group: str, second: str | N
         pdf = pdf.sort_values("ratio")
         best = None
         for r in pdf.itertuples(index=False):
-            sol = _best_second(full(r.m, k + 1), r.logdet, r.n, p, q)
+            sol = _best_second(full(r.sums, k + 1), r.logdet, r.n, p, q)
             if best is None or sol[1] < best[2][1] - 1e-10:
                 best = (r.ratio, r.n, sol)
         ratio, n, (ratio2, _, beta, cov, s2) = best

@@ -381,25 +381,25 @@ def effect_curve(df: DataFrame, y: str, xs, by, unit: str, pred: str, points: in
     xs, by = list(xs), _names(by)
     d = df.dropna(subset=[y, *xs, *by, unit])
     cells = cell_moments(d, [y, *xs], [*by, unit])
-    base = cells.groupBy(*by).agg(F.min(F.struct(unit, "n", "mean")).alias("b"))
-    base = base.select(*by, F.col("b.n").alias("n0"), F.col("b.mean").alias("m0"))
+    base = cells.groupBy(*by).agg(F.min(F.struct(unit, "n", "mean")).alias("__b"))
+    base = base.select(*by, F.col("__b.n").alias("__n0"), F.col("__b.mean").alias("__m0"))
     mid = d.groupBy(*by).agg(
-        F.array(*[F.avg(c) for c in xs]).alias("m"), F.min(pred).cast("double").alias("lo"), F.max(pred).cast("double").alias("hi")
+        F.array(*[F.avg(c) for c in xs]).alias("__mid"), F.min(pred).cast("double").alias("__lo"), F.max(pred).cast("double").alias("__hi")
     )
     j = merge(merge(base, mid, by=by), within_fit(df, y, xs, by, unit), by=by)
     at = xs.index(pred)
 
     def one(r):
-        m0, m, b = np.asarray(r["m0"]), np.asarray(r["m"], float), np.asarray(r["beta"])
+        m0, m, b = np.asarray(r["__m0"]), np.asarray(r["__mid"], float), np.asarray(r["beta"])
         v = np.asarray(r["cov"]).reshape(len(b), len(b))
         out = []
         half = t_quantile(0.975, int(r["dof"]))
-        for x in np.linspace(r["lo"], r["hi"], points):
+        for x in np.linspace(r["__lo"], r["__hi"], points):
             p = m.copy()
             p[at] = x
             dx = p - m0[1:]
             fit = m0[0] + dx @ b
-            se = np.sqrt(r["s2"] / r["n0"] + dx @ v @ dx) if r["s2"] is not None else np.nan
+            se = np.sqrt(r["s2"] / r["__n0"] + dx @ v @ dx) if r["s2"] is not None else np.nan
             out.append((x, fit, fit - half * se, fit + half * se))
         return out
 

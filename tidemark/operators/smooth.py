@@ -54,7 +54,7 @@ def with_ranges(df: DataFrame, y: str, smooths, linear, by) -> DataFrame:
 
 
 def blocks(rows: DataFrame, y: str, smooths, linear, by, weigh: bool = False) -> DataFrame:
-    """Summed cross products of (design, y) per group: ``n`` and ``m``.
+    """Summed cross products of (design, y) per group: ``n`` and ``sums``.
 
     With ``weigh`` rows carry coefficients (``beta``) of a logit fit and enter
     with its working weight and response; without coefficients yet, from the
@@ -71,7 +71,7 @@ def blocks(rows: DataFrame, y: str, smooths, linear, by, weigh: bool = False) ->
         def emit():
             out = [key + (float(v[0]), v[1][iu].tolist()) for key, v in acc.items()]
             acc.clear()
-            return pd.DataFrame(out, columns=[*by, "n", "m"])
+            return pd.DataFrame(out, columns=[*by, "n", "sums"])
 
         for pdf in batches:
             for key, g in pdf.groupby(list(by), dropna=False, sort=False):
@@ -95,12 +95,12 @@ def blocks(rows: DataFrame, y: str, smooths, linear, by, weigh: bool = False) ->
                     yield emit()
         yield emit()
 
-    parts = rows.mapInPandas(run, f"{keys}, n double, m array<double>")
-    cells = parts.select(*by, "n", F.posexplode("m").alias("i", "v"))
+    parts = rows.mapInPandas(run, f"{keys}, n double, sums array<double>")
+    cells = parts.select(*by, "n", F.posexplode("sums").alias("i", "v"))
     summed = cells.groupBy(*by, "i").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
     # exactly k(k+1)/2 entries a group
     return summed.groupBy(*by).agg(
-        F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("m")
+        F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("sums")
     )
 
 
@@ -205,7 +205,7 @@ def _map_fits(sums: DataFrame, by, smooths, linear, schema, cols, make) -> DataF
             for r in pdf.to_dict("records"):
                 if r["n"] <= k:  # fewer rows than columns: no fit, as for barely fished species
                     continue
-                fit = Fit(full(r["m"], k), r["n"], smooths, linear)
+                fit = Fit(full(r["sums"], k), r["n"], smooths, linear)
                 rows += [tuple(r[c] for c in by) + tuple(v) for v in make(fit)]
             yield pd.DataFrame(rows, columns=[*by, *cols])
 
@@ -254,7 +254,7 @@ def additive_random(df: DataFrame, y: str, smooths, by, group: str, linear=()) -
             acc: dict = {}
             for r in pdf.to_dict("records"):
                 key = tuple(r[c] for c in by)
-                m, n = full(r["m"], k), float(r["n"])
+                m, n = full(r["sums"], k), float(r["n"])
                 block = m[iu][None, :] - (ratios / (1 + n * ratios))[:, None] * np.outer(m[0], m[0])[iu][None, :]
                 old = acc.get(key, (0.0, 0.0, 0.0))
                 acc[key] = (old[0] + n, old[1] + block, old[2] + np.log1p(n * ratios))
@@ -262,20 +262,20 @@ def additive_random(df: DataFrame, y: str, smooths, by, group: str, linear=()) -
                 key + (float(t), n, b.tolist(), float(ld))
                 for key, (n, bs, lds) in acc.items() for t, b, ld in zip(ratios, bs, lds)
             ]
-            yield pd.DataFrame(out, columns=[*by, "ratio", "n", "m", "logdet"])
+            yield pd.DataFrame(out, columns=[*by, "ratio", "n", "sums", "logdet"])
 
-    parts = sums.mapInPandas(weigh, f"{keys}, ratio double, n double, m array<double>, logdet double")
-    cells = parts.select(*by, "ratio", "n", "logdet", F.posexplode("m").alias("i", "v"))
+    parts = sums.mapInPandas(weigh, f"{keys}, ratio double, n double, sums array<double>, logdet double")
+    cells = parts.select(*by, "ratio", "n", "logdet", F.posexplode("sums").alias("i", "v"))
     cells = cells.groupBy(*by, "ratio", "i").agg(F.sum("n").alias("n"), F.sum("logdet").alias("logdet"), F.sum("v").alias("v"))
     per = cells.groupBy(*by, "ratio").agg(
         F.max("n").alias("n"), F.max("logdet").alias("logdet"),
-        F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("m"),
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("sums"),
     )
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         best = None
         for r in pdf.itertuples(index=False):
-            fit = Fit(full(r.m, k), r.n, smooths, linear)
+            fit = Fit(full(r.sums, k), r.n, smooths, linear)
             crit = r.n * np.log(max(fit.rss / r.n, 1e-300)) + r.logdet
             if best is None or crit < best[0]:
                 best = (crit, r.ratio, fit)

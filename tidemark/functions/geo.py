@@ -38,27 +38,26 @@ def _edges(ring: Column) -> Column:
     return F.zip_with(ring, nxt, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
-def in_ring(lon, lat, ring) -> Column:
-    """TRUE if the point is inside the ring or on its border."""
-    px, py, ring = _c(lon), _c(lat), _c(ring)
-    edges = _edges(ring)
+def in_edges(px, py, edges) -> Column:
+    """TRUE if the point is inside or on the border of the ring whose ``edges``
+    (pairs of points) are given: 1 counts crossings, a border hit ends it."""
+    px, py = _c(px), _c(py)
 
-    def on_edge(e):
+    def step(acc, e):
         ax, ay, bx, by = e["a"]["lon"], e["a"]["lat"], e["b"]["lon"], e["b"]["lat"]
         cross = (bx - ax) * (py - ay) - (by - ay) * (px - ax)
-        return (
-            (cross == 0)
-            & px.between(F.least(ax, bx), F.greatest(ax, bx))
-            & py.between(F.least(ay, by), F.greatest(ay, by))
-        )
+        near = px.between(F.least(ax, bx), F.greatest(ax, bx)) & py.between(F.least(ay, by), F.greatest(ay, by))
+        # left of an upward edge or right of a downward one: the ray to the east meets it
+        meets = ((ay > py) != (by > py)) & ((cross > 0) == (by > ay))
+        return F.when((acc < 0) | ((cross == 0) & near), F.lit(-1)).otherwise(acc + meets.cast("int"))
+
+    hits = F.aggregate(edges, F.lit(0), step)
+    return (hits < 0) | (hits % 2 == 1)
 
-    def crosses(e):
-        ax, ay, bx, by = e["a"]["lon"], e["a"]["lat"], e["b"]["lon"], e["b"]["lat"]
-        spans = (ay > py) != (by > py)
-        return F.when(spans, (px < (bx - ax) * F.try_divide(py - ay, by - ay) + ax).cast("int")).otherwise(0)
 
-    hits = F.aggregate(edges, F.lit(0), lambda acc, e: acc + crosses(e))
-    return F.exists(edges, on_edge) | (hits % 2 == 1)
+def in_ring(lon, lat, ring) -> Column:
+    """TRUE if the point is inside the ring or on its border."""
+    return in_edges(lon, lat, _edges(_c(ring)))
 
 
 def ring_area_km2(ring) -> Column:

@@ -71,4 +71,4 @@ def landings_density(trips: DataFrame, by, bw=0.5, lat=(30.5, 47.5), lon=(-76.0,
 
 def normalise(density: DataFrame, by, dens="dens_qty") -> DataFrame:
     """Scale the grid values of each group to sum 1."""
-    return share(density, by, dens, "total_dens", "norm_dens")
+    return share(density, by, dens, "total_dens", "norm_dens", small=True)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import bin_mid
 from ..functions.missing import ifelse, n_unique, skip_sum, strict_mean, strict_sum, sum_or_mean, weighted_mean
 from ..functions.text import after_last, clean_name
-from .panel import share
+from .panel import share, with_n_unique
 from .relational import drop_in, first_per_key, having, keep_in, merge, stack
 
 # -- fixed values: pounds to metric tons; first year each state reported ------
@@ -56,12 +56,10 @@ def trips_by_area(trips: DataFrame, area_meta: DataFrame, lo=34, hi=45) -> DataF
 
 def stock_state_landings(trips: DataFrame) -> DataFrame:
     """Yearly landings by stock and state, share of the species, years seen."""
-    from .panel import with_n_unique
-
     base = trips.groupBy("sppcode", "RAM_stockid", "state", "year").agg(skip_sum("qtykept").alias("qtykept"))
-    out = share(base, ["sppcode", "state", "year"], "qtykept", "total_qtykept", "frac_stock")
-    out = with_n_unique(out, ["RAM_stockid", "sppcode", "state"], "year", "num_yrs_stock")
-    return with_n_unique(out, ["sppcode", "state"], "year", "num_yrs_spp")
+    out = share(base, ["sppcode", "state", "year"], "qtykept", "total_qtykept", "frac_stock", small=True)
+    out = with_n_unique(out, ["RAM_stockid", "sppcode", "state"], "year", "num_yrs_stock", small=True)
+    return with_n_unique(out, ["sppcode", "state"], "year", "num_yrs_spp", small=True)
 
 
 def main_stocks(trips: DataFrame, min_share: float | None = 0.15) -> DataFrame:
@@ -69,7 +67,7 @@ def main_stocks(trips: DataFrame, min_share: float | None = 0.15) -> DataFrame:
     base = trips.groupBy("spp", "sppcode", "RAM_stockid", "state").agg(
         skip_sum("qtykept").alias("stock_qtykept"), n_unique("year").alias("stock_yrs")
     )
-    out = share(base, ["sppcode", "state"], "stock_qtykept", "total_qtykept", "frac_stock")
+    out = share(base, ["sppcode", "state"], "stock_qtykept", "total_qtykept", "frac_stock", small=True)
     return out if min_share is None else out.where(F.col("frac_stock") > min_share)
 
 
@@ -88,7 +86,7 @@ def roll_up_state_records(records: DataFrame) -> DataFrame:
 def spread_over_density(totals: DataFrame, density: DataFrame, by, qty="tl_lb_stock", dens="dens_qty") -> DataFrame:
     """Each total over the grid of its group, in proportion to the density."""
     by = [by] if isinstance(by, str) else list(by)
-    d = share(density, by, dens, "total_dens", "__f")
+    d = share(density, by, dens, "total_dens", "__f", small=True)
     j = merge(totals, d, by=by)
     return j.withColumn("tl_lb_est", F.col("__f") * F.col(qty)).withColumn(
         "tl_mt_est", F.col("tl_lb_est") * F.lit(LB_TO_MT)

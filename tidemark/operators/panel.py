@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.missing import ifelse, n_unique, root, weighted_mean, weighted_var
+from ..functions.missing import ifelse, n_unique, root, skip_sum, strict_sum, weighted_mean, weighted_var
 from .relational import _names, merge
 
 
@@ -21,16 +21,29 @@ def with_stats(df: DataFrame, by, **aggs: Column) -> DataFrame:
     return merge(df, stats, by=by, how="left").select(*df.columns, *aggs)
 
 
-def share(df: DataFrame, by, x: str, total: str, frac: str, strict: bool = True) -> DataFrame:
-    """Group total of ``x`` on every row, and each row's share of it."""
-    from ..functions.missing import skip_sum, strict_sum
+def share(df: DataFrame, by, x: str, total: str, frac: str, strict: bool = True, small: bool = False) -> DataFrame:
+    """Group total of ``x`` on every row, and each row's share of it.
 
-    out = with_stats(df, by, **{total: strict_sum(x) if strict else skip_sum(x)})
+    ``small`` says ``df`` is itself an aggregate with few rows per group: then a
+    window is cheaper than computing ``df`` a second time.
+    """
+    by = _names(by)
+    if small:
+        w = Window.partitionBy(*by)
+        t = F.sum(x).over(w)
+        known = F.count(F.lit(1)).over(w) == F.count(x).over(w)
+        out = df.withColumn(total, F.when(known, t) if strict else F.coalesce(t, F.lit(0.0)))
+    else:
+        out = with_stats(df, by, **{total: strict_sum(x) if strict else skip_sum(x)})
     return out.withColumn(frac, F.try_divide(F.col(x), F.col(total)))
 
 
-def with_n_unique(df: DataFrame, by, x, name: str) -> DataFrame:
-    return with_stats(df, by, **{name: n_unique(x)})
+def with_n_unique(df: DataFrame, by, x, name: str, small: bool = False) -> DataFrame:
+    """Distinct count of the group, NULL counted, on every row."""
+    if not small:
+        return with_stats(df, by, **{name: n_unique(x)})
+    w = Window.partitionBy(*_names(by))
+    return df.withColumn(name, F.size(F.collect_set(x).over(w)) + F.max(F.col(x).isNull().cast("int")).over(w))
 
 
 def standardise(df: DataFrame, by, x: str, name: str, mean="__m", sd="__s") -> DataFrame:

@@ -317,8 +317,8 @@ def two_stage(df: DataFrame, y: str, exog, endog, instruments, by, unit: str, ti
 def within_residuals(df: DataFrame, y: str, xs, by, unit) -> DataFrame:
     """Complete rows with unit-demeaned columns (``w_*``) and the residual ``resid``."""
     xs, by, unit = list(xs), _names(by), _names(unit)
-    d = df.dropna(subset=[y, *xs, *by, *unit])
-    d = with_stats(d, [*by, *unit], **{f"__m_{c}": F.avg(c) for c in [y, *xs]})
+    df = cut(df.dropna(subset=[y, *xs, *by, *unit]))  # read by every step below
+    d = with_stats(df, [*by, *unit], **{f"__m_{c}": F.avg(c) for c in [y, *xs]})
     d = d.withColumns({f"w_{c}": F.col(c) - F.col(f"__m_{c}") for c in [y, *xs]}).drop(*[f"__m_{c}" for c in [y, *xs]])
     d = merge(d, within_fit(df, y, xs, by, unit).select(*by, "beta"), by=by)
     fit = sum((F.get("beta", F.lit(i)) * F.col(f"w_{c}") for i, c in enumerate(xs)), F.lit(0.0))

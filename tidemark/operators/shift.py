@@ -10,7 +10,7 @@ from ..functions.missing import (
     finite, floor_zero, frequency, ifelse, log_ratio, n_unique_where, skip_mean, strict_mean, weighted_mean,
 )
 from ..functions.tails import t_two_sided
-from .panel import row_shift, with_stats
+from .panel import row_shift
 from .relational import _names, merge
 
 
@@ -58,7 +58,8 @@ def annual_shift(cent: DataFrame, by, order="year", slab: Column | None = None)
     out = out.withColumn("annual_obsminuspred", F.col("lat_cent_diff") - F.col("lat_cent_cm_diff"))
     out = out.withColumn("sign_pred", F.signum("lat_cent_cm_diff"))
     out = out.withColumn("annual_bias", F.col("annual_obsminuspred") * F.col("sign_pred"))
-    return with_stats(out, by, nyrs_obs=n_unique_where(finite("obs_lat"), "year"))
+    years = cent.groupBy(*by).agg(n_unique_where(finite("obs_lat"), order).alias("nyrs_obs"))
+    return merge(out, years, by=by, how="left")
 
 
 @F.pandas_udf("double")

@@ -1,8 +1,10 @@
 """Points and polygons.
 
-Candidates are found by an equi-join on square grid cells, the exact test is a
-column expression over the ring.  Polygons are gathered per cell, so each point
-is joined once and never regrouped.
+Polygons are indexed on square grid cells; points meet their cell by an
+equi-join.  A cell that no polygon edge comes near lies wholly inside or outside,
+which is settled once per cell; only points of the other cells are tested
+against the ring.  Polygons are gathered per cell, so each point is joined once
+and never regrouped.
 """
 
 from __future__ import annotations
@@ -10,22 +12,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import in_ring
-from .relational import merge
+from ..functions.geo import _edges, in_edges
+from .relational import first_per_key, merge
 
 
-def _cells(polys: DataFrame, size: float) -> DataFrame:
-    lon = F.transform("ring", lambda p: p["lon"])
-    lat = F.transform("ring", lambda p: p["lat"])
+def cell_index(polys: DataFrame, size: float) -> DataFrame:
+    """One row per (polygon, cell it may touch): the edges, and ``__whole`` where
+    the cell is inside all over.  Cells wholly outside are left out."""
+    lon, lat = F.transform("ring", lambda p: p["lon"]), F.transform("ring", lambda p: p["lat"])
 
     def span(a):
-        return F.sequence(
-            F.floor(F.array_min(a) / size).cast("int"), F.floor(F.array_max(a) / size).cast("int")
+        return F.sequence(F.floor(F.array_min(a) / size).cast("int"), F.floor(F.array_max(a) / size).cast("int"))
+
+    d = polys.withColumn("__edges", _edges(F.col("ring")))
+    d = d.withColumn("__cx", F.explode(span(lon))).withColumn("__cy", F.explode(span(lat)))
+    x0, y0 = F.col("__cx") * size, F.col("__cy") * size
+
+    def close(e):
+        ax, ay, bx, by = e["a"]["lon"], e["a"]["lat"], e["b"]["lon"], e["b"]["lat"]
+        return (
+            (F.least(ax, bx) <= x0 + size) & (F.greatest(ax, bx) >= x0)
+            & (F.least(ay, by) <= y0 + size) & (F.greatest(ay, by) >= y0)
         )
 
-    return (
-        polys.withColumn("__cx", F.explode(span(lon))).withColumn("__cy", F.explode(span(lat)))
-    )
+    d = d.withColumn("__cut", F.exists("__edges", close))
+    d = d.withColumn("__whole", ~F.col("__cut") & in_edges(x0 + size / 2, y0 + size / 2, F.col("__edges")))
+    return d.where(F.col("__cut") | F.col("__whole"))
 
 
 def _point_cells(points: DataFrame, lon: str, lat: str, size: float) -> DataFrame:
@@ -34,40 +46,38 @@ def _point_cells(points: DataFrame, lon: str, lat: str, size: float) -> DataFram
     })
 
 
-def locate(points: DataFrame, polys: DataFrame, area_id: str, carry=(), lon="lon", lat="lat", size: float = 1.0) -> DataFrame:
+def locate(points: DataFrame, polys: DataFrame, area_id: str, carry=(), lon="lon", lat="lat", size: float = 0.5) -> DataFrame:
     """Every point with the lowest-numbered polygon containing it (border
     included), NULL when there is none.  ``carry`` adds polygon attributes.
 
-    ``size`` is the cell edge in degrees; smaller cells keep the per-cell
-    polygon lists short for dense layers.
+    ``size`` is the cell edge in degrees; smaller cells settle more points
+    without a ring test and keep the per-cell polygon lists short.
     """
     attrs = [area_id, *carry]
-    index = _cells(polys, size).groupBy("__cx", "__cy").agg(
-        F.collect_list(F.struct(*attrs, "ring")).alias("__near")
+    index = cell_index(polys, size).groupBy("__cx", "__cy").agg(
+        F.collect_list(F.struct(*attrs, "__whole", F.when(~F.col("__whole"), F.col("__edges")).alias("__edges"))).alias("__near")
     )
     j = merge(_point_cells(points, lon, lat, size), index, by=["__cx", "__cy"], how="left", nulls="drop")
-    hits = F.filter("__near", lambda p: in_ring(lon, lat, p["ring"]))
+    hits = F.filter("__near", lambda p: p["__whole"] | in_edges(lon, lat, p["__edges"]))
     # structs order by their first field, the id
     best = F.array_min(F.transform(hits, lambda p: F.struct(*[p[c].alias(c) for c in attrs])))
     return j.withColumn("__hit", best).select(*points.columns, *[F.col(f"__hit.`{c}`").alias(c) for c in attrs])
 
 
-def contained(points: DataFrame, polys: DataFrame, lon="lon", lat="lat", size: float = 1.0) -> DataFrame:
+def contained(points: DataFrame, polys: DataFrame, lon="lon", lat="lat", size: float = 0.5) -> DataFrame:
     """One row per (polygon, point inside it), with the polygon's attributes."""
-    j = merge(_point_cells(points, lon, lat, size), _cells(polys, size), by=["__cx", "__cy"], nulls="drop")
+    j = merge(_point_cells(points, lon, lat, size), cell_index(polys, size), by=["__cx", "__cy"], nulls="drop")
     attrs = [c for c in polys.columns if c != "ring"]
-    return j.where(in_ring(lon, lat, "ring")).select(*attrs, *points.columns)
+    return j.where(F.col("__whole") | in_edges(lon, lat, F.col("__edges"))).select(*attrs, *points.columns)
 
 
-def hauls_by_boundary(hauls: DataFrame, boundaries: DataFrame, size: float = 1.0) -> DataFrame:
+def hauls_by_boundary(hauls: DataFrame, boundaries: DataFrame, size: float = 0.5) -> DataFrame:
     """Hauls inside each stock boundary; only the first feature of a boundary counts."""
-    from .relational import first_per_key
-
     first = first_per_key(boundaries, ["assessid", "stockid"], "feature_id")
     return contained(hauls, first, size=size)
 
 
-def hauls_by_area(hauls: DataFrame, areas: DataFrame, stock_map: DataFrame, size: float = 1.0) -> DataFrame:
+def hauls_by_area(hauls: DataFrame, areas: DataFrame, stock_map: DataFrame, size: float = 0.5) -> DataFrame:
     """Hauls of each (stock, species): placed once, then joined to the stock's areas.
 
     ``areas`` holds ``Id``, ``area`` and ``ring``; hauls in none of the stock's

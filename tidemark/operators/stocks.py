@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import _c, any_present, finite, min_where, n_unique, n_unique_where, skip_sum
 from ..functions.text import before
-from .panel import with_n_unique, with_stats
+from .panel import with_n_unique
 from .relational import keep_in, merge
 from .survey import lookup
 
@@ -52,29 +52,26 @@ def stock_fractions(df: DataFrame) -> DataFrame:
     """Each stock's share of its species' biomass and any-value flags.
 
     Biomass totals go by (species, region, year) while the stock count goes by
-    (species, sub-area, region).
+    (species, sub-area, region).  One row per stock and year, so every group is
+    a handful of rows and windows suit.
     """
-    df = with_n_unique(df, ["scientificname", "subarea", "region"], "stockid", "num_stocks")
-    df = with_stats(
-        df, ["scientificname", "region", "year"], __tb=skip_sum("TB"), __ssb=skip_sum("SSB")
-    )
+    df = with_n_unique(df, ["scientificname", "subarea", "region"], "stockid", "num_stocks", small=True)
+    together = Window.partitionBy("scientificname", "region", "year")
     many = F.col("num_stocks") > 1
     df = df.withColumns({
-        "TB_spp": F.when(many, F.col("__tb")).otherwise(F.col("TB")),
-        "SSB_spp": F.when(many, F.col("__ssb")).otherwise(F.col("SSB")),
-        "Bio": F.coalesce("TB", "SSB"),
-    }).drop("__tb", "__ssb")
+        f"{b}_spp": F.when(many, F.coalesce(F.sum(b).over(together), F.lit(0.0))).otherwise(F.col(b)) for b in ("TB", "SSB")
+    })
     tb, ssb = F.col("TB_spp"), F.col("SSB_spp")
     # three-valued as the nested conditional is: an unknown test stays unknown
     both_zero = (tb == 0) & (ssb == 0)
     only_ssb = (tb == 0) & (ssb > 0)
-    df = df.withColumn(
-        "Bio_spp", F.when(both_zero, F.lit(None)).when(~both_zero, F.when(only_ssb, ssb).when(~only_ssb, tb))
-    )
+    df = df.withColumns({
+        "Bio": F.coalesce("TB", "SSB"),
+        "Bio_spp": F.when(both_zero, F.lit(None)).when(~both_zero, F.when(only_ssb, ssb).when(~only_ssb, tb)),
+    })
     df = df.withColumn("frac_stock", F.try_divide(F.col("Bio"), F.col("Bio_spp")))
-    return with_stats(
-        df, ["scientificname", "subarea", "year"], **{f"{m}_any": any_present(c) for m, c in MEASURES.items()}
-    )
+    seen = Window.partitionBy("scientificname", "subarea", "year")
+    return df.withColumns({f"{m}_any": any_present(c).over(seen) for m, c in MEASURES.items()})
 
 
 def species_intensity(df: DataFrame) -> DataFrame:

@@ -211,7 +211,7 @@ def swept_area_biomass(area_means: DataFrame, tow_km2=TOW_KM2_AREA) -> DataFrame
     df = area_means.withColumn(
         "swept_bio_mt", F.col("wtcpue") * (F.col("area") / F.lit(tow_km2)) * F.lit(0.001)
     )
-    return share(df, ["RAM_stockid", "spp", "year"], "swept_bio_mt", "total_swept_bio_mt", "frac_swept_bio")
+    return share(df, ["RAM_stockid", "spp", "year"], "swept_bio_mt", "total_swept_bio_mt", "frac_swept_bio", small=True)
 
 
 def density_biomass(wtcpue, area_km2, tow_km2=TOW_KM2_DENSITY) -> dict[str, Column]:

@@ -159,7 +159,7 @@ def _(v):
     SELECT cnemarea, sppcode, year, tb * frac AS bio FROM f JOIN a USING (sppcode, year)""", fl="bio")
 def _(v):
     q = v.trips().groupBy("cnemarea", "sppcode", "year").agg(F.sum("qtykept").alias("qty"))
-    f = P.share(q, ["sppcode", "year"], "qty", "total", "frac")
+    f = P.share(q, ["sppcode", "year"], "qty", "total", "frac", small=True)
     a = v.assess().groupBy(F.upper(F.substring("stockid", 1, 3)).alias("sppcode"), "year").agg(F.sum("TB").alias("tb"))
     return R.merge(f, a, by=["sppcode", "year"]).select("cnemarea", "sppcode", "year", (F.col("tb") * F.col("frac")).alias("bio"))
 

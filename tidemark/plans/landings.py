@@ -72,18 +72,25 @@ def vtr(v):
     return R.merge(t, m, by_x=["sppcode", "cnemarea"], by_y=["VTR_sppcode", "StatArea"], nulls="drop")
 
 
-def vtr_main(v):
-    keep = L.main_stocks(vtr(v)).select("sppcode", "RAM_stockid", "state", "spp")
+def vtr_main(v, main=None):
+    keep = (L.main_stocks(vtr(v)) if main is None else main).select("sppcode", "RAM_stockid", "state", "spp")
     return R.merge(vtr(v), keep, by=["sppcode", "RAM_stockid", "state", "spp"])
 
 
-def lat_density(v):
-    d = K.kernel_density(vtr_main(v), BY, "declat", "qtykept", 30.5, 47.5, 0.5)
+def lat_density(v, main=None):
+    d = K.kernel_density(vtr_main(v, main), BY, "declat", "qtykept", 30.5, 47.5, 0.5)
     return d.withColumnsRenamed({"at": "lat", "dens": "dens_qty"})
 
 
-def state_stock(v):
-    return L.state_landings_by_stock(v.state_land(), v.taxa_names(), L.reporting_years(v.spark, SHIFT), L.main_stocks(vtr(v)))
+def state_stock(v, main):
+    return L.state_landings_by_stock(v.state_land(), v.taxa_names(), L.reporting_years(v.spark, SHIFT), main)
+
+
+def estimates(v):
+    """State landings along latitude; the few main stocks are stored, as the
+    density and the state totals both start from them."""
+    main = cut(L.main_stocks(vtr(v)))
+    return L.estimated_landings(state_stock(v, main), lat_density(v, main))
 
 
 def area_geo(v):
@@ -97,7 +104,7 @@ def area_by_lat(v):
 
 
 def total_landings(v):
-    return cut(L.combine_landings(L.estimated_landings(state_stock(v), lat_density(v)), area_by_lat(v)))
+    return cut(L.combine_landings(estimates(v), area_by_lat(v)))
 
 
 @query("j29_trips_by_latitude", """
@@ -177,8 +184,7 @@ def _(v):
 
 @query("j37_state_landings_by_latitude", 'SELECT state, year, spp, sppcode, "RAM_stockid", lat, tl_mt_est FROM v_est', fl="lat tl_mt_est:9")
 def _(v):
-    d = L.estimated_landings(state_stock(v), lat_density(v))
-    return d.select("state", "year", "spp", "sppcode", "RAM_stockid", "lat", "tl_mt_est")
+    return estimates(v).select("state", "year", "spp", "sppcode", "RAM_stockid", "lat", "tl_mt_est")
 
 
 @query("j38_landings_by_bin", "SELECT * FROM v_land_bin", fl="tl_mt")

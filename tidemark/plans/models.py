@@ -24,9 +24,9 @@ VIEWS["v_lag"] = """
 
 def lagged(v):
     d = P.row_shift(v.bio_panel(), UNIT, "year", {
-        "lag1_land": "land_mt", "lag1_bio": "wtcpuenal", "lag1_pres": "pres2", "lag1_sbt": "SBT", "lag1_sst": "SST",
+        "lag1_land": ("land_mt", 1), "lag1_bio": ("wtcpuenal", 1), "lag1_pres": ("pres2", 1), "lag1_sbt": ("SBT", 1), "lag1_sst": ("SST", 1),
         "lag2_land": ("land_mt", 2),
-    }, slab=F.floor(F.col("year") / 4))
+    })
     return cut(d)
 
 

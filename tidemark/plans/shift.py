@@ -78,7 +78,7 @@ def centroids(v):
 
 
 def shifts(v):
-    return S.annual_shift(centroids(v), KEY, slab=F.floor(F.col("year") / 4))
+    return S.annual_shift(centroids(v), KEY)
 
 
 @query("k22_two_stage_score", """
@@ -210,5 +210,5 @@ def _(v):
     SELECT spp, subarea, year, lead(obs_lat) OVER w AS lead1_obs_lat, lead(pred_depth) OVER w AS lead1_pred_depth FROM v_cent WINDOW w AS (PARTITION BY spp, sppocean, subarea ORDER BY year)""",
        fl="lead1_obs_lat lead1_pred_depth")
 def _(v):
-    d = P.row_shift(centroids(v), KEY, "year", {"lead1_obs_lat": "obs_lat", "lead1_pred_depth": "pred_depth"}, -1, F.floor(F.col("year") / 4))
+    d = P.row_shift(centroids(v), KEY, "year", {"lead1_obs_lat": "obs_lat", "lead1_pred_depth": "pred_depth"}, -1)
     return d.select("spp", "subarea", "year", "lead1_obs_lat", "lead1_pred_depth")

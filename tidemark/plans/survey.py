@@ -213,7 +213,7 @@ def growth(v):
     s = s.withColumns(V.density_biomass("wtcpue", "area"))
     land = species_landings(v).withColumnsRenamed({"YEAR": "year", "AREA": "statarea"})
     j = V.survey_landings_panel(s, land.withColumnRenamed("land_mt", "qty"), ["year", "statarea", "spp"], "qty")
-    return V.percap_growth(j, ["statarea", "spp", "season"], "year", temps=("sbt", "sst"), slab=F.floor(F.col("year") / 4))
+    return V.percap_growth(j, ["statarea", "spp", "season"], "year", temps=("sbt", "sst"))
 
 
 def species_landings(v):

@@ -29,7 +29,7 @@ def _(v):
     (SELECT sppcode, substr(dec_port, 6) AS state, coalesce(sum(qtykept), 0) AS q FROM v_trips GROUP BY 1, 2)""", fl="frac")
 def _(v):
     d = v.trips().groupBy("sppcode", F.substr("dec_port", F.lit(6)).alias("state")).agg(skip_sum("qtykept").alias("q"))
-    return P.share(d, "sppcode", "q", "t", "frac").drop("t")
+    return P.share(d, "sppcode", "q", "t", "frac", small=True).drop("t")
 
 
 @query("f3_group_distinct", """
@@ -79,7 +79,7 @@ def _(v):
     FROM v_bio_panel WINDOW w AS (PARTITION BY spp, lat_bin ORDER BY year)""")
 def _(v):
     d = v.bio_panel().select(*UNIT, "year", "land_mt", "num_hauls")
-    return P.spread_lags(d, UNIT, "year", ["land_mt", "num_hauls"], slab=_decade()).drop("land_mt", "num_hauls")
+    return P.spread_lags(d, UNIT, "year", ["land_mt", "num_hauls"]).drop("land_mt", "num_hauls")
 
 
 @query("f8_row_lag_users", """
@@ -94,7 +94,7 @@ def _(v):
     SELECT spp, lat_bin, year, lead(land_mt) OVER (PARTITION BY spp, lat_bin ORDER BY year) AS land_next FROM v_bio_panel""")
 def _(v):
     d = v.bio_panel().select(*UNIT, "year", "land_mt")
-    return P.row_shift(d, UNIT, "year", {"land_next": "land_mt"}, -1, _decade()).drop("land_mt")
+    return P.row_shift(d, UNIT, "year", {"land_next": "land_mt"}, -1).drop("land_mt")
 
 
 @query("f10_difference", """
@@ -102,8 +102,8 @@ def _(v):
     FROM v_bio_panel WINDOW w AS (PARTITION BY spp, lat_bin ORDER BY year)""", fl="bio_delta sbt_next_diff")
 def _(v):
     d = v.bio_panel().select(*UNIT, "year", "wtcpuenal", "SBT")
-    d = P.row_shift(d, UNIT, "year", {"b": "wtcpuenal"}, 1, _decade())
-    d = P.row_shift(d, UNIT, "year", {"n": "SBT"}, -1, _decade())
+    d = P.row_shift(d, UNIT, "year", {"b": "wtcpuenal"}, 1)
+    d = P.row_shift(d, UNIT, "year", {"n": "SBT"}, -1)
     return d.select(*UNIT, "year", (F.col("wtcpuenal") - F.col("b")).alias("bio_delta"), (F.col("n") - F.col("SBT")).alias("sbt_next_diff"))
 
 
@@ -150,7 +150,7 @@ def _(v):
     WINDOW u AS (PARTITION BY spp, lat_bin), w AS (PARTITION BY spp, lat_bin ORDER BY year)""", fl="fe_sbt fe_lag_land")
 def _(v):
     d = v.bio_panel().select(*UNIT, "year", F.col("SBT").alias("sbt"), "land_mt")
-    d = P.row_shift(d, UNIT, "year", {"lag_land": "land_mt"}, 1, _decade())
+    d = P.row_shift(d, UNIT, "year", {"lag_land": "land_mt"}, 1)
     d = P.demean(d, UNIT, ["sbt", "lag_land"], mean_of={"lag_land": "land_mt"})
     return d.select(*UNIT, "year", "fe_sbt", "fe_lag_land")
 
@@ -189,7 +189,7 @@ def _(v):
     SELECT spp, corr(land_mt, l) AS r, count(*) FILTER (l IS NOT NULL) AS n FROM (SELECT spp, land_mt, lag(land_mt) OVER (PARTITION BY spp, lat_bin ORDER BY year) AS l FROM v_bio_panel) GROUP BY 1""", fl="r")
 def _(v):
     d = v.bio_panel().select(*UNIT, "year", "land_mt")
-    d = P.row_shift(d, UNIT, "year", {"l": "land_mt"}, 1, _decade())
+    d = P.row_shift(d, UNIT, "year", {"l": "land_mt"}, 1)
     return d.groupBy("spp").agg(F.corr("land_mt", "l").alias("r"), F.count("l").alias("n"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .relational import _names, keep_in, merge
 
 
@@ -35,24 +36,24 @@ def exact_quantiles(df: DataFrame, by, x: str, probs, bins: int = 1024, levels:
 
     Values are counted in ``bins`` equal cells between the group's extremes, the
     cells holding the wanted ranks are cut again, and only what is left is
-    sorted, by distinct value.
+    sorted, by distinct value: three passes over ``df`` (extremes, counts,
+    wanted cells), then stored remainders.
     """
     by = _names(by)
-    rows = df.where(F.col(x).isNotNull()).select(*by, F.col(x).alias("__x")).withColumn("__cell", F.lit(0).cast("bigint"))
-    n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    ends = F.array(*[
-        F.struct(F.lit(p).alias("prob"), f(F.lit(p) * (F.col("__n") - 1)).cast("bigint").alias("rank"), F.lit(s).alias("side"))
-        for p in probs for f, s in ((F.floor, 0), (F.ceil, 1))
-    ])
-    want = n.select(*by, "__n", F.explode(ends).alias("e")).select(
-        *by, "__n", "e.*", F.lit(0).cast("bigint").alias("__cell"), F.col("e.rank").alias("__off")
-    )
     key = [*by, "__cell"]
+    rows = df.where(F.col(x).isNotNull()).select(*by, F.col(x).alias("__x")).withColumn("__cell", F.lit(0).cast("bigint"))
+    want = None
     for _ in range(levels):
-        r = rows.groupBy(*key).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+        r = cut(rows.groupBy(*key).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.count(F.lit(1)).alias("__n")))
+        if want is None:
+            ends = F.array(*[
+                F.struct(F.lit(p).alias("prob"), f(F.lit(p) * (F.col("__n") - 1)).cast("bigint").alias("__off"), F.lit(s).alias("side"))
+                for p in probs for f, s in ((F.floor, 0), (F.ceil, 1))
+            ])
+            want = r.select(*key, "__n", F.explode(ends).alias("e")).select(*key, "__n", "e.*")
         pos = F.try_divide(F.col("__x") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * bins
         sub = F.least(F.lit(bins - 1), F.coalesce(F.floor(pos), F.lit(0)).cast("int"))
-        rows = merge(rows, r, by=key).withColumn("__new", F.col("__cell") * bins + sub).drop("__lo", "__hi")
+        rows = merge(rows, r.drop("__n"), by=key).withColumn("__new", F.col("__cell") * bins + sub).drop("__lo", "__hi")
         c = rows.groupBy(*key, "__new").agg(F.count(F.lit(1)).alias("__c"))
         # at most ``bins`` rows per window partition
         w = Window.partitionBy(*key).orderBy("__new").rowsBetween(Window.unboundedPreceding, -1)
@@ -60,9 +61,9 @@ def exact_quantiles(df: DataFrame, by, x: str, probs, bins: int = 1024, levels:
         hit = (F.col("__off") >= F.col("__before")) & (F.col("__off") < F.col("__before") + F.col("__c"))
         want = merge(want, c, by=key, where=hit)
         want = want.withColumn("__off", F.col("__off") - F.col("__before")).withColumn("__cell", F.col("__new"))
-        want = want.drop("__new", "__before", "__c")
-        rows = rows.withColumn("__cell", F.col("__new")).drop("__new")
-        rows = keep_in(rows, want, key)
+        want = cut(want.drop("__new", "__before", "__c"))
+        # the few cells that hold a wanted rank are stored; the rest is done with
+        rows = cut(keep_in(rows.withColumn("__cell", F.col("__new")).drop("__new"), want, key))
     v = rows.groupBy(*key, "__x").agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy(*key).orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)
     v = v.withColumn("__before", F.coalesce(F.sum("__c").over(w), F.lit(0)))

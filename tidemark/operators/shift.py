@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.missing import (
     finite, floor_zero, frequency, ifelse, log_ratio, n_unique_where, skip_mean, strict_mean, weighted_mean,
@@ -62,7 +63,7 @@ def annual_shift(cent: DataFrame, by, order="year", slab: Column | None = None)
     return merge(out, years, by=by, how="left")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(t_two_sided(t.to_numpy(float, na_value=float("nan")), dof.to_numpy(float, na_value=0.0)))
 

@@ -46,7 +46,7 @@ def _point_cells(points: DataFrame, lon: str, lat: str, size: float) -> DataFram
     })
 
 
-def locate(points: DataFrame, polys: DataFrame, area_id: str, carry=(), lon="lon", lat="lat", size: float = 0.5) -> DataFrame:
+def locate(points: DataFrame, polys: DataFrame, area_id: str, carry=(), lon="lon", lat="lat", size: float = 0.25) -> DataFrame:
     """Every point with the lowest-numbered polygon containing it (border
     included), NULL when there is none.  ``carry`` adds polygon attributes.
 
@@ -54,30 +54,36 @@ def locate(points: DataFrame, polys: DataFrame, area_id: str, carry=(), lon="lon
     without a ring test and keep the per-cell polygon lists short.
     """
     attrs = [area_id, *carry]
-    index = cell_index(polys, size).groupBy("__cx", "__cy").agg(
-        F.collect_list(F.struct(*attrs, "__whole", F.when(~F.col("__whole"), F.col("__edges")).alias("__edges"))).alias("__near")
+    found = F.struct(*attrs)
+    cells = cell_index(polys, size)
+    index = cells.groupBy("__cx", "__cy").agg(
+        # the usual cell lies in one polygon all over: nothing is left to test
+        F.when((F.count(F.lit(1)) == 1) & F.max("__whole"), F.max(found)).alias("__sole"),
+        F.collect_list(F.struct(*attrs, "__whole", F.when(~F.col("__whole"), F.col("__edges")).alias("__edges"))).alias("__near"),
     )
     j = merge(_point_cells(points, lon, lat, size), index, by=["__cx", "__cy"], how="left", nulls="drop")
     hits = F.filter("__near", lambda p: p["__whole"] | in_edges(lon, lat, p["__edges"]))
     # structs order by their first field, the id
     best = F.array_min(F.transform(hits, lambda p: F.struct(*[p[c].alias(c) for c in attrs])))
-    return j.withColumn("__hit", best).select(*points.columns, *[F.col(f"__hit.`{c}`").alias(c) for c in attrs])
+    best = F.when(F.col("__sole").isNotNull(), F.col("__sole")).otherwise(best)
+    # exploding a one-element array keeps Spark from repeating the test per use
+    return j.withColumn("__hit", F.explode(F.array(best))).select(*points.columns, *[F.col(f"__hit.`{c}`").alias(c) for c in attrs])
 
 
-def contained(points: DataFrame, polys: DataFrame, lon="lon", lat="lat", size: float = 0.5) -> DataFrame:
+def contained(points: DataFrame, polys: DataFrame, lon="lon", lat="lat", size: float = 0.25) -> DataFrame:
     """One row per (polygon, point inside it), with the polygon's attributes."""
     j = merge(_point_cells(points, lon, lat, size), cell_index(polys, size), by=["__cx", "__cy"], nulls="drop")
     attrs = [c for c in polys.columns if c != "ring"]
     return j.where(F.col("__whole") | in_edges(lon, lat, F.col("__edges"))).select(*attrs, *points.columns)
 
 
-def hauls_by_boundary(hauls: DataFrame, boundaries: DataFrame, size: float = 0.5) -> DataFrame:
+def hauls_by_boundary(hauls: DataFrame, boundaries: DataFrame, size: float = 0.25) -> DataFrame:
     """Hauls inside each stock boundary; only the first feature of a boundary counts."""
     first = first_per_key(boundaries, ["assessid", "stockid"], "feature_id")
     return contained(hauls, first, size=size)
 
 
-def hauls_by_area(hauls: DataFrame, areas: DataFrame, stock_map: DataFrame, size: float = 0.5) -> DataFrame:
+def hauls_by_area(hauls: DataFrame, areas: DataFrame, stock_map: DataFrame, size: float = 0.25) -> DataFrame:
     """Hauls of each (stock, species): placed once, then joined to the stock's areas.
 
     ``areas`` holds ``Id``, ``area`` and ``ring``; hauls in none of the stock's

@@ -60,8 +60,8 @@ def shared_join(a: DataFrame, b: DataFrame, how: str = "inner", nulls: str = "ma
 def _keyed(a, b, by, by_y, how):
     kx, ky = _names(by), _names(by_y if by_y is not None else by)
     tmp = [f"__key{i}" for i in range(len(ky))]
-    # No distinct on the right: semi and anti joins stop at the first match.
-    right = b.select(*[F.col(k).alias(t) for k, t in zip(ky, tmp)])
+    # Distinct keys combine on the map side: a hot key on the right is one row.
+    right = b.select(*[F.col(k).alias(t) for k, t in zip(ky, tmp)]).distinct()
     return a.join(right, _on(list(zip(kx, tmp)), "match"), how)
 
 

@@ -32,22 +32,33 @@ def build(master: str | None = None, **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder for written tables, inside the cluster's shared checkpoint
-    folder; a temporary one only where the session names none (local tests)."""
+def shared_base(spark: SparkSession) -> str:
+    """The folder all executors share: the session's ``spark.checkpoint.dir``.
+
+    Where it is unset a folder of this machine is set for the session, which is
+    right only in local mode; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="tidemark-")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _LOCAL.setdefault("folder", None) or tempfile.mkdtemp(prefix="tidemark-")
+        _LOCAL["folder"] = base
+    return base.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder.
+_LOCAL: dict[str, str | None] = {}
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is
-    unset (local tests) is a temporary folder made.
-    """
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for written tables inside the shared folder."""
+    return f"{shared_base(spark)}/tables-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
+        sc.setCheckpointDir(shared_base(spark))
     return df.checkpoint(eager=True)

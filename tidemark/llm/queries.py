@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import factors, suffixes
+from . import factors, neardup, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,3 +31,8 @@ def op3_suffix_array_dedup(spark, folder):
 def op5_substring_dedup(spark, folder):
     out = factors.remove_repeated_words(table(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op4_minhash_near_dedup(spark, folder):
+    return neardup.near_duplicate_ids(table(spark, folder, "documents").select("doc_id", "text"), size=4)

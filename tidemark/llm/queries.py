@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import factors, neardup, suffixes
+from . import bpe, factors, neardup, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,3 +36,9 @@ def op5_substring_dedup(spark, folder):
 @query
 def op4_minhash_near_dedup(spark, folder):
     return neardup.near_duplicate_ids(table(spark, folder, "documents").select("doc_id", "text"), size=4)
+
+
+@query
+def op10_bpe_encoding_and_decoding(spark, folder):
+    out = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), with_ids=False)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

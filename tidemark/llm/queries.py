@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, factors, neardup, suffixes
+from . import bpe, factors, neardup, sketch, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,3 +42,9 @@ def op4_minhash_near_dedup(spark, folder):
 def op10_bpe_encoding_and_decoding(spark, folder):
     out = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), with_ids=False)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op1_document_fingerprints(spark, folder):
+    out = sketch.fingerprint(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, factors, neardup, sketch, suffixes
+from . import bpe, factors, neardup, quality, sketch, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,3 +48,10 @@ def op10_bpe_encoding_and_decoding(spark, folder):
 def op1_document_fingerprints(spark, folder):
     out = sketch.fingerprint(table(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query
+def op9_quality_classifier(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    out = quality.judge(docs, table(spark, folder, "labels"))
+    return out.select("doc_id", "lang", "n_symbols", "perplexity", "deviation", "kept")

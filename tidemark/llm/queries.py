@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, factors, neardup, quality, sketch, suffixes
+from . import bpe, decontaminate, factors, neardup, quality, sketch, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -55,3 +55,9 @@ def op9_quality_classifier(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     out = quality.judge(docs, table(spark, folder, "labels"))
     return out.select("doc_id", "lang", "n_symbols", "perplexity", "deviation", "kept")
+
+
+@query
+def op2_benchmark_decontamination(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.matches(docs, table(spark, folder, "benchmark"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, factors, neardup, quality, sketch, suffixes
+from . import bpe, chat, decontaminate, factors, neardup, quality, sketch, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,3 +61,11 @@ def op9_quality_classifier(spark, folder):
 def op2_benchmark_decontamination(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return decontaminate.matches(docs, table(spark, folder, "benchmark"))
+
+
+@query
+def op7_chat_formatting(spark, folder):
+    told = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", told), (-1, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(turns.unionByName(more)).drop("rewrites_history")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, factors, neardup, quality, sketch, suffixes
+from . import bpe, chat, decontaminate, factors, neardup, quality, sketch, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,3 +69,12 @@ def op7_chat_formatting(spark, folder):
     more = spark.createDataFrame([(-1, 0, "user", told), (-1, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(turns.unionByName(more)).drop("rewrites_history")
+
+
+@query
+def op8_url_filters(spark, folder):
+    out = urls.judge(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLE["op8_url_filters"] = urls.SQL

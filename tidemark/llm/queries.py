@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, factors, neardup, quality, sketch, suffixes, urls
+from . import bpe, chat, decontaminate, factors, neardup, pages, quality, sketch, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +78,9 @@ def op8_url_filters(spark, folder):
 
 
 ORACLE["op8_url_filters"] = urls.SQL
+
+
+@query
+def op6_html_extraction(spark, folder):
+    out = pages.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", "n_chars")

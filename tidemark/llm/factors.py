@@ -9,9 +9,9 @@ and equal runs lie in blocks of the same anchor.  Parsing a document:
 * greedy factors: a block found whole in an earlier document extends the
   current factor; neighbouring found blocks join to one maximal factor;
 * boundaries: where a factor ends, the document's block and the reference's
-  share the anchor but not all words.  There each window of ``width`` words is
-  looked up by itself, against all documents, so that a run is found however
-  the factors are cut.
+  share the anchor but not all words.  There the windows of ``width`` words are
+  looked up, eight neighbours at once and then each by itself, against all
+  documents, so that a run is found however the factors are cut.
 
 Factors and boundary windows, all of at least ``width`` words, are the
 duplicate spans.
@@ -41,7 +41,7 @@ def word_symbols(raw: np.ndarray, offsets: np.ndarray):
 def _removed(batches, width):
     for batch in batches:
         raw, offsets = text_buffer(batch.column("text"))
-        starts, first, size = R.spans_of(batch.column("found"))
+        starts, first, size = R.lists_of(batch.column("found"), "first", "size")
         out = {c: [] for c in OWN}
         for i in range(batch.num_rows):
             own = raw[offsets[i]: offsets[i + 1]]

@@ -8,7 +8,7 @@ always lie in blocks of the same anchor.  A block row is
     head   hash of the anchor's symbols
     body   hash of the whole block (first to last symbol, anchor's place, size)
     doc    the document's key
-    at     the row's tag, first window, number of windows and kind, packed
+    at     the row's tag, first window, anchor, number of windows and kind, packed
 
 Kinds: PENDING blocks are still to be compared with those of other tasks,
 SETTLED ones are known to repeat an earlier block as a whole, OPEN ones share
@@ -32,21 +32,24 @@ from .frames import COMBINE, carried, key_column
 from .symbols import SLICE, Spans, U, mix, row_groups, text_buffer
 
 PENDING, SETTLED, OPEN, TOKEN = range(4)
-KIND_BITS, SIZE_BITS, PLACE_BITS, TAG_BITS = 2, 7, 31, 23
+KIND_BITS, SIZE_BITS, ANCHOR_BITS, PLACE_BITS, TAG_BITS = 2, 7, 7, 31, 16
+STEP = 8  # neighbouring windows of an open block compared together
 NO_KEY = -(1 << 63)  # stands for a null key
 ROW = "head long, body long, doc long, at long"
 _PLACE = (1 << 21) - 1
 
 
-def packed(tag, place, size, kind):
-    return (((tag << PLACE_BITS | place) << SIZE_BITS | size) << KIND_BITS) | kind
+def packed(tag, place, anchor, size, kind):
+    return ((((tag << PLACE_BITS | place) << ANCHOR_BITS | anchor) << SIZE_BITS | size) << KIND_BITS) | kind
 
 
 def unpacked(at: np.ndarray):
-    """(tag, first window, number of windows, kind) of packed places."""
-    size = at >> KIND_BITS
-    place = size >> SIZE_BITS
-    return place >> PLACE_BITS, place & ((1 << PLACE_BITS) - 1), size & ((1 << SIZE_BITS) - 1), at & ((1 << KIND_BITS) - 1)
+    """(tag, first window, anchor's distance from it, number of windows, kind) of packed places."""
+    out = []
+    for bits in (KIND_BITS, SIZE_BITS, ANCHOR_BITS, PLACE_BITS):
+        out.append(at & ((1 << bits) - 1))
+        at = at >> bits
+    return at, *out[::-1]
 
 
 def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -63,8 +66,8 @@ def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def blocks(values: np.ndarray, offsets: np.ndarray, width: int, gram: int):
-    """Blocks of all texts of a batch: (text, first window, windows, head, body)."""
-    out = [[np.empty(0, np.int64)] * 3 + [np.empty(0, U)] * 2]
+    """Blocks of all texts of a batch: (text, first window, anchor's distance, windows, head, body)."""
+    out = [[np.empty(0, np.int64)] * 4 + [np.empty(0, U)] * 2]
     for a, b in row_groups(offsets):
         begin, end = int(offsets[a]), int(offsets[b])
         for lo in range(begin, end, SLICE):
@@ -85,21 +88,40 @@ def blocks(values: np.ndarray, offsets: np.ndarray, width: int, gram: int):
             size = np.diff(np.append(run, len(text)))
             first, anchor, text = window[run], anchor[run], text[run]
             body = mix(spans.hash(first, first + size - 1 + width) + (anchor - first).astype(U) * U(0x9E3779B97F4A7C15) + size.astype(U))
-            out.append([text + a, first + lo - offsets[a + text], size, hashes[anchor], body])
+            out.append([text + a, first + lo - offsets[a + text], anchor - first, size, hashes[anchor], body])
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-def window_hashes(values: np.ndarray, starts: np.ndarray, width: int):
-    """Two independent hashes of the windows at ``starts`` of one text."""
-    first, second = np.empty(len(starts), U), np.empty(len(starts), U)
+def _span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of short spans of one text's symbols."""
+    out = np.empty(len(start), U)
     for lo in range(0, len(values), SLICE):
-        here = np.flatnonzero((starts >= lo) & (starts < lo + SLICE))
+        here = np.flatnonzero((start >= lo) & (start < lo + SLICE))
         if len(here):
-            part = values[lo: lo + SLICE + width]
-            at = starts[here] - lo
-            first[here] = Spans(part).hash(at, at + width)
-            second[here] = Spans(mix(part + U(0xA0761D6478BD642F))).hash(at, at + width)
-    return first, second
+            out[here] = Spans(values[lo: max(lo + SLICE, int(end[here].max()))]).hash(start[here] - lo, end[here] - lo)
+    return out
+
+
+def pieces(values: np.ndarray, first, anchor, size, width: int, step: int):
+    """Open blocks of one text cut into pieces of ``step`` neighbouring windows.
+
+    Pieces are aligned on the anchor, so that equal windows fall into pieces of
+    one place.  A piece's head is the hash of the symbols that all its windows
+    share: where two heads differ, no window of the two pieces is equal.  Its
+    body is the hash of all its symbols.
+    """
+    window = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+    mark = np.repeat(first + anchor, size)
+    order = np.lexsort((window, mark))
+    window, mark = window[order], mark[order]
+    slot = (mark - window) // step
+    new = np.ones(len(window), bool)
+    new[1:] = (mark[1:] != mark[:-1]) | (slot[1:] != slot[:-1])
+    run = np.flatnonzero(new)
+    low, count, mark, slot = window[run], np.diff(np.append(run, len(window))), mark[run], slot[run]
+    head = _span_hashes(values, mark - slot * step, mark - slot * step - step + 1 + width)
+    body = _span_hashes(mix(values + U(0xA0761D6478BD642F)), low, low + count - 1 + width)
+    return low, mark - low, count, head, mix(body + (mark - low).astype(U) * U(0x9E3779B97F4A7C15) + count.astype(U))
 
 
 def settle(head, body, doc, at, by_doc: bool):
@@ -155,7 +177,8 @@ def combined(head, body, doc, at, by_doc: bool, open_windows: bool) -> pa.Record
 def resolve(batches: Iterable[pa.RecordBatch], by_doc: bool) -> Iterator[pa.RecordBatch]:
     """Settle rows that come sorted by (head, body, doc, at), in constant memory.
 
-    Yields (doc, at) of SETTLED and OPEN blocks.  Between batches only the last
+    Yields (doc, at, number of windows) of SETTLED and OPEN rows.  A SETTLED row
+    of size 0 has its number of windows as body.  Between batches only the last
     anchor's state is kept: its hash, the class being read, the class's first
     place, whether several classes were seen, and rows of the first class that
     wait for a second one (the first document's own, one row but for ``by_doc``).
@@ -163,18 +186,23 @@ def resolve(batches: Iterable[pa.RecordBatch], by_doc: bool) -> Iterator[pa.Reco
     head = body = first = None
     several, waiting = False, []
 
-    def rows(out):
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["doc", "at"])
+    def rows(doc, at, size=None):
+        own = at >> KIND_BITS & ((1 << SIZE_BITS) - 1)
+        size = own if size is None else np.where(own, own, size)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, at, size)], ["doc", "at", "size"])
+
+    def found(out):
+        both = np.array(out, np.int64).reshape(-1, 2)
+        return rows(both[:, 0], both[:, 1])
 
     for batch in batches:
         h, b, d, a = (np.asarray(batch.column(i)) for i in range(4))
         kind = a & 3
         done = (kind == SETTLED) | (kind == OPEN)
         if done.any():
-            yield pa.RecordBatch.from_arrays([pa.array(d[done]), pa.array(a[done])], ["doc", "at"])
+            yield rows(d[done], a[done], b[done])
             h, b, d, a, kind = (x[~done] for x in (h, b, d, a, kind))
         if not len(h):
-            yield rows([])
             continue
         # anchors with one row in this batch and none beside it need no look
         alone = np.ones(len(h), bool)
@@ -201,7 +229,8 @@ def resolve(batches: Iterable[pa.RecordBatch], by_doc: bool) -> Iterator[pa.Reco
             if several:
                 out += waiting
                 waiting = []
-        yield rows(out)
+        if out:
+            yield found(out)
 
 
 def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,65 +255,45 @@ def _block_rows(batches, symbols, width, gram, by_doc):
                 values, at = symbols(raw[offsets[c]: offsets[d]], offsets[c: d + 1] - offsets[c])
                 part = blocks(values, at, width, gram)
                 out.append([part[0] + c, *part[1:]])
-            text, first, size, head, body = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield combined(head, body, doc[text], packed(tag[text], first, size, 0), by_doc, True)
+            text, first, anchor, size, head, body = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield combined(head, body, doc[text], packed(tag[text], first, anchor, size, 0), by_doc, True)
 
 
-def _window_rows(batches, symbols, width, by_doc):
-    """Windows of open blocks one by one, and settled stretches joined: a row with size 0 and its length as body."""
+def _piece_rows(batches, symbols, width, by_doc, step):
+    """Open blocks in pieces of ``step`` windows; settled stretches joined, a row of size 0 with its windows as body."""
     for batch in batches:
         raw, offsets = text_buffer(batch.column("text"))
-        docs, tags, found = np.asarray(batch.column("doc")), np.asarray(batch.column("tag")), batch.column("found")
-        starts, flat = np.asarray(found.offsets), np.asarray(found.flatten().field("at")) if len(found) else np.empty(0, np.int64)
-        starts = starts - starts[0] if len(starts) else starts
+        docs, tags = np.asarray(batch.column("doc")), np.asarray(batch.column("tag"))
+        starts, places, sizes = lists_of(batch.column("found"), "at", "size")
         rows, settled, held = [], [], 0
         for i in np.flatnonzero(np.diff(starts)).tolist():
-            _, first, size, kind = unpacked(flat[starts[i]: starts[i + 1]])
+            _, first, anchor, _, kind = unpacked(places[starts[i]: starts[i + 1]])
+            size = sizes[starts[i]: starts[i + 1]]
             done, todo = kind == SETTLED, kind == OPEN
             s, e = merged(first[done], (first + size)[done])
-            settled.append((np.full(len(s), docs[i]), packed(int(tags[i]), s, 0, SETTLED), e - s))
+            settled.append((np.full(len(s), docs[i]), packed(int(tags[i]), s, 0, 0, SETTLED), e - s))
             if todo.any():
-                begin, n = first[todo], size[todo]
-                window = np.unique(np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum()))
                 values, _ = symbols(raw[offsets[i]: offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
-                rows.append((*window_hashes(values, window, width), np.full(len(window), docs[i]), packed(int(tags[i]), window, 1, 0)))
-                held += len(window)
+                low, mark, count, head, body = pieces(values, first[todo], anchor[todo], size[todo], width, step)
+                rows.append((head, body, np.full(len(low), docs[i]), packed(int(tags[i]), low, mark, count, 0)))
+                held += len(low)
             if held > COMBINE // 16:
-                yield combined(*(np.concatenate(x) for x in zip(*rows, strict=True)), by_doc, False)
+                yield combined(*(np.concatenate(x) for x in zip(*rows, strict=True)), by_doc, step > 1)
                 rows, held = [], 0
         if rows:
-            yield combined(*(np.concatenate(x) for x in zip(*rows, strict=True)), by_doc, False)
+            yield combined(*(np.concatenate(x) for x in zip(*rows, strict=True)), by_doc, step > 1)
         if settled:
             doc, at, size = (np.concatenate(x) for x in zip(*settled, strict=True))
             yield _batch(mix((at ^ doc).view(U)), size, doc, at)
 
 
-def _spans(batches, by_doc):
-    """(doc, tag, first, size): runs of repeated windows, after the windows' comparison."""
-    ready: list[pa.RecordBatch] = []
-
-    def out(doc, at, size=None):
-        tag, first, own, _ = unpacked(at)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, tag, first, own if size is None else size)], ["doc", "tag", "first", "size"])
-
-    def windows():
-        for batch in batches:
-            body, doc, at = (np.asarray(batch.column(c)) for c in ("body", "doc", "at"))
-            joined = ((at >> KIND_BITS) & ((1 << SIZE_BITS) - 1)) == 0
-            ready.append(out(doc[joined], at[joined], body[joined]))
-            yield batch.filter(pa.array(~joined))
-
-    for done in resolve(windows(), by_doc):
-        yield out(np.asarray(done.column("doc")), np.asarray(done.column("at")))
-        while ready:
-            yield ready.pop()
-    yield from ready
-
-
-def _compared(rows: DataFrame, step, schema: str, by_doc: bool) -> DataFrame:
-    """Rows of one head side by side and in order, through ``step``."""
+def _with_found(docs: DataFrame, rows: DataFrame, by_doc: bool, *columns: str) -> DataFrame:
+    """``docs`` with the findings among ``rows``, compared with rows of the same head side by side and in order."""
     keyed = rows.repartition("head").sortWithinPartitions("head", "body", "doc", "at")
-    return keyed.mapInArrow(partial(step, by_doc=by_doc), schema)
+    found = keyed.mapInArrow(partial(resolve, by_doc=by_doc), "doc long, at long, size long")
+    place = F.shiftrightunsigned("at", ANCHOR_BITS + SIZE_BITS + KIND_BITS)
+    found = found.select("doc", F.shiftrightunsigned(place, PLACE_BITS).alias("tag"), "at", place.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("first"), "size")
+    return docs.join(found.groupBy("doc", "tag").agg(F.collect_set(F.struct(*columns)).alias("found")), ["doc", "tag"], "left")
 
 
 def with_repeats(docs: DataFrame, symbols, width: int, gram: int, by_doc: bool) -> DataFrame:
@@ -293,17 +302,15 @@ def with_repeats(docs: DataFrame, symbols, width: int, gram: int, by_doc: bool)
     ``symbols(raw, offsets)`` gives the symbols of a batch of texts and their
     offsets.  ``found`` is an array of (first, size), null where nothing was
     found; windows first .. first + size - 1 of the document are repeats.  The
-    documents are shuffled once; the second join reads the same shuffle.
+    documents are shuffled once; all joins read that same shuffle.
     """
-    if not gram < width <= gram + (1 << SIZE_BITS) - 1:
-        raise ValueError("width must exceed gram by 1 to 127")
+    if not gram + STEP <= width < gram + (1 << SIZE_BITS):
+        raise ValueError(f"width must exceed gram by {STEP} to {(1 << SIZE_BITS) - 1}")
     rows = docs.select("doc", "tag", "text").mapInArrow(partial(_block_rows, symbols=symbols, width=width, gram=gram, by_doc=by_doc), ROW)
-    found = _compared(rows, resolve, "doc long, at long", by_doc)
-    found = found.withColumn("tag", F.shiftrightunsigned("at", PLACE_BITS + SIZE_BITS + KIND_BITS))
-    opened = docs.join(found.groupBy("doc", "tag").agg(F.collect_set(F.struct("at")).alias("found")), ["doc", "tag"], "left")
-    rows = opened.where("found is not null").mapInArrow(partial(_window_rows, symbols=symbols, width=width, by_doc=by_doc), ROW)
-    spans = _compared(rows, _spans, "doc long, tag long, first long, size long", by_doc)
-    return docs.join(spans.groupBy("doc", "tag").agg(F.collect_set(F.struct("first", "size")).alias("found")), ["doc", "tag"], "left")
+    for step in (STEP, 1):
+        opened = _with_found(docs, rows, by_doc, "at", "size").where("found is not null")
+        rows = opened.mapInArrow(partial(_piece_rows, symbols=symbols, width=width, by_doc=by_doc, step=step), ROW)
+    return _with_found(docs, rows, by_doc, "first", "size")
 
 
 def keyed_documents(df: DataFrame) -> DataFrame:
@@ -313,8 +320,7 @@ def keyed_documents(df: DataFrame) -> DataFrame:
     return df.select(key_column(df).alias("doc"), tag.alias("tag"), text, carried(df, "text").alias("rest"))
 
 
-def spans_of(found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets by row, first windows and sizes of a ``found`` column."""
-    starts = np.asarray(found.offsets)
-    flat = found.flatten()
-    return starts - starts[0], np.asarray(flat.field("first")), np.asarray(flat.field("size"))
+def lists_of(found: pa.Array, *fields: str) -> list[np.ndarray]:
+    """Offsets by row, and the flattened fields, of an array of structs."""
+    starts, flat = np.asarray(found.offsets), found.flatten()
+    return [starts - starts[0] if len(starts) else np.zeros(1, np.int64), *(np.asarray(flat.field(x)) for x in fields)]

@@ -9,8 +9,10 @@ the repeated windows.  A digit is the hash of a stretch of the suffix:
    windows of one anchor travel as one row, so about one suffix in 35 moves;
 2. the stretch from the first of these windows to the end of the last.  Rows
    that are still equal are settled: all their windows repeat the first row's;
-3. only for rows that agree in the first digit but not in the second, each of
-   their windows by itself (128 bits).
+3. only for rows that agree in the first digit but not in the second, pieces of
+   eight neighbouring windows: first the bytes all eight share, then all bytes;
+4. only for pieces that agree in the former and not in the latter, each of their
+   windows by itself (128 bits).
 
 Each digit is a pass: a shuffle by the digit, a sort inside the partitions, and
 a reader of constant memory.  Rows that a task can settle alone, such as those
@@ -40,7 +42,7 @@ def byte_symbols(raw: np.ndarray, offsets: np.ndarray):
 def _removed(batches, width):
     for batch in batches:
         raw, offsets = text_buffer(batch.column("text"))
-        starts, first, size = R.spans_of(batch.column("found"))
+        starts, first, size = R.lists_of(batch.column("found"), "first", "size")
         out = {c: [] for c in OWN}
         for i in range(batch.num_rows):
             text = raw[offsets[i]: offsets[i + 1]].tobytes()

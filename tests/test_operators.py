@@ -32,12 +32,13 @@ def test_first_and_later_rows_partition_the_input(spark, rows):
     assert rows(R.later_per_key(d, "k", "ord")) == [(3, 1, "c"), (4, None, "d")]
 
 
-@pytest.mark.parametrize("chunks", [1, 3])
-def test_grid(spark, rows, chunks):
+@pytest.mark.parametrize("size", [100, 1])
+def test_grid(spark, rows, monkeypatch, size):
+    monkeypatch.setattr(R, "LIST", size)  # with 1 every value is a chunk of its own
     a = spark.createDataFrame([(1, "r"), (2, "s")], "h int, g string")
     b = spark.createDataFrame([("r", "x"), ("r", "y"), ("s", "x"), ("r", "x")], "g string, sp string")
-    assert rows(R.grid(a, b, "sp", chunks=chunks), "h", "sp") == [(1, "x"), (1, "y"), (2, "x"), (2, "y")]
-    assert rows(R.grid(a, b, "sp", within="g", chunks=chunks), "h", "sp") == [(1, "x"), (1, "y"), (2, "x")]
+    assert rows(R.grid(a, b, "sp"), "h", "sp") == [(1, "x"), (1, "y"), (2, "x"), (2, "y")]
+    assert rows(R.grid(a, b, "sp", within="g"), "h", "sp") == [(1, "x"), (1, "y"), (2, "x")]
 
 
 def test_append_missing_and_fill(spark, rows):
@@ -208,3 +209,21 @@ def test_unmapped_share(spark, rows):
 def test_state_records(spark, rows):
     r = spark.createDataFrame([("MA", "x", 1, 5.0, 1.0), ("MA", "x", 1, 5.0, 1.0), ("MA", "y", 1, 5.0, 1.0), ("MA", "y", 1, 6.0, 2.0)], "state string, taxa_format string, year int, tl_lb double, tl_mt double")
     assert rows(L.roll_up_state_records(r), "taxa_format", "tl_lb", "num_rec") == [("x", 5.0, 2), ("y", 11.0, 2)]
+
+
+def test_catch_of_unknown_weight_is_present(spark, rows):
+    hauls = spark.createDataFrame([("1", "r"), ("2", "r"), ("3", "r")], "haulid string, regionfact string")
+    catch = spark.createDataFrame([("1", "a b_Atl", 5.0, 1.6, True), ("2", "a b_Atl", -9999.0, None, True)],
+                                  "haulid string, sppocean string, wtcpue double, logwtcpue double, presfit boolean")
+    got = rows(V.zero_fill_regional(catch, hauls), "haulid", "wtcpue", "logwtcpue", "presfit")
+    assert got == [("1", 5.0, 1.6, True), ("2", None, None, True), ("3", 0.0, -10.0, False)]
+
+
+@pytest.mark.parametrize("size", [100, 1])
+def test_zero_fill_with_a_long_list(spark, rows, monkeypatch, size):
+    monkeypatch.setattr(R, "LIST", size)
+    hauls = spark.createDataFrame([(str(i),) for i in range(5)], "haulid string")
+    catch = spark.createDataFrame([("0", "a", 1.0), ("0", "b", 2.0), ("3", "c", None)], "haulid string, spp string, wtcpue double")
+    got = rows(V.zero_fill(catch, hauls), "haulid", "spp", "wtcpue", "pres2")
+    caught = {("0", "a"): 1.0, ("0", "b"): 2.0, ("3", "c"): 0.0}
+    assert got == sorted((str(i), s, caught.get((str(i), s), 0.0), (str(i), s) in caught) for i in range(5) for s in "abc")

@@ -1,8 +1,9 @@
 """Joins, keyed filters and unions with NULL-matches-NULL keys.
 
-No join here carries a broadcast hint: Spark compares the measured size of a
-side with ``spark.sql.autoBroadcastJoinThreshold`` and falls back to a
-sort-merge join, whose hot partitions adaptive execution splits.
+No join here carries a broadcast hint but that with a counted list of values:
+Spark compares the measured size of a side with
+``spark.sql.autoBroadcastJoinThreshold`` and falls back to a sort-merge join,
+whose hot partitions adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def _names(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
@@ -115,25 +118,34 @@ def pick(df: DataFrame, wanted) -> DataFrame:
     return df.select(*[c for c in df.columns if c in keep])
 
 
-def grid(
-    df: DataFrame, values: DataFrame, col: str, within=(), chunks: int = 1, minus: str | None = None
-) -> DataFrame:
-    """Every row of ``df`` with every distinct value of ``values[col]``, within
-    groups of the ``within`` columns when given.
+LIST = 100_000  # values in one array; a longer list is cut and its rows are salted
+SALTS = 64
+
 
-    The value list is cut by hash into ``chunks`` arrays per group; rows meet the
-    arrays by an equi-join on (group, chunk) and are exploded in place, so the
-    product itself is never shuffled.  Raise ``chunks`` for a very long list.
-    ``minus`` names an array column of ``df`` with values to leave out.
+def with_lists(df: DataFrame, values: DataFrame, col: str, within=()) -> DataFrame:
+    """``df`` with the distinct values of ``values[col]`` as the array ``__values``, within groups of the ``within``
+    columns when given, and ``__chunk``.
+
+    The list is stored and counted.  Up to ``LIST`` values it goes to every task
+    as it is, so ``df`` is not shuffled.  A longer one is cut by hash into chunks
+    of about that size; then a row comes once per chunk and finds it by an
+    equi-join on (group, chunk, salt), whose salts spread the rows of a group.
     """
     within = _names(within)
-    lists = (
-        values.select(*within, col).where(F.col(col).isNotNull()).distinct()
-        .groupBy(*within, F.pmod(F.xxhash64(col), F.lit(chunks)).cast("int").alias("__chunk"))
-        .agg(F.collect_list(col).alias("__values"))
-    )
+    lists = cut(values.select(*within, col).where(F.col(col).isNotNull()).distinct())
+    n = lists.count()
+    chunks = max(1, -(-n // LIST))
+    lists = lists.groupBy(*within, F.pmod(F.xxhash64(col), F.lit(chunks)).cast("int").alias("__chunk")).agg(F.collect_list(col).alias("__values"))
+    if chunks == 1:
+        if within:
+            return merge(df.withColumn("__chunk", F.lit(0)), F.broadcast(lists), by=[*within, "__chunk"])
+        return df.withColumn("__chunk", F.lit(0)).join(F.broadcast(lists), "__chunk")
     rows = df.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    out = merge(rows, lists, by=within + ["__chunk"])
-    vals = F.col("__values") if minus is None else F.array_except("__values", minus)
-    cols = [c for c in df.columns if c != minus]
-    return out.select(*cols, F.explode(vals).alias(col))
+    rows = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    lists = lists.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return merge(rows, lists, by=[*within, "__chunk", "__salt"]).drop("__salt")
+
+
+def grid(df: DataFrame, values: DataFrame, col: str, within=()) -> DataFrame:
+    """Every row of ``df`` with every distinct value of ``values[col]``, within groups of the ``within`` columns when given."""
+    return with_lists(df, values, col, within).select(*df.columns, F.explode("__values").alias(col))

@@ -9,7 +9,7 @@ from ..functions.geo import round_to
 from ..functions.missing import _c, fill, floor_zero, n_unique, sentinel_to_null
 from ..functions.text import capitalize
 from .panel import share
-from .relational import _names, grid, having, keep_in, merge
+from .relational import _names, grid, having, keep_in, merge, with_lists
 
 # -- fixed values: survey programme -> assessment sub-area --------------------
 REGION_SUBAREA = {
@@ -88,30 +88,33 @@ def _recode(df: DataFrame, measures) -> DataFrame:
     return df
 
 
-def zero_fill(catch: DataFrame, hauls: DataFrame, measures=("wtcpue",), within=(), spp="spp", chunks: int = 1,
-              recode: bool = True) -> DataFrame:
+def zero_fill(catch: DataFrame, hauls: DataFrame, measures=("wtcpue",), within=(), spp="spp", recode: bool = True) -> DataFrame:
     """Every haul with every species; absences get zero catch.
 
-    Caught rows come from one equi-join; absent rows are exploded per haul from
-    the species list less the haul's own species.  So hauls and catches are
-    shuffled once each, never the full haul-by-species product.  ``within``
-    limits a species to hauls of the groups in which it occurs.
+    Catches are gathered per haul once and meet the hauls in one equi-join; the
+    haul's own rows and its absent species, taken from the species list, are
+    then exploded in place, so the haul-by-species product is never shuffled.
+    ``within`` limits a species to hauls of the groups in which it occurs.
     """
     catch = catch.where(F.col(spp).isNotNull())
     shared = [c for c in catch.columns if c in hauls.columns]
     own = [c for c in catch.columns if c not in shared]
-    present = merge(hauls, catch, by=shared).withColumn("pres2", F.lit(True))
-    caught = catch.groupBy(*shared).agg(F.collect_set(spp).alias("__caught"))
-    empty = F.array().cast(f"array<{catch.schema[spp].dataType.simpleString()}>")
-    todo = merge(hauls, caught, by=shared, how="left").withColumn("__caught", F.coalesce("__caught", empty))
-    values = catch
-    if within:
-        where = hauls.select("haulid", *within)
-        values = merge(catch.select("haulid", spp), where, by="haulid")
-    absent = grid(todo, values, spp, within=within, chunks=chunks, minus="__caught")
-    absent = absent.withColumn("pres2", F.lit(False))
-    out = present.unionByName(absent, allowMissingColumns=True)
-    out = out.select(*hauls.columns, *own, "pres2")
+    nulls = "drop" if shared == ["haulid"] else "match"
+    caught = catch.groupBy(*shared).agg(F.collect_list(F.struct(*own)).alias("__caught"))
+    values = merge(catch.select("haulid", spp), hauls.select("haulid", *within), by="haulid", nulls="drop") if within else catch
+    todo = with_lists(merge(hauls, caught, by=shared, how="left", nulls=nulls), values, spp, within)
+    kind = caught.schema["__caught"].dataType.elementType
+    empty = F.array().cast(caught.schema["__caught"].dataType)
+    mine = F.coalesce("__caught", empty)
+
+    def row(values, here):
+        return F.struct(*[values(f).cast(f.dataType).alias(f.name) for f in kind.fields], F.lit(here).alias("pres2"))
+
+    present = F.when(F.col("__chunk") == 0, F.transform(mine, lambda r: row(lambda f: r[f.name], True)))
+    species = F.transform(mine, lambda r: r[spp])
+    absent = F.transform(F.array_except("__values", species), lambda s: row(lambda f: s if f.name == spp else F.lit(None), False))
+    rows = F.concat(F.coalesce(present, F.filter(absent, lambda r: F.lit(False))), absent)
+    out = todo.select(*hauls.columns, F.explode(rows).alias("__row")).select(*hauls.columns, *[F.col(f"__row.`{c}`").alias(c) for c in [*own, "pres2"]])
     return _recode(out, measures) if recode else out
 
 
@@ -195,13 +198,20 @@ def zero_fill_full(catch: DataFrame, hauls: DataFrame, measures=("wtcpue", "cntc
 
 
 def zero_fill_regional(catch: DataFrame, hauls: DataFrame) -> DataFrame:
-    """Species meet only the hauls of regions where they occur; absences are
-    0 in weight, -10 in log weight and FALSE in presence."""
-    out = zero_fill(catch, hauls, (), within=("regionfact",), spp="sppocean", recode=False).drop("pres2")
+    """Species meet only the hauls of regions where they occur.
+
+    Absences are 0 in weight, -10 in log weight and FALSE in presence.  A catch
+    of unknown weight (the sentinel or NULL) stays a presence with NULL weights.
+    """
+    out = zero_fill(catch, hauls, (), within=("regionfact",), spp="sppocean", recode=False)
+    absent = ~F.col("pres2")
+    weight = sentinel_to_null("wtcpue")
     return out.withColumns({
         "spp": capitalize(F.substring_index("sppocean", "_", 1)),
-        "wtcpue": fill("wtcpue", 0.0), "logwtcpue": fill("logwtcpue", -10.0), "presfit": fill("presfit", False),
-    })
+        "wtcpue": F.when(absent, 0.0).otherwise(weight),
+        "logwtcpue": F.when(absent, -10.0).when(weight.isNotNull(), F.col("logwtcpue")),
+        "presfit": F.when(absent, False).otherwise(fill("presfit", True)),
+    }).drop("pres2")
 
 
 # -- biomass -----------------------------------------------------------------

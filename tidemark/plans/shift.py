@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.missing import sentinel_to_null
 from ..operators import panel as P
 from ..operators import relational as R
 from ..operators import shift as S
@@ -24,12 +25,12 @@ VIEWS["v_pred"] = """
     SELECT *, pred_pres * exp(pred_log_bio) AS pred_total FROM (
       SELECT h.*, m.sppocean, upper(substr(m.sppocean, 1, 1)) || substr(split_part(m.sppocean, '_', 1), 2) AS spp,
       CASE regionfact WHEN 'AFSC_EBS' THEN 'EBS' WHEN 'NEFSC_NEUS' THEN 'US East Coast' WHEN 'NWFSC_WCAnn' THEN 'US West Coast' WHEN 'SCDNR_SEUS' THEN 'SEUS' WHEN 'DFO_ScotianShelf' THEN 'Canada East Coast' END AS subarea,
-      coalesce(c.wtcpue, 0) AS wtcpue, coalesce(c.presfit, FALSE) AS presfit,
+      CASE WHEN c.haulid IS NULL THEN 0 ELSE c.wtcpue END AS wtcpue, c.haulid IS NOT NULL AS presfit,
       1 / (1 + exp(-(p_0 + "p_SBT_seasonal" * "SBT_seasonal" + "p_SST_seasonal_mean" * "SST_seasonal_mean" + p_rugosity * rugosity))) AS pred_pres,
       b_0 + "b_SBT_seasonal" * "SBT_seasonal" + "b_SST_seasonal_mean" * "SST_seasonal_mean" + b_rugosity * rugosity AS pred_log_bio
       FROM v_hauls h JOIN (SELECT DISTINCT regionfact, sppocean FROM v_catch_ok JOIN v_hauls USING (haulid)) o USING (regionfact) JOIN v_model m ON m.sppocean = o.sppocean
       LEFT JOIN v_catch_ok c ON c.haulid = h.haulid AND c.sppocean = o.sppocean WHERE o.sppocean <> 'promo marina_Atl' OR regionfact IN ('NEFSC_NEUS', 'AFSC_EBS'))"""
-VIEWS["v_catch_ok"] = "SELECT * FROM v_catch WHERE wtcpue <> -9999"
+VIEWS["v_catch_ok"] = "SELECT * REPLACE (nullif(wtcpue, -9999) AS wtcpue) FROM v_catch"
 
 
 def _strict(c, n=None):
@@ -37,7 +38,7 @@ def _strict(c, n=None):
 
 
 def _w(x, w):
-    return f"sum({x} * {w}) / nullif(sum({w}), 0)"
+    return f"CASE WHEN count(*) = count({w}) THEN sum({x} * {w}) / nullif(sum({w}), 0) END"
 
 
 VIEWS["v_cent"] = f"""
@@ -45,15 +46,15 @@ VIEWS["v_cent"] = f"""
     {_w('lat', 'pred_pres')} AS pred_lat_pres, {_w('lon', 'pred_pres')} AS pred_lon_pres, {_w('depth', 'pred_pres')} AS pred_depth_pres,
     {_w('lat', 'pred_total')} AS pred_lat_bio, {_w('lon', 'pred_total')} AS pred_lon_bio, {_w('depth', 'pred_total')} AS pred_depth,
     {_strict('SBT_seasonal')}, {_strict('SST_seasonal_mean', 'SST_seasonal')}, {_strict('SBT_min')}, {_strict('SST_min')}, {_strict('SBT_max')}, {_strict('SST_max')},
-    avg(wtcpue) AS wtcpue, avg(CAST(presfit AS INTEGER)) AS freq_occ FROM v_pred WHERE depth IS NOT NULL GROUP BY 1, 2, 3, 4"""
+    {_strict('wtcpue')}, avg(CAST(presfit AS INTEGER)) AS freq_occ FROM v_pred WHERE depth IS NOT NULL GROUP BY 1, 2, 3, 4"""
 VIEWS["v_shift"] = """
     SELECT *, obs_d - pred_d AS annual_obsminuspred, sign(pred_d)::DOUBLE AS sign_pred, (obs_d - pred_d) * sign(pred_d) AS annual_bias, count(obs_lat) OVER (PARTITION BY spp, sppocean, subarea) AS nyrs_obs FROM
     (SELECT *, lead(obs_lat) OVER w - obs_lat AS obs_d, lead(pred_lat_bio) OVER w - pred_lat_bio AS pred_d FROM v_cent WINDOW w AS (PARTITION BY spp, sppocean, subarea ORDER BY year))"""
 
 
 def catch_ok(v):
-    """Catches without the missing-weight sentinel, which these means do not take."""
-    return v.catch().where(F.col("wtcpue") != -9999).drop("cntcpue")
+    """Catches with NULL for the missing-weight sentinel; the fish was there all the same."""
+    return v.catch().withColumn("wtcpue", sentinel_to_null("wtcpue")).drop("cntcpue")
 
 
 def model(v):
@@ -87,8 +88,8 @@ def _(v):
     return predictions(v).select("haulid", "sppocean", "pred_pres", "pred_log_bio", "pred_total", "presfit")
 
 
-@query("j19_observed_centroid", """
-    SELECT sppocean, regionfact, year, sum(lat * wtcpue) / sum(wtcpue) AS lat_cent, avg(lat) AS lat_cent_pres FROM v_catch_ok JOIN v_hauls USING (haulid) GROUP BY 1, 2, 3""", fl="lat_cent lat_cent_pres")
+@query("j19_observed_centroid", f"""
+    SELECT sppocean, regionfact, year, {_w('lat', 'wtcpue')} AS lat_cent, avg(lat) AS lat_cent_pres FROM v_catch_ok JOIN v_hauls USING (haulid) GROUP BY 1, 2, 3""", fl="lat_cent lat_cent_pres")
 def _(v):
     return S.observed_centroid(_located(v), ["sppocean", "regionfact", "year"])
 
@@ -105,7 +106,7 @@ def _(v):
 
 
 @query("k24_observed_vs_predicted", f"""
-    SELECT * FROM (SELECT sppocean, regionfact, year, sum(lat * wtcpue) / sum(wtcpue) AS lat_cent FROM v_catch_ok JOIN v_hauls USING (haulid) GROUP BY 1, 2, 3)
+    SELECT * FROM (SELECT sppocean, regionfact, year, {_w('lat', 'wtcpue')} AS lat_cent FROM v_catch_ok JOIN v_hauls USING (haulid) GROUP BY 1, 2, 3)
     JOIN (SELECT sppocean, regionfact, year, {_w('lat', 'pred_total')} AS lat_cent_cm FROM v_pred GROUP BY 1, 2, 3) USING (sppocean, regionfact, year)""", fl="lat_cent lat_cent_cm")
 def _(v):
     by = ["sppocean", "regionfact", "year"]

@@ -84,17 +84,14 @@ def _(v):
 
 
 @query("j3_zero_fill_regional", """
-    WITH w AS (SELECT c.*, h.regionfact FROM v_catch c JOIN v_hauls h USING (haulid) WHERE h.regionfact <> 'AFSC_EBS' OR c.sppocean < 'p'),
+    WITH w AS (SELECT c.*, h.regionfact FROM v_catch c JOIN v_hauls h USING (haulid)),
     m AS (SELECT h.haulid, h.regionfact, s.sppocean, h.year, h.lat FROM v_hauls h JOIN (SELECT DISTINCT regionfact, sppocean FROM w) s USING (regionfact))
     SELECT m.haulid, m.regionfact, m.sppocean, upper(substr(m.sppocean, 1, 1)) || substr(split_part(m.sppocean, '_', 1), 2) AS spp, m.year, m.lat,
-    coalesce(w.wtcpue, 0) AS wtcpue, coalesce(w.logwtcpue, -10) AS logwtcpue, coalesce(w.presfit, FALSE) AS presfit
+    CASE WHEN w.haulid IS NULL THEN 0 ELSE nullif(w.wtcpue, -9999) END AS wtcpue, CASE WHEN w.haulid IS NULL THEN -10 ELSE w.logwtcpue END AS logwtcpue, coalesce(w.presfit, FALSE) AS presfit
     FROM m LEFT JOIN w ON m.haulid = w.haulid AND m.sppocean = w.sppocean""", fl="logwtcpue")
 def _(v):
     h = v.hauls()
-    keep = h.select("haulid", "regionfact")
-    c = R.merge(v.catch().drop("cntcpue"), keep, by="haulid", nulls="drop")
-    c = c.where((F.col("regionfact") != "AFSC_EBS") | (F.col("sppocean") < "p")).drop("regionfact")
-    d = V.zero_fill_regional(c, h.select("haulid", "regionfact", "year", "lat"))
+    d = V.zero_fill_regional(v.catch().drop("cntcpue"), h.select("haulid", "regionfact", "year", "lat"))
     return d.select("haulid", "regionfact", "sppocean", "spp", "year", "lat", "wtcpue", "logwtcpue", "presfit")
 
 

@@ -120,7 +120,11 @@ def weighted_mean(x, w, cond: Column | None = None) -> Column:
 
 
 def weighted_var(x, w) -> Column:
-    """Weighted variance over complete pairs with divisor (sum of weights - 1)."""
+    """Weighted variance over complete pairs with divisor (sum of weights - 1).
+
+    One pass of squares: shift ``x`` near zero first, by any constant of the
+    group (``panel.weighted_variance`` does), or large means cancel.
+    """
     x, w = _c(x).cast("double"), _c(w).cast("double")
     both = x.isNotNull() & w.isNotNull()
     sw = F.sum(F.when(both, w))

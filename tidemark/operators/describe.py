@@ -10,11 +10,11 @@ from .relational import _names, keep_in, merge
 
 
 def histogram(df: DataFrame, x: str, lo: float, width: float, by=(), w: str | None = None) -> DataFrame:
-    """Right-closed bins (the first also holds its left end): count, and with
-    ``w`` the weight and its share."""
+    """Right-closed bins counted from ``lo`` (bin 0 also holds ``lo`` itself, values below it have negative bins):
+    count, and with ``w`` the weight and its share."""
     by = _names(by)
-    d = df.where(F.col(x).isNotNull() & (F.col(x) >= lo))
-    b = F.greatest(F.ceil((F.col(x) - F.lit(lo)) / F.lit(width)) - F.lit(1), F.lit(0)).cast("int")
+    d = df.where(F.col(x).isNotNull())
+    b = F.when(F.col(x) == lo, 0).otherwise(F.ceil((F.col(x) - F.lit(lo)) / F.lit(width)) - F.lit(1)).cast("int")
     d = d.withColumn("bin", b)
     out = d.groupBy(*by, "bin").agg(
         F.count(F.lit(1)).alias("n"), *([F.coalesce(F.sum(w), F.lit(0.0)).alias("weight")] if w else [])
@@ -87,9 +87,19 @@ def series(df: DataFrame, cond: Column, *cols: str) -> DataFrame:
 
 
 def profile(df: DataFrame, cond: Column, x: str, measure: Column, over: str, values) -> DataFrame:
-    """A measure along ``x`` with one column per value of ``over``."""
-    return df.where(cond).groupBy(x).pivot(over, list(values)).agg(measure)
+    """A measure along ``x`` with one column per value of ``over`` among the rows of ``cond``; all must be listed."""
+    rows = df.where(cond)
+    return rows.groupBy(x).pivot(over, _listed(rows, over, values)).agg(measure)
+
+
+def _listed(df: DataFrame, col: str, values) -> list:
+    """``values``, after a check that ``col`` has no others."""
+    other = df.where(~F.coalesce(F.col(col).isin(list(values)), F.lit(False))).select(col).first()
+    if other is not None:
+        raise ValueError(f"{col} has the value {other[0]!r}, which is not listed")
+    return list(values)
 
 
 def contingency(df: DataFrame, row: str, col: str, values) -> DataFrame:
-    return df.groupBy(row).pivot(col, list(values)).agg(F.count(F.lit(1))).na.fill(0)
+    """Counts by two columns; every value of ``col`` must be listed."""
+    return df.groupBy(row).pivot(col, _listed(df, col, values)).agg(F.count(F.lit(1))).na.fill(0)

@@ -60,12 +60,20 @@ def niche(df: DataFrame, by, vars_: dict[str, str], weights: dict[str, str]) ->
     ``vars_`` maps a label to its column, likewise ``weights``; results are
     named ``mean_<label><weight>`` and ``sd_<label><weight>``.
     """
+    centred = with_stats(df, by, **{f"__c_{vl}": F.avg(v) for vl, v in vars_.items()})
     aggs = {}
     for wl, w in weights.items():
         for vl, v in vars_.items():
             aggs[f"mean_{vl}{wl}"] = weighted_mean(v, w)
-            aggs[f"sd_{vl}{wl}"] = root(weighted_var(v, w))
-    return with_stats(df, by, **aggs)
+            aggs[f"sd_{vl}{wl}"] = root(weighted_var(F.col(v) - F.col(f"__c_{vl}"), w))
+    return with_stats(centred, by, **aggs).drop(*[f"__c_{vl}" for vl in vars_])
+
+
+def weighted_variance(df: DataFrame, by, x: str, w: str, name: str = "var") -> DataFrame:
+    """Weighted variance of each group about the group's mean, in two passes: stable however large the mean is."""
+    by = _names(by)
+    centred = with_stats(df, by, __c=F.avg(x))
+    return centred.groupBy(*by).agg(weighted_var(F.col(x) - F.col("__c"), w).alias(name))
 
 
 def demean(df: DataFrame, by, cols, prefix="fe_", mean_of: dict[str, str] | None = None) -> DataFrame:

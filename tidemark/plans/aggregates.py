@@ -104,11 +104,10 @@ def _(v):
 
 
 @query("e12_weighted_variance", """
-    SELECT g, yr, CASE WHEN var >= 0 THEN sqrt(var) END AS sd, var FROM (SELECT g, yr, (sum(q * p / 1000 * p / 1000) - sum(q * p / 1000) * sum(q * p / 1000) / sum(q)) / (sum(q) - 1) AS var
-    FROM v_li WHERE q IS NOT NULL GROUP BY 1, 2)""", fl="sd:5 var:4")
+    SELECT g, yr, CASE WHEN var >= 0 THEN sqrt(var) END AS sd, var FROM (SELECT g, yr, sum(q * (p - m) * (p - m)) / (sum(q) - 1) AS var
+    FROM (SELECT *, sum(q * p) OVER u / sum(q) OVER u AS m FROM v_li WHERE q IS NOT NULL WINDOW u AS (PARTITION BY g, yr)) GROUP BY 1, 2)""", fl="sd:4 var:1")
 def _(v):
-    d = _li(v).withColumn("x", F.col("p") / 1000)
-    return d.groupBy("g", "yr").agg(M.weighted_var("x", "q").alias("var")).withColumn("sd", M.root(F.col("var")))
+    return P.weighted_variance(_li(v), ["g", "yr"], "p", "q").withColumn("sd", M.root(F.col("var")))
 
 
 @query("e13_filtered_aggregate", """

@@ -22,10 +22,10 @@ def _(v):
 
 @query("d1_inner_join_null_keys", """
     SELECT a.k, count(*) AS n FROM (SELECT nullif(p_size, 7) AS k FROM part) a
-    JOIN (SELECT DISTINCT nullif(p_size, 7) AS k FROM part WHERE p_type = 'SMALL') b ON a.k IS NOT DISTINCT FROM b.k GROUP BY 1""")
+    JOIN (SELECT DISTINCT nullif(p_size, 7) AS k FROM part) b ON a.k IS NOT DISTINCT FROM b.k GROUP BY 1""")
 def _(v):
     p = v.table("part").select("p_type", F.nullif("p_size", F.lit(7)).alias("k"))
-    return R.merge(p, p.where("p_type = 'SMALL'").select("k").distinct(), by="k").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    return R.merge(p, p.select("k").distinct(), by="k").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("d2_inner_join_other_names", """
@@ -37,54 +37,53 @@ def _(v):
 
 
 @query("d3_left_join", """
-    SELECT h.haulid, h.year, c.wtcpue FROM v_neus h LEFT JOIN (SELECT haulid, wtcpue FROM v_catch WHERE sppocean = 'small marina_Atl') c ON h.haulid = c.haulid""")
+    SELECT h.haulid, h.year, c.sppocean, c.wtcpue FROM v_hauls h LEFT JOIN v_catch c ON h.haulid = c.haulid""")
 def _(v):
-    c = v.catch().where(F.col("sppocean") == "small marina_Atl").select("haulid", "wtcpue")
-    return R.merge(v.neus_hauls().select("haulid", "year"), c, by="haulid", how="left")
+    c = v.catch().select("haulid", "sppocean", "wtcpue")
+    return R.merge(v.hauls().select("haulid", "year"), c, by="haulid", how="left")
 
 
 @query("d4_right_join", """
-    SELECT h.haulid, c.wtcpue, h.lat FROM (SELECT haulid, wtcpue FROM v_catch WHERE sppocean = 'large marina_Atl') c RIGHT JOIN v_neus h ON h.haulid = c.haulid""")
+    SELECT h.haulid, c.sppocean, c.wtcpue, h.lat FROM v_catch c RIGHT JOIN v_hauls h ON h.haulid = c.haulid""")
 def _(v):
-    c = v.catch().where(F.col("sppocean") == "large marina_Atl").select("haulid", "wtcpue")
-    return R.merge(c, v.neus_hauls().select("haulid", "lat"), by="haulid", how="right")
+    c = v.catch().select("haulid", "sppocean", "wtcpue")
+    return R.merge(c, v.hauls().select("haulid", "lat"), by="haulid", how="right")
 
 
 @query("d5_all_combinations", """
-    SELECT haulid, spp FROM (SELECT DISTINCT haulid FROM v_neus) CROSS JOIN (SELECT DISTINCT spp FROM v_catch_spp)""")
+    SELECT haulid, spp FROM (SELECT DISTINCT haulid FROM v_hauls) CROSS JOIN (SELECT DISTINCT spp FROM v_catch_spp)""")
 def _(v):
-    return R.grid(v.neus_hauls().select("haulid").distinct(), v.catch_spp(), "spp")
+    return R.grid(v.hauls().select("haulid").distinct(), v.catch_spp(), "spp")
 
 
 @query("d6_combinations_within", """
     SELECT regionfact, haulid, sppocean FROM
     (SELECT DISTINCT regionfact, haulid FROM v_catch JOIN v_hauls USING (haulid)) JOIN
-    (SELECT DISTINCT regionfact, sppocean FROM v_catch JOIN v_hauls USING (haulid) WHERE sppocean < 'p' OR regionfact = 'AFSC_EBS') USING (regionfact)""")
+    (SELECT DISTINCT regionfact, sppocean FROM v_catch JOIN v_hauls USING (haulid)) USING (regionfact)""")
 def _(v):
     j = R.merge(v.catch().select("haulid", "sppocean"), v.hauls().select("haulid", "regionfact"), by="haulid", nulls="drop")
-    wanted = j.where((F.col("sppocean") < "p") | (F.col("regionfact") == "AFSC_EBS"))
-    return R.grid(j.select("regionfact", "haulid").distinct(), wanted, "sppocean", within="regionfact")
+    return R.grid(j.select("regionfact", "haulid").distinct(), j, "sppocean", within="regionfact")
 
 
 @query("d7_float_key_join", """
-    SELECT haulid, lat, lon, a.month, b.depth FROM v_neus a JOIN (SELECT haulid, lat, lon, depth FROM v_neus) b USING (haulid, lat, lon)""")
+    SELECT haulid, lat, lon, a.month, b.depth FROM v_hauls a JOIN (SELECT haulid, lat, lon, depth FROM v_hauls) b USING (haulid, lat, lon)""")
 def _(v):
-    h = v.neus_hauls()
+    h = v.hauls()
     return R.merge(h.select("haulid", "lat", "lon", "month"), h.select("haulid", "lat", "lon", "depth"), by=["haulid", "lat", "lon"])
 
 
 @query("d8_shared_name_join", """
-    SELECT haulid, year, month, lat, depth FROM (SELECT haulid, year, month, lat FROM v_neus) JOIN (SELECT haulid, year, depth FROM v_neus) USING (haulid, year)""")
+    SELECT haulid, year, month, lat, depth FROM (SELECT haulid, year, month, lat FROM v_hauls) JOIN (SELECT haulid, year, depth FROM v_hauls) USING (haulid, year)""")
 def _(v):
-    h = v.neus_hauls()
+    h = v.hauls()
     return R.shared_join(h.select("haulid", "year", "month", "lat"), h.select("haulid", "year", "depth"))
 
 
 @query("d9_join_suffixes", """
-    SELECT a.haulid, a.lat AS lat_x, b.lat AS lat_y, a.year FROM v_neus a JOIN (SELECT haulid, lat + 1 AS lat FROM v_hauls) b USING (haulid)""")
+    SELECT a.haulid, a.lat AS lat_x, b.lat AS lat_y, a.year FROM v_hauls a JOIN (SELECT haulid, lat + 1 AS lat FROM v_hauls) b USING (haulid)""")
 def _(v):
     b = v.hauls().select("haulid", (F.col("lat") + 1).alias("lat"))
-    return R.merge(v.neus_hauls().select("haulid", "lat", "year"), b, by="haulid")
+    return R.merge(v.hauls().select("haulid", "lat", "year"), b, by="haulid")
 
 
 _PLACED = """
@@ -140,14 +139,14 @@ def _(v):
 
 
 @query("d15_neighbour_join", """
-    WITH c AS (SELECT regionfact, ceil(lat) - 0.5::DOUBLE AS bin, year, count(*) AS n FROM v_hauls WHERE month < 3 AND lat > 30 AND lat <= 46 GROUP BY 1, 2, 3),
+    WITH c AS (SELECT regionfact, ceil(lat) - 0.5::DOUBLE AS bin, year, count(*) AS n FROM v_hauls WHERE lat > 30 AND lat <= 46 GROUP BY 1, 2, 3),
     r AS (SELECT regionfact, bin, row_number() OVER (PARTITION BY regionfact ORDER BY bin) AS rk FROM (SELECT DISTINCT regionfact, bin FROM c)),
     x AS (SELECT c.*, rk FROM c JOIN r USING (regionfact, bin))
     SELECT a.regionfact, a.bin, a.year, a.n, b.n AS north FROM x a LEFT JOIN x b ON a.regionfact = b.regionfact AND a.rk + 1 = b.rk AND a.year = b.year""")
 def _(v):
     from ..functions.geo import bin_mid
 
-    c = v.hauls().where("month < 3").withColumn("bin", bin_mid("lat", 30, 46)).where("bin is not null")
+    c = v.hauls().withColumn("bin", bin_mid("lat", 30, 46)).where("bin is not null")
     c = c.groupBy("regionfact", "bin", "year").agg(F.count(F.lit(1)).alias("n"))
     return P.neighbour(c, "regionfact", "bin", "year", {"north": "n"})
 
@@ -204,19 +203,19 @@ def _(v):
 # -- unions ----------------------------------------------------------------------------
 
 
-@query("h1_union_all", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O')")
+@query("h1_union_all", "SELECT o_orderkey, o_totalprice FROM orders")
 def _(v):
     o = v.table("orders")
-    return R.stack(*[o.where(F.col("o_orderstatus") == s).select("o_orderkey", "o_totalprice") for s in ("F", "O")])
+    return R.stack(*[o.where(F.col("o_orderstatus") == s).select("o_orderkey", "o_totalprice") for s in ("F", "O", "P")])
 
 
 @query("h2_union_fill", """
     SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderstatus = 'F'
-    UNION ALL SELECT o_orderkey, o_totalprice, NULL FROM orders WHERE o_orderstatus = 'P'""")
+    UNION ALL SELECT o_orderkey, o_totalprice, NULL FROM orders WHERE o_orderstatus <> 'F'""")
 def _(v):
     o = v.table("orders")
     a = o.where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice", "o_orderpriority")
-    b = o.where("o_orderstatus = 'P'").select("o_totalprice", "o_orderkey")
+    b = o.where("o_orderstatus <> 'F'").select("o_totalprice", "o_orderkey")
     return R.stack(a, b, fill=True)
 
 

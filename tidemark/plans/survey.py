@@ -231,7 +231,9 @@ def _(v):
 def _(v):
     from ..operators.describe import profile
 
-    return profile(v.bio_panel(), F.col("spp") == "Small marina", "lat_bin", F.avg("land_mt"), "year", [1999, 2000])
+    shown = (F.col("spp") == "Small marina") & F.col("year").isin(1999, 2000)
+    every = v.bio_panel().where(F.col("spp") == "Small marina").select("lat_bin").distinct()
+    return R.merge(every, profile(v.bio_panel(), shown, "lat_bin", F.avg("land_mt"), "year", [1999, 2000]), by="lat_bin", how="left")
 
 
 @query("j51_species_lookup", """

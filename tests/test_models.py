@@ -100,10 +100,16 @@ def test_two_way_unbalanced(table, panel):
     p = panel[panel.m == "b"].dropna()
     x = np.column_stack([p[["x1", "x2"]], dummies(p.u), dummies(p.t)[:, 1:]])
     b, se, dof, _ = lstsq(x, p.y.to_numpy())
-    got = by_term(G.two_way_fixed_effects(table, "y", ["x1", "x2"], "u", "t", "m", passes=10), m="b")
+    got = by_term(G.two_way_fixed_effects(table, "y", ["x1", "x2"], "u", "t", "m"), m="b")
     assert np.allclose(got["est"], b[:2], atol=1e-7) and np.allclose(got["se"], se[:2], atol=1e-7) and set(got["dof"]) == {dof}
 
 
+def test_two_way_says_when_it_has_not_settled(spark):
+    d = spark.createDataFrame([(u, u + k, float(u * k + u)) for u in range(12) for k in range(2)], "u int, t int, y double")
+    with pytest.raises(RuntimeError):
+        G.two_way_demean(d, ["y"], "u", "t", most=3)
+
+
 @pytest.mark.parametrize("two_way", [False, True])
 def test_instruments(table, panel, two_way):
     p = panel[panel.m == "a"].dropna()
@@ -113,7 +119,7 @@ def test_instruments(table, panel, two_way):
     b = np.linalg.solve(xh.T @ x, xh.T @ p.y.to_numpy())
     e = p.y.to_numpy() - x @ b
     se = np.sqrt(np.diag(np.linalg.inv(xh.T @ xh)) * (e @ e) / (len(p) - x.shape[1]))
-    got = by_term(G.two_stage(table, "y", ["x1"], ["x3"], ["z", "x2"], "m", "u", "t" if two_way else None, passes=10), m="a")
+    got = by_term(G.two_stage(table, "y", ["x1"], ["x3"], ["z", "x2"], "m", "u", "t" if two_way else None), m="a")
     assert np.allclose(got["est"], b[:2], atol=1e-6) and np.allclose(got["se"], se[:2], atol=1e-6)
 
 

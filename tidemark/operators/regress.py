@@ -224,9 +224,11 @@ def significant(table: DataFrame, var: str, sign: int, alpha: float) -> DataFram
 
 # -- two-way effects ---------------------------------------------------------------
 
-def two_way_demean(df: DataFrame, cols, unit: str, time: str, by=(), passes: int = 8) -> DataFrame:
-    """Remove unit and time means (``tw_*``) by alternating passes; one pass is
-    exact on a balanced panel.  Incomplete rows drop out first.
+def two_way_demean(df: DataFrame, cols, unit: str, time: str, by=(), tol: float = 1e-9, most: int = 300) -> DataFrame:
+    """Remove unit and time means (``tw_*``) by alternating passes until no time
+    effect moves by more than ``tol`` of its column's largest value; not getting
+    there in ``most`` passes is an error.  The first pass is exact on a balanced
+    panel.  Incomplete rows drop out first.
 
     Only the unit and time effects are carried from pass to pass: each pass is
     two aggregations of the stored rows, and the time effects are stored.
@@ -243,19 +245,28 @@ def two_way_demean(df: DataFrame, cols, unit: str, time: str, by=(), passes: int
             rows = j
         return rows.groupBy(*keys).agg(*[F.avg(x[c]).alias(f"__{mark}_{c}") for c in cols])
 
+    size = [float(x or 0.0) for x in d.agg(*[F.max(F.abs(f"tw_{c}")) for c in cols]).first()]
     times = None
-    for _ in range(passes):
+    for _ in range(most):
         units = effects(d, unit, times, "u")
-        times = cut(effects(d, time, units, "t"))
+        before, times = times, cut(effects(d, time, units, "t"))
+        if before is not None:
+            key = [*by, time]
+            both = merge(times, before.withColumnsRenamed({f"__t_{c}": f"__b_{c}" for c in cols}), by=key)
+            moved = both.agg(*[F.max(F.abs(F.col(f"__t_{c}") - F.col(f"__b_{c}"))) for c in cols]).first()
+            if all((m or 0.0) <= tol * s for m, s in zip(moved, size)):
+                break
+    else:
+        raise RuntimeError(f"two-way means have not settled after {most} passes")
     out = merge(merge(d, units, by=[*by, unit]), times, by=[*by, time])
     out = out.withColumns({f"tw_{c}": F.col(f"tw_{c}") - F.col(f"__u_{c}") - F.col(f"__t_{c}") for c in cols})
     return out.select(*d.columns)
 
 
-def two_way_fixed_effects(df: DataFrame, y: str, xs, unit: str, time: str, by, passes: int = 8) -> DataFrame:
+def two_way_fixed_effects(df: DataFrame, y: str, xs, unit: str, time: str, by) -> DataFrame:
     """Within estimator with unit and time effects."""
     xs, by = list(xs), _names(by)
-    d = two_way_demean(df, [y, *xs], unit, time, by, passes)
+    d = two_way_demean(df, [y, *xs], unit, time, by)
     cols = [f"tw_{c}" for c in [y, *xs]]
     stats = merge(moments(d, cols, by), _levels(d, by, unit, time), by=by)
 
@@ -275,7 +286,7 @@ def _levels(d, by, unit, time):
 
 # -- instruments --------------------------------------------------------------------
 
-def two_stage(df: DataFrame, y: str, exog, endog, instruments, by, unit: str, time: str | None = None, passes: int = 8) -> DataFrame:
+def two_stage(df: DataFrame, y: str, exog, endog, instruments, by, unit: str, time: str | None = None) -> DataFrame:
     """Two-stage least squares within units, or within units and times."""
     exog, endog, instruments, by = list(exog), list(endog), list(instruments), _names(by)
     xs = [*exog, *endog]
@@ -284,7 +295,7 @@ def two_stage(df: DataFrame, y: str, exog, endog, instruments, by, unit: str, ti
         stats = moments(df, cols, by, within=unit).withColumn("lost", F.col("n_units"))
         field = "cross"
     else:
-        d = two_way_demean(df, cols, unit, time, by, passes)
+        d = two_way_demean(df, cols, unit, time, by)
         stats = merge(moments(d, [f"tw_{c}" for c in cols], by), _levels(d, by, unit, time), by=by)
         stats = stats.withColumn("lost", F.col("units") + F.col("times") - 1)
         field = "raw"

@@ -142,7 +142,7 @@ _TWP = f'SELECT spp, lat_bin, year, {_TW} FROM (SELECT spp, lat_bin, year, pres2
     WITH d AS ({_TWP}), t AS (SELECT spp, count(DISTINCT lat_bin) + count(DISTINCT year) - 1 AS lost FROM d GROUP BY 1)
     {terms("SELECT * FROM (" + two("SELECT * FROM d", "y", "sbt", "sst", "spp", raw=True) + ") JOIN t USING (spp)", "spp", ("SBT", "SST"), "lost")}""", fl="est se r2")
 def _(v):
-    return fit(G.two_way_fixed_effects(v.bio_panel(), "pres2", ["SBT", "SST"], "lat_bin", "year", "spp", passes=1), "spp")
+    return fit(G.two_way_fixed_effects(v.bio_panel(), "pres2", ["SBT", "SST"], "lat_bin", "year", "spp"), "spp")
 
 
 @query("k7_two_way_unbalanced")

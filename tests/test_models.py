@@ -228,14 +228,37 @@ def test_logit_smooth(spark):
     assert got["pval"] < 1e-8 and got["edf"] < 4
 
 
-def test_additive_random_intercept(spark):
+@pytest.mark.parametrize("sd", [0.55, 0.75, 0.95])
+def test_additive_random_intercept(spark, sd):
+    """Within 5 % of a dense restricted-likelihood fit of the straight line behind the data."""
     rnd = np.random.default_rng(8)
-    rows = []
-    for u in range(40):
-        e = rnd.normal(0, 1.0)
-        for _ in range(15):
-            x = rnd.uniform(0, 1)
-            rows.append(("g", u, float(x * x + e + rnd.normal(0, 0.5)), float(x)))
-    d = spark.createDataFrame(rows, "g string, u int, y double, x double")
-    got = A.additive_random(d, "y", ["x"], "g", "u").toPandas().set_index("var")
-    assert 0.5 < got.loc["variance(u)", "scale"] < 2 and abs(got.loc["variance(residual)", "scale"] - 0.25) < 0.06
+    u = np.repeat(np.arange(60), 10)
+    x = rnd.uniform(0, 1, len(u))
+    y = 2 * x + rnd.normal(0, sd, 60)[u] + rnd.normal(0, 0.5, len(u))
+    d = spark.createDataFrame(pd.DataFrame({"g": "g", "u": u, "y": y, "x": x}))
+    got = A.additive_random(d, "y", ["x"], "g", "u").toPandas().set_index("var")["scale"]
+    z, b = dummies(u), np.column_stack([np.ones(len(u)), x])
+
+    def crit(ratio):
+        v = np.eye(len(u)) + ratio * z @ z.T
+        vb = np.linalg.solve(v, b)
+        r = y - b @ np.linalg.solve(b.T @ vb, vb.T @ y)
+        s2 = r @ np.linalg.solve(v, r) / (len(u) - 2)
+        return (len(u) - 2) * np.log(s2) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(b.T @ vb)[1], ratio * s2, s2
+
+    _, group, left = min(crit(t) for t in np.geomspace(0.1, 20, 60))
+    assert abs(got["variance(u)"] / group - 1) < 0.05 and abs(got["variance(residual)"] / left - 1) < 0.05
+
+
+def test_group_too_small_for_a_fit_keeps_its_rows(spark):
+    rows = [("big", float(i % 17), float(i % 7)) for i in range(80)] + [("small", 1.0, 2.0), ("small", 2.0, 3.0)]
+    d = spark.createDataFrame(rows, "g string, x double, y double").withColumn("z", pd_lit())
+    got = {(r["g"], r["var"]): r for r in A.additive(d, "y", ["x"], "g", ["z"]).collect()}
+    assert set(got) == {(g, v) for g in ("big", "small") for v in ("s(x)", "z")}
+    assert got["small", "s(x)"]["edf"] is None and got["small", "z"]["n"] == 2 and got["big", "s(x)"]["edf"] > 0
+
+
+def pd_lit():
+    from pyspark.sql import functions as F
+
+    return F.sin(F.col("x") * 3)

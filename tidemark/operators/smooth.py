@@ -79,7 +79,7 @@ def blocks(rows: DataFrame, y: str, smooths, linear, by, weigh: bool = False) ->
                 x, t = design(g, smooths, linear), g[y].to_numpy(float)
                 w = None
                 if weigh:
-                    if "beta" in g.columns:
+                    if "beta" in g.columns and g["beta"].iloc[0] is not None:
                         eta = np.clip(x @ np.asarray(g["beta"].iloc[0], float), -12, 12)
                         mu = 1 / (1 + np.exp(-eta))
                     else:
@@ -107,7 +107,7 @@ def blocks(rows: DataFrame, y: str, smooths, linear, by, weigh: bool = False) ->
 class Fit:
     """Penalised fit on summed cross products."""
 
-    def __init__(self, m: np.ndarray, n: float, smooths, linear):
+    def __init__(self, m: np.ndarray, n: float, smooths, linear, lam=None):
         k = len(m) - 1
         g, self.n = m[:k, :k], n
         head = 1 + len(linear)
@@ -128,7 +128,7 @@ class Fit:
         self.t, self.g, self.xy, self.yy = t, t.T @ g @ t, t.T @ m[:k, k], m[k, k]
         self.linear = {c: 1 + i for i, c in enumerate(linear)}
         self.smooths = list(smooths)
-        self.choose()
+        self.choose(given=lam)
 
     def _solve(self, lam):
         a = self.g.copy()
@@ -143,15 +143,32 @@ class Fit:
         rss = max(self.yy - 2 * beta @ self.xy + beta @ self.g @ beta, 0.0)
         return inv, beta, edf, rss
 
-    def choose(self, sweeps: int = 2):
-        lam = dict.fromkeys(self.smooths, 1.0)
+    def restricted(self) -> tuple[float, float]:
+        """Restricted criterion (-2 log likelihood but for constants) at the chosen weights, and its residual variance.
+
+        A penalised smooth is a random effect whose precision is its penalty.
+        """
+        a, free, logs = self.g.copy(), len(self.g), 0.0
+        for s, v in self.lam.items():
+            b = self.blocks[s]
+            a[b, b] += v * self.pen[s]
+            ev = np.linalg.eigvalsh(v * self.pen[s])
+            ev = ev[ev > 1e-10 * ev.max()]
+            free, logs = free - len(ev), logs + np.log(ev).sum()
+        a[np.diag_indices_from(a)] += 1e-9 * (np.trace(self.g) / len(a))
+        room = self.n - free
+        left = max(self.yy - self.beta @ self.xy, 1e-300)
+        return room * np.log(left / room) + np.linalg.slogdet(a)[1] - logs, left / room
+
+    def choose(self, sweeps: int = 2, given=None):
+        lam = dict(given) if given else dict.fromkeys(self.smooths, 1.0)
 
         def score(trial):
             _, _, edf, rss = self._solve(trial)
             room = self.n - edf.sum()
             return self.n * rss / room**2 if room > 0 else np.inf
 
-        for _ in range(sweeps):
+        for _ in range(0 if given else sweeps):
             for s in self.smooths:
                 lam[s] = min(LAMBDAS, key=lambda v: score(lam | {s: float(v)}))
         self.lam = lam
@@ -194,8 +211,15 @@ SMOOTH_SCHEMA = "var string, edf double, chi double, fval double, pval double, l
 SMOOTH_COLS = [p.split()[0] for p in SMOOTH_SCHEMA.split(", ")]
 
 
-def _map_fits(sums: DataFrame, by, smooths, linear, schema, cols, make) -> DataFrame:
+def _no_fit(smooths, linear, n):
+    """The rows of a group with no more rows than columns: every term, without statistics."""
+    return [(name, None, None, None, None, None, float(n), None, None) for name in [*(f"s({s})" for s in smooths), *linear]]
+
+
+def _map_fits(sums: DataFrame, by, smooths, linear, schema, cols, make, none=None) -> DataFrame:
+    """``make``'s rows for each group; ``none``'s (by default one row per term) for a group too small for a fit."""
     by = _names(by)
+    none = none or (lambda n: _no_fit(smooths, linear, n))
     keys = ", ".join(f"`{c}` {sums.schema[c].dataType.simpleString()}" for c in by)
     k = 2 + len(linear) + BASIS * len(smooths)
 
@@ -203,10 +227,8 @@ def _map_fits(sums: DataFrame, by, smooths, linear, schema, cols, make) -> DataF
         for pdf in batches:
             rows = []
             for r in pdf.to_dict("records"):
-                if r["n"] <= k:  # fewer rows than columns: no fit, as for barely fished species
-                    continue
-                fit = Fit(full(r["sums"], k), r["n"], smooths, linear)
-                rows += [tuple(r[c] for c in by) + tuple(v) for v in make(fit)]
+                found = none(r["n"]) if r["n"] <= k else make(Fit(full(r["sums"], k), r["n"], smooths, linear))
+                rows += [tuple(r[c] for c in by) + tuple(v) for v in found]
             yield pd.DataFrame(rows, columns=[*by, *cols])
 
     return sums.mapInPandas(run, f"{keys}, {schema}")
@@ -226,7 +248,7 @@ def additive_logit(df: DataFrame, y: str, smooths, by, linear=(), passes: int =
     rows = cut(with_ranges(df, y, smooths, linear, by))
     sums = blocks(rows, y, smooths, linear, by, weigh=True)
     for _ in range(passes - 1):
-        beta = cut(_map_fits(sums, by, smooths, linear, "beta array<double>", ["beta"], lambda f: [(f.raw_beta().tolist(),)]))
+        beta = cut(_map_fits(sums, by, smooths, linear, "beta array<double>", ["beta"], lambda f: [(f.raw_beta().tolist(),)], lambda n: [(None,)]))
         sums = blocks(merge(rows, beta, by=by), y, smooths, linear, by, weigh=True)
     return _map_fits(sums, by, smooths, linear, SMOOTH_SCHEMA, SMOOTH_COLS, lambda f: _rows_of(f, "beta"))
 
@@ -236,16 +258,21 @@ def additive_random(df: DataFrame, y: str, smooths, by, group: str, linear=()) -
     smooths and the variance components.
 
     Groups enter through their summed block; for each candidate variance ratio
-    the blocks are weighted and added, partially inside each task.
+    the blocks are weighted and added, partially inside each task.  The ratio
+    minimises the restricted criterion: first on a coarse grid from 0 to 1e4,
+    where each ratio chooses its penalties, then on ever finer grids around the
+    best one with that one's penalties.  A grid whose last ratio is best is
+    followed by one that reaches further.
     """
     by = _names(by)
     # one knot range per model, so the blocks of all groups add up
     d = df.dropna(subset=[y, *smooths, *linear, *by, group])
-    rng = with_ranges(d, y, smooths, linear, by).drop(*[c for c in [y, *smooths, *linear]]).distinct()
-    rows = merge(d.select(*by, group, *dict.fromkeys([y, *smooths, *linear])), rng, by=by)
-    sums = blocks(rows, y, smooths, linear, [*by, group])
+    d = d.select(*by, group, *dict.fromkeys([y, *smooths, *linear]))
+    ends = [f(c).cast("double").alias(f"__{n}_{c}") for c in smooths for n, f in (("lo", F.min), ("hi", F.max))]
+    rows = merge(d, d.groupBy(*by).agg(*ends), by=by)
+    sums = cut(blocks(rows, y, smooths, linear, [*by, group]))
     k = 2 + len(linear) + BASIS * len(smooths)
-    ratios = np.concatenate([[0.0], 10.0 ** np.linspace(-3, 2, 21)])
+    coarse = [0.0, *(float(v) for v in 10.0 ** np.linspace(-4, 4, 17))]
     keys = ", ".join(f"`{c}` {sums.schema[c].dataType.simpleString()}" for c in by)
     iu = np.triu_indices(k)
 
@@ -254,39 +281,57 @@ def additive_random(df: DataFrame, y: str, smooths, by, group: str, linear=()) -
             acc: dict = {}
             for r in pdf.to_dict("records"):
                 key = tuple(r[c] for c in by)
-                m, n = full(r["sums"], k), float(r["n"])
+                m, n, ratios = full(r["sums"], k), float(r["n"]), np.asarray(r["ratios"], float)
                 block = m[iu][None, :] - (ratios / (1 + n * ratios))[:, None] * np.outer(m[0], m[0])[iu][None, :]
-                old = acc.get(key, (0.0, 0.0, 0.0))
-                acc[key] = (old[0] + n, old[1] + block, old[2] + np.log1p(n * ratios))
+                old = acc.get(key, (None, 0.0, 0.0, 0.0))
+                acc[key] = (ratios, old[1] + n, old[2] + block, old[3] + np.log1p(n * ratios))
             out = [
                 key + (float(t), n, b.tolist(), float(ld))
-                for key, (n, bs, lds) in acc.items() for t, b, ld in zip(ratios, bs, lds)
+                for key, (ts, n, bs, lds) in acc.items() for t, b, ld in zip(ts, bs, lds)
             ]
             yield pd.DataFrame(out, columns=[*by, "ratio", "n", "sums", "logdet"])
 
-    parts = sums.mapInPandas(weigh, f"{keys}, ratio double, n double, sums array<double>, logdet double")
-    cells = parts.select(*by, "ratio", "n", "logdet", F.posexplode("sums").alias("i", "v"))
-    cells = cells.groupBy(*by, "ratio", "i").agg(F.sum("n").alias("n"), F.sum("logdet").alias("logdet"), F.sum("v").alias("v"))
-    per = cells.groupBy(*by, "ratio").agg(
-        F.max("n").alias("n"), F.max("logdet").alias("logdet"),
-        F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("sums"),
-    )
+    def weighted(grids):
+        j = merge(sums, grids.select(*by, "ratios"), by=by)
+        parts = j.mapInPandas(weigh, f"{keys}, ratio double, n double, sums array<double>, logdet double")
+        width = k * (k + 1) // 2
+        per = parts.groupBy(*by, "ratio").agg(
+            F.sum("n").alias("n"), F.sum("logdet").alias("logdet"), F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(width)]).alias("sums"))
+        return merge(per, grids.select(*by, "lams"), by=by)
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+    def best_of(pdf: pd.DataFrame):
         best = None
-        for r in pdf.itertuples(index=False):
-            fit = Fit(full(r.sums, k), r.n, smooths, linear)
-            crit = r.n * np.log(max(fit.rss / r.n, 1e-300)) + r.logdet
-            if best is None or crit < best[0]:
-                best = (crit, r.ratio, fit)
-        _, ratio, fit = best
-        rows = _rows_of(fit, "gaussian")
-        rows.append((f"variance({group})", None, None, None, None, None, fit.n, ratio * fit.s2, fit.gcv))
-        rows.append(("variance(residual)", None, None, None, None, None, fit.n, fit.s2, fit.gcv))
-        out = pd.DataFrame(rows, columns=SMOOTH_COLS)
+        for r in pdf.sort_values("ratio").itertuples(index=False):
+            lam = None if r.lams is None else dict(zip(smooths, r.lams))
+            fit = Fit(full(r.sums, k), r.n, smooths, linear, lam)
+            crit, s2 = fit.restricted()
+            if best is None or crit + r.logdet < best[0]:
+                best = (crit + r.logdet, float(r.ratio), fit, s2)
+        return best
+
+    def first_cols(pdf, out):
         for i, c in enumerate(by):
             out.insert(i, c, pdf[c].iloc[0])
         return out
 
-    # one row per candidate ratio: a bounded list
-    return per.groupBy(*by).applyInPandas(pick, f"{keys}, {SMOOTH_SCHEMA}")
+    def finer(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, ratio, fit, _ = best_of(pdf)
+        ts = sorted(pdf["ratio"])
+        i = ts.index(ratio)
+        lo, hi = ts[i - 1] if i else 0.0, ts[i + 1] if i + 1 < len(ts) else 100 * ratio
+        grid = sorted({float(ratio), *np.linspace(lo, hi, 13)}) if lo == 0 else sorted({float(ratio), *np.geomspace(lo, hi, 13)})
+        return first_cols(pdf, pd.DataFrame({"ratios": [grid], "lams": [[float(fit.lam[c]) for c in smooths]]}))
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, ratio, fit, s2 = best_of(pdf)
+        rows = _rows_of(fit, "gaussian")
+        rows.append((f"variance({group})", None, None, None, None, None, fit.n, ratio * s2, fit.gcv))
+        rows.append(("variance(residual)", None, None, None, None, None, fit.n, s2, fit.gcv))
+        return first_cols(pdf, pd.DataFrame(rows, columns=SMOOTH_COLS))
+
+    # one row per candidate ratio reaches a model's group: a bounded list
+    none = F.lit(None).cast("array<double>")
+    grids = sums.select(*by).distinct().select(*by, F.array(*[F.lit(v) for v in coarse]).alias("ratios"), none.alias("lams"))
+    for _ in range(3):
+        grids = cut(weighted(grids).groupBy(*by).applyInPandas(finer, f"{keys}, ratios array<double>, lams array<double>"))
+    return weighted(grids).groupBy(*by).applyInPandas(pick, f"{keys}, {SMOOTH_SCHEMA}")

@@ -117,8 +117,9 @@ def _(v):
 @query("k5_significant_terms")
 def _(v):
     t = G.dummy_regression(lagged(v), "wtcpuenal", ["SBT", "SST", "depth", "lag1_bio", "land_mt"], "spp", "lat_bin")
-    up, down = (G.significant(t, "land_mt", s, 0.5).withColumn("sign", F.lit(s)) for s in (1, -1))
-    return up.unionByName(down)
+    t = cut(t)
+    wanted = [("land_mt", -1, 0.05), ("land_mt", 1, 0.05), ("lag1_bio", -1, 0.1), ("lag1_bio", 1, 0.1)]
+    return R.stack(*[G.significant(t, c, s, a).withColumns({"sign": F.lit(s), "alpha": F.lit(a)}) for c, s, a in wanted])
 
 
 @query("k6_fixed_effects", terms(two(_PANEL, "y", "sbt", "land_mt", "spp", "lat_bin"), "spp", ("SBT", "land_mt"), "g"), fl="est:5 se:5 r2")

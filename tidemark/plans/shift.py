@@ -121,12 +121,12 @@ def _(v):
 
 
 @query("j22_binned_centroid", """
-    SELECT spp, year, sum(lat_bin * num_hauls) / sum(num_hauls) AS cent_bin, sum(lat_bin * pres2) / sum(pres2) AS cent_pres FROM v_bio_panel WHERE pres2 > 0 AND lat_bin > 33.5 GROUP BY 1, 2""", fl="cent_bin cent_pres")
+    SELECT spp, year, sum(lat_bin * wtcpue) / sum(wtcpue) AS cent_bin FROM v_bio_panel WHERE wtcpue > 0 AND lat_bin > 33.5 GROUP BY 1, 2""", fl="cent_bin")
 def _(v):
     from ..functions.missing import weighted_mean
 
-    d = v.bio_panel().where((F.col("pres2") > 0) & (F.col("lat_bin") > 33.5))
-    return d.groupBy("spp", "year").agg(weighted_mean("lat_bin", "num_hauls").alias("cent_bin"), weighted_mean("lat_bin", "pres2").alias("cent_pres"))
+    d = v.bio_panel().where((F.col("wtcpue") > 0) & (F.col("lat_bin") > 33.5))
+    return d.groupBy("spp", "year").agg(weighted_mean("lat_bin", "wtcpue").alias("cent_bin"))
 
 
 @query("j23_annual_shift", """

@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .frames import carried, released, schema_of
 from .urls import host_of
 
 LEAST_PAGES, LEAST_IMPORTANCE, DAMPING = 5, 0.25, 0.9
+PATHS = 500_000  # paths of low importance sent to every task (8 bytes each); more are joined by a shuffle of the pages
 ROWS = 200_000  # counted rows that a task holds before it passes them on
 PRESENT, STYLE, CONTENT = range(3)
 OWN = ["text", "n_chars"]
@@ -253,7 +255,10 @@ def extract(pages: DataFrame) -> DataFrame:
     table.  A column of the input that has the name of an added one is replaced.
     """
     low = style_tree(pages).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
+    low = cut(low.select("host", "path"))
+    few = low.count() <= PATHS
     low = low.groupBy("host").agg(F.collect_list("path").alias("low"))  # a host's own styles, however many pages it has
+    low = F.broadcast(low) if few else low
     rows = pages.select(host_of(F.col("url")).alias("host"), "url", "html", carried(pages, "url", "html").alias("rest"))
     names = ["url", "html", "rest"]
     out = rows.join(low, "host", "left").mapInArrow(partial(_texts, names=names), schema_of(rows.select(*names), text="string", n_chars="long"))

@@ -84,7 +84,9 @@ def test_odd_rows(spark):
     assert neardup.near_duplicate_ids(df.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(200, 320)] + [(5, r.randint(6, 90)) for _ in range(40)] + [(7, 7), (None, 3)]
     got = {x.node: x.component for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
+SMALL = 100_000  # edges (1.6 MB as longs) that one task works on, so that a round needs no shuffle
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -34,11 +37,14 @@ def components(edges: DataFrame) -> DataFrame:
     rounds end, after about the logarithm of the longest path, when a round
     changes nothing.  Edges with a null end or equal ends count for nothing.
     A node of many edges is a hot key only of counted minima and of joins with
-    one row per node on the other side, which Spark can split.
+    one row per node on the other side, which Spark can split.  Up to ``SMALL``
+    edges, counted first, stay in one partition.
     """
     now = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    few = now.count() <= SMALL
     seen = None
     while True:
+        now = now.coalesce(1) if few else now
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             break

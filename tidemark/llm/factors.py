@@ -41,7 +41,7 @@ def word_symbols(raw: np.ndarray, offsets: np.ndarray):
 def _removed(batches, width):
     for batch in batches:
         raw, offsets = text_buffer(batch.column("text"))
-        starts, first, size = R.lists_of(batch.column("found"), "first", "size")
+        starts, first, size, _, _ = R.findings(batch.column("found"))
         out = {c: [] for c in OWN}
         for i in range(batch.num_rows):
             own = raw[offsets[i]: offsets[i + 1]]

@@ -6,7 +6,7 @@ the window.  The anchor depends on the window's content alone, so equal windows
 always lie in blocks of the same anchor.  A block row is
 
     head   hash of the anchor's symbols
-    body   hash of the whole block (first to last symbol, anchor's place, size)
+    body   hash of the whole block (first to last symbol, anchor's place, size), 40 bits
     doc    the document's key
     at     the row's tag, first window, anchor, number of windows and kind, packed
 
@@ -33,6 +33,7 @@ from .symbols import SLICE, Spans, U, mix, row_groups, text_buffer
 
 PENDING, SETTLED, OPEN, TOKEN = range(4)
 KIND_BITS, SIZE_BITS, ANCHOR_BITS, PLACE_BITS, TAG_BITS = 2, 7, 7, 31, 16
+BODY = U((1 << 40) - 1)  # head and body together tell blocks apart by 104 bits
 STEP = 8  # neighbouring windows of an open block compared together
 NO_KEY = -(1 << 63)  # stands for a null key
 ROW = "head long, body long, doc long, at long"
@@ -87,7 +88,7 @@ def blocks(values: np.ndarray, offsets: np.ndarray, width: int, gram: int):
             run = np.flatnonzero(new)
             size = np.diff(np.append(run, len(text)))
             first, anchor, text = window[run], anchor[run], text[run]
-            body = mix(spans.hash(first, first + size - 1 + width) + (anchor - first).astype(U) * U(0x9E3779B97F4A7C15) + size.astype(U))
+            body = mix(spans.hash(first, first + size - 1 + width) + (anchor - first).astype(U) * U(0x9E3779B97F4A7C15) + size.astype(U)) & BODY
             out.append([text + a, first + lo - offsets[a + text], anchor - first, size, hashes[anchor], body])
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
@@ -121,7 +122,7 @@ def pieces(values: np.ndarray, first, anchor, size, width: int, step: int):
     low, count, mark, slot = window[run], np.diff(np.append(run, len(window))), mark[run], slot[run]
     head = _span_hashes(values, mark - slot * step, mark - slot * step - step + 1 + width)
     body = _span_hashes(mix(values + U(0xA0761D6478BD642F)), low, low + count - 1 + width)
-    return low, mark - low, count, head, mix(body + (mark - low).astype(U) * U(0x9E3779B97F4A7C15) + count.astype(U))
+    return low, mark - low, count, head, mix(body + (mark - low).astype(U) * U(0x9E3779B97F4A7C15) + count.astype(U)) & BODY
 
 
 def settle(head, body, doc, at, by_doc: bool):
@@ -264,12 +265,11 @@ def _piece_rows(batches, symbols, width, by_doc, step):
     for batch in batches:
         raw, offsets = text_buffer(batch.column("text"))
         docs, tags = np.asarray(batch.column("doc")), np.asarray(batch.column("tag"))
-        starts, places, sizes = lists_of(batch.column("found"), "at", "size")
+        starts, first_, size_, anchor_, open_ = findings(batch.column("found"))
         rows, settled, held = [], [], 0
         for i in np.flatnonzero(np.diff(starts)).tolist():
-            _, first, anchor, _, kind = unpacked(places[starts[i]: starts[i + 1]])
-            size = sizes[starts[i]: starts[i + 1]]
-            done, todo = kind == SETTLED, kind == OPEN
+            first, size, anchor, todo = (x[starts[i]: starts[i + 1]] for x in (first_, size_, anchor_, open_))
+            done = ~todo
             s, e = merged(first[done], (first + size)[done])
             settled.append((np.full(len(s), docs[i]), packed(int(tags[i]), s, 0, 0, SETTLED), e - s))
             if todo.any():
@@ -287,20 +287,36 @@ def _piece_rows(batches, symbols, width, by_doc, step):
             yield _batch(mix((at ^ doc).view(U)), size, doc, at)
 
 
-def _with_found(docs: DataFrame, rows: DataFrame, by_doc: bool, *columns: str) -> DataFrame:
-    """``docs`` with the findings among ``rows``, compared with rows of the same head side by side and in order."""
+def _with_found(docs: DataFrame, rows: DataFrame, by_doc: bool) -> DataFrame:
+    """``docs`` with the findings among ``rows``, compared with rows of the same head side by side and in order.
+
+    A finding is one long: its first window, and in the lower half its number
+    of windows, or for an open block a set bit, the anchor and the number.
+    """
     keyed = rows.repartition("head").sortWithinPartitions("head", "body", "doc", "at")
     found = keyed.mapInArrow(partial(resolve, by_doc=by_doc), "doc long, at long, size long")
     place = F.shiftrightunsigned("at", ANCHOR_BITS + SIZE_BITS + KIND_BITS)
-    found = found.select("doc", F.shiftrightunsigned(place, PLACE_BITS).alias("tag"), "at", place.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("first"), "size")
-    return docs.join(found.groupBy("doc", "tag").agg(F.collect_set(F.struct(*columns)).alias("found")), ["doc", "tag"], "left")
+    first = F.shiftleft(place.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)), 32)
+    block = F.shiftrightunsigned("at", KIND_BITS).bitwiseAND(F.lit((1 << (ANCHOR_BITS + SIZE_BITS)) - 1))
+    lower = F.when(F.col("at").bitwiseAND(F.lit(3)) == OPEN, block + (1 << 31)).otherwise(F.col("size"))
+    found = found.select("doc", F.shiftrightunsigned(place, PLACE_BITS).alias("tag"), (first + lower).alias("item"))
+    return docs.join(found.groupBy("doc", "tag").agg(F.collect_set("item").alias("found")), ["doc", "tag"], "left")
+
+
+def findings(found: pa.Array) -> list[np.ndarray]:
+    """Offsets by row, and each finding's first window, number of windows, anchor and whether it is open."""
+    starts, item = np.asarray(found.offsets), np.asarray(found.flatten())
+    lower = item & ((1 << 32) - 1)
+    open_ = lower >= 1 << 31
+    size = np.where(open_, lower & ((1 << SIZE_BITS) - 1), lower)
+    return [starts - starts[0] if len(starts) else np.zeros(1, np.int64), item >> 32, size, lower >> SIZE_BITS & ((1 << ANCHOR_BITS) - 1), open_]
 
 
 def with_repeats(docs: DataFrame, symbols, width: int, gram: int, by_doc: bool) -> DataFrame:
     """``docs`` (text, doc, tag and others) with ``found``: runs of windows that repeat an earlier one.
 
     ``symbols(raw, offsets)`` gives the symbols of a batch of texts and their
-    offsets.  ``found`` is an array of (first, size), null where nothing was
+    offsets.  ``found`` (read it with ``findings``) is null where nothing was
     found; windows first .. first + size - 1 of the document are repeats.  The
     documents are shuffled once; all joins read that same shuffle.
     """
@@ -308,9 +324,9 @@ def with_repeats(docs: DataFrame, symbols, width: int, gram: int, by_doc: bool)
         raise ValueError(f"width must exceed gram by {STEP} to {(1 << SIZE_BITS) - 1}")
     rows = docs.select("doc", "tag", "text").mapInArrow(partial(_block_rows, symbols=symbols, width=width, gram=gram, by_doc=by_doc), ROW)
     for step in (STEP, 1):
-        opened = _with_found(docs, rows, by_doc, "at", "size").where("found is not null")
+        opened = _with_found(docs, rows, by_doc).where("found is not null")
         rows = opened.mapInArrow(partial(_piece_rows, symbols=symbols, width=width, by_doc=by_doc, step=step), ROW)
-    return _with_found(docs, rows, by_doc, "first", "size")
+    return _with_found(docs, rows, by_doc)
 
 
 def keyed_documents(df: DataFrame) -> DataFrame:
@@ -319,8 +335,3 @@ def keyed_documents(df: DataFrame) -> DataFrame:
     tag = F.xxhash64(text).bitwiseAND(F.lit((1 << TAG_BITS) - 1))
     return df.select(key_column(df).alias("doc"), tag.alias("tag"), text, carried(df, "text").alias("rest"))
 
-
-def lists_of(found: pa.Array, *fields: str) -> list[np.ndarray]:
-    """Offsets by row, and the flattened fields, of an array of structs."""
-    starts, flat = np.asarray(found.offsets), found.flatten()
-    return [starts - starts[0] if len(starts) else np.zeros(1, np.int64), *(np.asarray(flat.field(x)) for x in fields)]

@@ -68,3 +68,14 @@ def test_odd_rows(spark):
     assert out.columns == ["page_id", "url", "html", "text", "n_chars"]
     assert sorted((r.page_id, r.n_chars) for r in out.collect()) == [(1, 1), (2, 0), (2, 0), (3, 1_499_999)]
     assert pages.extract(df.limit(0)).count() == 0
+
+
+def test_names_never_rule_out_the_article():
+    body = "<article><h1>T</h1><p>Words</p></article>"
+    for page in (f'<body class="cookies-not-set">{body}', f'<body class="nav-open comments">{body}', body.replace("<article", '<article class="post comments-open"'),
+                 f'<div id="content-share">{body}</div>', f'<main class="related"><div class="ad">{body}</div></main>', f'<div class="social"><main>{body}</main></div>',
+                 f'<main>{body.replace("<article", "<article class=comments-open")}</main>', f'<div class="comments-open">{body}</div>'):
+        assert pages.main_text(page + "".join(NOISE)) == "T\n\nWords", page
+    for noise in ('<div class="related-posts"><article>Other</article></div>', '<ol class="comment-list"><li><article>Me</article></ol>', '<section id="respond"><main>You</main></section>'):
+        assert pages.main_text(f"<body>{noise}{body}{noise}") == "T\n\nWords", noise
+    assert pages.main_text(body.replace("</article>", "<article class='comment'>Me too</article></article>")) == "T\n\nWords"

@@ -9,7 +9,8 @@
    mean over the texts below it.  Both lie in 0..1 and are weighted 1 - DAMPING
    to DAMPING, so a branch that is the same on all pages has importance 0.
    A node whose name says what it is (nav, footer, class "ad", ...) has
-   importance 0 from the start, since a host may have a single page.
+   importance 0 from the start, since a host may have a single page; body,
+   article and main have not, nor what holds the page's only article.
 3. From each page the branches of low importance are removed, and what stays of
    its article, or of its body where it marks none, is the text.
 """
@@ -52,6 +53,9 @@ NEVER_WORDS = set(
 UNLESS_MAIN_WORDS = set(
     "aside banner complementary contentinfo header masthead modal notice notices overlay pager pagination popup recommended search sidebar "
     "signup login alert toolbar widget widgets form".split())
+COMMENT_WORDS = set("comment comments disqus reply replies respond".split())
+# A class, id or role made of such words and these names a section as a whole; "comments-open" doesn't.
+PART_WORDS = set("area bar block box container content item items links list menu post posts section thread widget wrap wrapper".split())
 MAIN = {"article", "main"}
 CLOSES = {"li": ("li", {"ul", "ol", "menu", "dir"}), "dd": ("dd dt", {"dl"}), "dt": ("dd dt", {"dl"}), "tr": ("tr td th", {"table", "tbody", "thead", "tfoot"}),
           "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select", "optgroup"})}
@@ -68,34 +72,40 @@ def hash64(text: str) -> int:
 
 
 @lru_cache(1 << 14)
-def _style(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """The node's style, and whether its name rules it out: always, or unless it holds the main text."""
-    words, shown, hidden = set(), [], False
+def _style(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool, bool]:
+    """The node's style, and what rules it out: its tag; a word in its names, a name as a whole, or one of a comment
+    section; and whether it is ruled out unless it holds the main text."""
+    words, wholes, shown, hidden = set(), set(), [], False
     for name, *values in _NAMES.findall(attributes):
         name, value = name.lower(), "".join(values)
         hidden |= name == "hidden"
         if name != "hidden" and value:
             found = _WORDS.findall(value.lower())
             words.update(found, _WORDS.findall(_CAMEL.sub(" ", value).lower()))
+            for token in value.split():
+                parts = set(_WORDS.findall(_CAMEL.sub(" ", token).lower()))
+                if parts <= NEVER_WORDS | PART_WORDS:
+                    wholes |= parts & NEVER_WORDS
             shown.append(".".join(found))
     style = tag + ("#" + "#".join(shown) if shown else "")
-    return style, hidden or tag in NEVER or bool(words & NEVER_WORDS), tag in UNLESS_MAIN or bool(words & UNLESS_MAIN_WORDS)
+    return style, hidden or tag in NEVER, bool(words & NEVER_WORDS), bool(wholes), bool(wholes & COMMENT_WORDS), tag in UNLESS_MAIN or bool(words & UNLESS_MAIN_WORDS)
 
 
 class _Node:
-    __slots__ = ("tag", "up", "path", "never", "weak", "holds_main", "holds_title", "children", "inside_main", "named")
+    __slots__ = ("tag", "up", "path", "never", "worded", "whole", "comment", "weak", "holds_main", "holds_title", "children", "inside_main", "named")
 
-    def __init__(self, tag, up, style, never, weak):
+    def __init__(self, tag, up, style, never=False, worded=False, whole=False, comment=False, weak=False):
         self.tag, self.up = tag, up
         self.path = hash64(f"{up.path}>{style}") if up else hash64(style)
-        self.never, self.weak, self.holds_main, self.holds_title, self.children = never, weak, False, False, []
+        self.never, self.worded, self.whole, self.comment, self.weak = never, worded, whole, comment, weak
+        self.holds_main, self.holds_title, self.children = False, False, []
         self.inside_main = up is not None and (up.inside_main or up.tag in MAIN)
         self.named = style != tag or (up is not None and up.named and self.inside_main)
 
 
 def blocks(html: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
     """The page's texts in order, each with the block element that holds it, and all block elements."""
-    root = _Node("", None, "", False, False)
+    root = _Node("", None, "")
     stack, nodes, out, text = [root], [], [], []
     at = 0
 
@@ -163,8 +173,22 @@ def _chain(node: _Node):
         node = node.up
 
 
-def _ruled_out(node: _Node) -> bool:
-    return any(n.never or (n.weak and not n.holds_main and not _titles_main(n)) for n in _chain(node))
+def _named_out(node: _Node, elsewhere: bool) -> bool:
+    """Whether names rule the node out.
+
+    Body, article and main are never ruled out by name, save an article of
+    another one's comments.  What holds an article is one's comment section, or,
+    if the page has an article ``elsewhere``, a section named so as a whole.
+    """
+    if node.tag == "body":
+        return False
+    if node.tag in MAIN:
+        return node.comment and node.inside_main
+    return (node.comment or (node.whole and elsewhere)) if node.holds_main else node.worded
+
+
+def _ruled_out(node: _Node, elsewhere: bool) -> bool:
+    return any(n.never or _named_out(n, elsewhere) or (n.weak and not n.holds_main and not _titles_main(n)) for n in _chain(node))
 
 
 def _titles_main(node: _Node) -> bool:
@@ -179,8 +203,9 @@ def main_text(html: str, low: frozenset[int] = frozenset()) -> str:
     own, or below one, can be of low importance: its plain paragraphs are text
     even where a whole site repeats them.
     """
-    found, _ = blocks(html)
-    named = [(n, t) for n, t in found if not _ruled_out(n)]
+    found, nodes = blocks(html)
+    elsewhere = any(n.tag in MAIN and not n.holds_main and not _ruled_out(n, True) for n in nodes)
+    named = [(n, t) for n, t in found if not _ruled_out(n, elsewhere)]
     kept = [(n, t) for n, t in named if not any(c.path in low and (c.named if c.inside_main else not c.holds_main and c.tag not in MAIN) for c in _chain(n))]
     inside = [(n, t) for n, t in kept if n.inside_main or n.tag in MAIN]
     return "\n\n".join(t for _, t in inside or kept or named)

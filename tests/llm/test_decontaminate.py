@@ -84,3 +84,27 @@ def test_odd_rows(spark):
     left = D.drop_contaminated(d, b)
     assert left.columns == d.columns and sorted(str(r.item) for r in left.collect()) == ["None", "c"]
     assert D.matches(d.limit(0), b).count() == 0 and D.drop_contaminated(d, b.limit(0)).count() == 5
+
+
+def test_short_items_and_capitals_at_a_start(spark):
+    items = ["What is 12 + 35?", "Compute 12 * 34 + 56 - 7.", "Who wrote Hamlet?", "What is 15% of 240?", "Where was Albert Einstein born?", "Anna has 3 apples left."]
+    other = ["What is 13 + 35?", "Compute 12 * 34 + 56 - 8.", "Who wrote Faust?", "What is 15% off 240?", "Where was Albert Einstein buried?", "Anna has 3 pears left."]
+    docs = [(10 * i + j, before + x) for i, x in enumerate(items) for j, before in enumerate(["", "Q: ", "the question ", "Again. ", "so, "])]
+    docs += [(100 + i, "Q: " + x) for i, x in enumerate(other)] + [(200, "Bob has 9 apples left."), (201, "Now then. Bob has 9 apples left."), (202, "bob has 9 apples left.")]
+    got = set(found(spark, docs, list(enumerate(items))))
+    assert got == {(10 * i + j, i) for i in range(6) for j in range(5)} | {(200, 5), (201, 5)}
+
+
+def test_every_alignment_is_judged(spark):
+    many = "so Anna pays Peter then Anna pays Peter then Anna pays Peter while Anna waits and waits"
+    other = "so Anna pays Maria then Olga pays Hans then Eve pays Paul while Kurt waits and waits"
+    got = found(spark, [(1, many + ". And " + other), (2, other + ". And " + many), (3, other + ". And " + other)], [(1, many)])
+    assert {d for d, _ in got} == {1, 2} and got[1, 1].agreeing == got[2, 1].agreeing == got[1, 1].share == 1
+    words = ("the slow train needs 40 minutes from the old harbour up to the green valley while the bus needs 25 minutes for a longer road "
+             "and the boat takes 40 minutes when the wind blows hard or 90 minutes when nothing moves on that wide water").split()
+    half = len(words) // 2
+    inserted = " ".join(words[:half] + ["really"] + words[half:])  # an alignment before it and one behind, neither with half the windows
+    random_fill = inserted.replace("40", "7", 1).replace("25", "40").replace("90", "40")
+    long = " ".join(words)
+    got = found(spark, [(1, inserted), (2, "well " + inserted + " " + random_fill), (3, long.replace("40", "33"))], [(7, long)])
+    assert set(got) == {(1, 7), (2, 7), (3, 7)} and got[1, 7].agreeing == 1 and got[1, 7].share >= 0.8

@@ -48,7 +48,7 @@ def raw_words(text):
 
 
 INSIDE = r"\p{Lu}(?<=[\p{L}\p{M}\p{N},;:]\s\p{Lu})\p{Ll}+(?![\p{L}\p{M}])"  # capitalised inside a sentence
-ANYWHERE = r"(?<![\p{L}\p{M}])\p{Lu}\p{Ll}+(?![\p{L}\p{M}])"
+ANYWHERE = r"\p{Lu}(?<![\p{L}\p{M}]\p{Lu})\p{Ll}+(?![\p{L}\p{M}])"
 
 
 def template(text, names: str = INSIDE):
@@ -89,7 +89,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def _hits(rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc, tag, item, windows, at, start, pairs): where windows of items stand in the documents, and which words at both places are slots."""
+    """(doc, tag, item, windows, at, start, open, window, values, first, filled): where windows of items stand in the documents, and the words at both places."""
     n, least = windows.agg(F.count("*"), F.min(F.length("anchor"))).first()
     raw, kinds = raw_words(F.lower("text")).alias("raw"), template(F.col("text"), ANYWHERE).alias("kinds")
     words = rows.select("doc", "tag", raw, kinds)
@@ -104,13 +104,8 @@ def _hits(rows: DataFrame, windows: DataFrame) -> DataFrame:
     whole = F.slice("raw", F.greatest(place, F.lit(0)) + 1, F.col("size")) == F.col("window")
     equal = (place >= 0) & F.when(F.col("open"), reduce(and_, map(stands, range(WINDOW)))).otherwise(whole)
 
-    def pair(i):  # of a capital that may start a sentence a slot is made only where another word stands
-        value, filled = F.get("values", F.lit(i)), at("raw", i)
-        slot = F.col("open") & (F.col("size") > i) & _is_slot(word[i]) & (_is_slot(F.get("first", F.lit(i))) | (value != filled))
-        return F.struct((F.col("at") + i).alias("pos"), (place + i).alias("place"), value.alias("value"), filled.alias("filled"), F.coalesce(slot, F.lit(False)).alias("slot"))
-
-    pairs = F.array(*map(pair, range(WINDOW)))
-    found = ["doc", "tag", "item", "windows", "at", place.alias("start"), pairs.alias("pairs")]
+    filled = F.slice("raw", F.greatest(place, F.lit(0)) + 1, F.col("size")).alias("filled")
+    found = ["doc", "tag", "item", "windows", "at", place.alias("start"), "open", "window", "values", "first", filled]
     if n <= BROADCAST:
         each = words.select("doc", "tag", "raw", "kinds", F.posexplode("raw").alias("pos", "anchor")).where(F.length("anchor") >= (least or 0))
         return each.join(F.broadcast(windows), "anchor").where(equal).select(*found)
@@ -177,9 +172,16 @@ def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = _keyed(docs).where("text is not null")
     hits = _hits(rows, cut(item_windows(benchmark))).withColumn("shift", F.col("start") - F.col("at"))
     lines = hits.groupBy("doc", "tag", "item", "windows", "shift").agg(
-        F.collect_set("at").alias("places"), F.sort_array(F.collect_list(F.struct("at", "pairs"))).alias("each"))  # at most the item's windows
-    filled = lambda x: F.transform(F.filter(x["pairs"], lambda p: p["slot"]), lambda p: p.dropFields("slot"))
-    lines = lines.withColumn("each", F.transform("each", lambda x: F.struct(x["at"].alias("at"), filled(x).alias("pairs"))))
+        F.collect_set("at").alias("places"),  # at most the item's windows
+        F.sort_array(F.collect_list(F.struct("at", "start", "open", "window", "values", "first", "filled"))).alias("each"))
+
+    def pairs_of(x):  # of a capital that may start a sentence a slot is made only where another word stands
+        pair = F.transform(x["window"], lambda w, i: F.struct(
+            (x["at"] + i).alias("pos"), (x["start"] + i).alias("place"), F.get(x["values"], i).alias("value"), F.get(x["filled"], i).alias("filled"),
+            (_is_slot(w) & (_is_slot(F.get(x["first"], i)) | (F.get(x["values"], i) != F.get(x["filled"], i)))).alias("slot")))
+        return F.transform(F.filter(pair, lambda p: x["open"] & p["slot"]), lambda p: p.dropFields("slot"))
+
+    lines = lines.withColumn("each", F.transform("each", lambda x: F.struct(x["at"].alias("at"), pairs_of(x).alias("pairs"))))
     lines = lines.withColumn("pairs", F.array_distinct(F.flatten(F.col("each")["pairs"])))
     lines = lines.select("doc", "tag", "item", "windows", F.struct(F.size("places").alias("hits"), "shift", "places", "pairs", "each").alias("line"))
     pairs = lines.groupBy("doc", "tag", "item", "windows").agg(F.sort_array(F.collect_list("line"), asc=False).alias("lines"))

@@ -197,7 +197,7 @@ def test_exact_quantiles(spark, bins):
 
 def test_histogram_edges(spark, rows):
     d = spark.createDataFrame([(0.0,), (1.0,), (1.1,), (2.0,), (-1.0,), (None,)], "x double")
-    assert rows(D.histogram(d, "x", 0.0, 1.0), "bin", "n") == [(0, 2), (1, 2)]
+    assert rows(D.histogram(d, "x", 0.0, 1.0), "bin", "n") == [(-2, 1), (0, 2), (1, 2)]
 
 
 def test_unmapped_share(spark, rows):

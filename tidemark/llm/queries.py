@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, chat, decontaminate, factors, neardup, pages, quality, sketch, sql, suffixes, urls
+from . import bpe, chat, counts, decontaminate, factors, neardup, pages, quality, sketch, sql, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -87,10 +87,18 @@ def op8_url_filters(spark, folder):
 ORACLE["op8_url_filters"] = urls.SQL
 
 
+@query
+def op11_token_counts(spark, folder):
+    out = counts.count_tokens(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 @query
 def op6_html_extraction(spark, folder):
     out = pages.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", "n_chars")
+
+
 ORACLE["op4_minhash_near_dedup"] = sql.NEAR_DUPLICATES
 ORACLE["op5_substring_dedup"] = sql.REPEATED_WORDS
 ORACLE["op7_chat_formatting"] = sql.CHAT

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, chat, counts, decontaminate, factors, neardup, pages, quality, sketch, sql, suffixes, urls
+from . import bpe, chat, counts, decontaminate, factors, neardup, pages, quality, runs, sketch, sql, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -93,6 +93,12 @@ def op11_token_counts(spark, folder):
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query
+def op12_periodic_run_detection(spark, folder):
+    out = runs.run_digests(runs.planted(table(spark, folder, "documents").select("doc_id", "text")))
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 @query
 def op6_html_extraction(spark, folder):
     out = pages.extract(table(spark, folder, "pages").select("page_id", "url", "html"))

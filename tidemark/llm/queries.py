@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, chat, counts, decontaminate, factors, neardup, pages, quality, runs, sketch, sql, suffixes, urls
+from . import align, bpe, chat, counts, decontaminate, factors, neardup, pages, quality, runs, sketch, sql, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -99,6 +99,12 @@ def op12_periodic_run_detection(spark, folder):
     return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
 
 
+@query
+def op13_cross_tokenizer_alignment(spark, folder):
+    out = align.linked(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 @query
 def op6_html_extraction(spark, folder):
     out = pages.extract(table(spark, folder, "pages").select("page_id", "url", "html"))

@@ -18,7 +18,6 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +29,12 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 from .bpe import PATTERN, _byte_names, _public
 from .frames import carried, released, schema_of
+from .symbols import row_groups, text_buffer
 
 BLOCK = 8 << 20  # bytes of text in a block; a longer text is a block by itself
 LINKS = 1 << 19  # links expanded at once
-BATCH = 256  # texts encoded at once
+BATCH = 1 << 20  # bytes of text whose rows leave together
+WINDOW = 1 << 16  # bytes whose ends are compared at once
 OWN = ["n_a", "n_b", "a_ids", "b_ids", "a_sizes", "b_sizes"]
 TYPES = ("long", "long", "array<int>", "array<int>", "array<int>", "array<int>")
 COUNTED = ["n_groups", "n_links", "n_best", "count_sum"]
@@ -43,7 +44,16 @@ class Side:
     """A tokenizer, and the bytes of each of its ids."""
 
     def __init__(self, encode, token_bytes: list[bytes]):
-        self.encode, self.bytes, self.sizes = encode, token_bytes, [len(x) for x in token_bytes]
+        self.encode, self.bytes = encode, token_bytes
+        self.sizes = np.array([len(x) for x in token_bytes], np.int64)
+
+    def __call__(self, text: str, whole: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a text and their byte ends, or nothing where their bytes aren't ``whole``."""
+        ids = self.encode(text)
+        if b"".join(map(self.bytes.__getitem__, ids)) != whole:
+            return None
+        ids = np.array(ids, np.int32)
+        return ids, np.cumsum(self.sizes[ids])
 
 
 def _json_side(path: str) -> Side:
@@ -57,8 +67,14 @@ def _json_side(path: str) -> Side:
     names, vocabulary = _byte_names(), spec["model"]["vocab"]
     special = {x["content"]: x["id"] for x in spec["added_tokens"]}
     ranks = {bytes(names[c] for c in t): i for t, i in vocabulary.items() if t not in special}
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
+    library = []  # loaded when it is first needed
+
+    def slow(text):
+        if not library:
+            library.append(Tokenizer.from_file(path))
+            library[0].encode_special_tokens = True
+        return library[0].encode(text, add_special_tokens=False).ids
+
     # where ids are the merges' ranks, a faster library gives the same ids, but can't split very long runs of white space
     merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in spec["model"]["merges"]]
     split = spec["pre_tokenizer"]
@@ -66,11 +82,9 @@ def _json_side(path: str) -> Side:
     fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if same else None
     blank = regex.compile(r"\s{10000}")
 
-    def encode(texts):
-        texts = [" " + t for t in texts]
-        return [
-            fast.encode_ordinary(t) if fast and (len(t) < 10_000 or not blank.search(t)) else own.encode(t, add_special_tokens=False).ids
-            for t in texts]
+    def encode(text):
+        text = " " + text
+        return fast.encode_ordinary(text) if fast and (len(text) < 10_000 or not blank.search(text)) else slow(text)
 
     token_bytes = [b""] * (max([*vocabulary.values(), *special.values()]) + 1)
     for t, i in ranks.items():
@@ -87,7 +101,7 @@ def _model_side(path: str) -> Side:
     own = SentencePieceProcessor(model_file=path)
     ids = range(own.get_piece_size())
     token_bytes = [bytes([int(own.id_to_piece(i)[3:5], 16)]) if own.is_byte(i) else own.id_to_piece(i).replace("▁", " ").encode() for i in ids]
-    return Side(lambda texts: own.encode(texts, num_threads=1), token_bytes)
+    return Side(own.encode, token_bytes)
 
 
 @cache
@@ -95,47 +109,71 @@ def side(path: str) -> Side:
     return _model_side(path) if path.endswith(".model") else _json_side(path)
 
 
-def groups(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Sizes on both sides of the groups between common ends; ``a`` and ``b`` are the tokens' byte lengths."""
-    a_at = {end: i for i, end in enumerate(accumulate(a), 1)}
-    b_at = {end: i for i, end in enumerate(accumulate(b), 1)}
-    common = sorted(a_at.keys() & b_at.keys())
-    sizes = []
-    for at in (a_at, b_at):
-        cuts = [0, *map(at.__getitem__, common)]
-        sizes.append([y - x for x, y in zip(cuts, cuts[1:], strict=False)])
-    return sizes[0], sizes[1]
+def groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes on both sides of the groups between common ends; the dictionaries hold WINDOW bytes of text at a time."""
+    last = int(min(a_ends[-1], b_ends[-1])) if len(a_ends) and len(b_ends) else 0
+    cuts: tuple[list[int], list[int]] = ([0], [0])
+    for lo in range(0, last, WINDOW):
+        index = []
+        for ends in (a_ends, b_ends):
+            i, j = np.searchsorted(ends, [lo, lo + WINDOW], side="right").tolist()  # ends in (lo, lo + WINDOW]
+            index.append(dict(zip(ends[i:j].tolist(), range(i + 1, j + 1), strict=True)))
+        common = sorted(filter(index[1].__contains__, index[0]))
+        for cut, at in zip(cuts, index, strict=True):
+            cut += map(at.__getitem__, common)
+    return np.diff(np.array(cuts[0], np.int32)), np.diff(np.array(cuts[1], np.int32))
 
 
-def _written(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> str:
-    """Groups as text: ids in order, A before B."""
-    a, b, parts, i, j = list(map(str, a)), list(map(str, b)), [], 0, 0
-    for x, y in zip(a_sizes, b_sizes, strict=True):
-        parts.append(f"{a[i]}|{b[j]}" if x == y == 1 else ",".join(a[i: i + x]) + "|" + ",".join(b[j: j + y]))
-        i, j = i + x, j + y
-    return ";".join(parts)
+@cache
+def _names(n: int) -> list[bytes]:
+    """Decimal ids, each followed by a comma, a bar and a semicolon: entry 3 * id + sign."""
+    return [b"%d%c" % (i, c) for i in range(n) for c in b",|;"]
+
+
+def _digest(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> str:
+    """Hex digest of the groups written as ids in order, A before B; the empty string for no groups."""
+    if not len(a_sizes):
+        return ""
+    of_a, of_b = np.repeat(np.arange(len(a_sizes)), a_sizes), np.repeat(np.arange(len(b_sizes)), b_sizes)
+    a_ends, b_ends = np.cumsum(a_sizes), np.cumsum(b_sizes)
+    a_code, b_code = 3 * a.astype(np.int64), 3 * b.astype(np.int64)
+    a_code[a_ends - 1] += 1
+    b_code[b_ends - 1] += 2
+    code = np.empty(len(a) + len(b), np.int64)
+    code[np.arange(len(a)) + (b_ends - b_sizes)[of_a]] = a_code
+    code[np.arange(len(b)) + a_ends[of_b]] = b_code
+    names = _names(1 << int(code.max() // 3).bit_length())
+    sha = hashlib.sha256()
+    for lo in range(0, len(code) - 1, WINDOW):
+        sha.update(b"".join(map(names.__getitem__, code[lo: min(lo + WINDOW, len(code) - 1)].tolist())))
+    sha.update(names[code[-1]][:-1])
+    return sha.hexdigest()
 
 
 def _aligned(batches, a_path, b_path, digest):
-    a_side, b_side = side(a_path), side(b_path)
-    kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 4]
-    names = [*OWN, "groups_sha256"] if digest else OWN
+    a_side, b_side, none = side(a_path), side(b_path), np.empty(0, np.int32)
     for batch in batches:
-        for lo in range(0, batch.num_rows, BATCH):
-            part = batch.slice(lo, BATCH)
-            texts = [x.as_py() or "" for x in part.column("text")]
-            out: dict[str, list] = {c: [] for c in names}
-            for text, a, b in zip(texts, a_side.encode(texts), b_side.encode(texts), strict=True):
+        at = text_buffer(batch.column("text"))[1]
+        for lo, hi in row_groups(at, BATCH):
+            part = batch.slice(lo, hi - lo)
+            lists: list[list[np.ndarray]] = [[], [], [], []]
+            digests = []
+            for text in part.column("text"):
+                text = text.as_py() or ""
                 whole = b" " + text.encode()
-                if not text or b"".join(map(a_side.bytes.__getitem__, a)) != whole or b"".join(map(b_side.bytes.__getitem__, b)) != whole:
-                    a, b = [], []
-                a_sizes, b_sizes = groups([a_side.sizes[i] for i in a], [b_side.sizes[i] for i in b])
-                for c, x in zip(OWN, (len(a), len(b), a, b, a_sizes, b_sizes), strict=True):
-                    out[c].append(x)
+                a = a_side(text, whole) if text else None
+                b = b_side(text, whole) if a else None
+                found = (a[0], b[0], *groups(a[1], b[1])) if a and b else (none,) * 4
+                for out, x in zip(lists, found, strict=True):
+                    out.append(x)
                 if digest:
-                    out["groups_sha256"].append(hashlib.sha256(_written(a, b, a_sizes, b_sizes).encode()).hexdigest() if a else "")
-            columns = [pa.array(out[c], t) for c, t in zip(names, [*kinds, pa.string()], strict=False)]
-            yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *names])
+                    digests.append(_digest(*found))
+            columns = [pa.array([len(x) for x in out], pa.int64()) for out in lists[:2]]
+            for out in lists:
+                starts = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(out), pa.int32())))
+            columns += [pa.array(digests, pa.string())] if digest else []
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *OWN, *(["groups_sha256"] if digest else [])])
 
 
 def _align(rows: DataFrame, a_path: str | None, b_path: str | None, digest: bool) -> DataFrame:
@@ -171,43 +209,59 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.flatten()), at - at[0] if len(at) else np.zeros(1, np.int64)
 
 
-def _slices(of: np.ndarray, pair: np.ndarray, n: np.ndarray):
-    """Distinct (document, pair) with their numbers of links summed."""
-    by = np.lexsort((pair, of))
-    of, pair, n = of[by], pair[by], n[by]
-    new = np.ones(len(of), bool)
-    new[1:] = (of[1:] != of[:-1]) | (pair[1:] != pair[:-1])
+def _distinct(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often they occur or the sums of ``n``."""
+    if n is None:
+        key = np.sort(key)
+    else:
+        by = np.argsort(key)
+        key, n = key[by], n[by]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)
-    return of[first], pair[first], np.add.reduceat(n, first) if len(first) else n
+    if n is None:
+        return key[first], np.diff(first, append=len(key))
+    return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def links(rows) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, pair, number of links) of all distinct pairs of each row, in runs of rows of about LINKS links.
 
     ``rows`` has the columns a_ids, b_ids, a_sizes and b_sizes; a pair is the A
-    id above 32 bits and the B id below.  Where a group's sides repeat ids, each
-    pair of distinct ids is expanded once, with the product of their numbers.
+    id above 32 bits and the B id below.  Where groups have many links, their
+    distinct ids are expanded with the products of their numbers.
     """
     (a, a_at), (b, b_at), (na, at), (nb, _) = (_lists(rows.column(c)) for c in ("a_ids", "b_ids", "a_sizes", "b_sizes"))
     na, nb = na.astype(np.int64), nb.astype(np.int64)
+    a_bits, b_bits = (int(x.max()).bit_length() if len(x) else 0 for x in (a, b))
+    most = 1 << (63 - a_bits - b_bits)  # rows whose number fits beside a pair
     sums = np.concatenate([[0], np.cumsum(na * nb)])
     begin, n = 0, len(at) - 1
     while begin < n:
         end = int(np.searchsorted(sums[at], sums[at[begin]] + LINKS, side="right")) - 1
-        end = min(max(end, begin + 1), n)
-        sizes = [x[at[begin]: at[end]] for x in (na, nb)]
-        row = np.repeat(np.arange(begin, end), np.diff(at[begin: end + 1]))
-        ids, held = [], []
-        for values, offsets, size in ((a, a_at, sizes[0]), (b, b_at, sizes[1])):
+        end = min(max(end, begin + 1), begin + most, n)
+        row = np.repeat(np.arange(end - begin), np.diff(at[begin: end + 1]))
+        sides = []
+        for values, offsets, size, bits in ((a, a_at, na, a_bits), (b, b_at, nb, b_bits)):
+            size, ids = size[at[begin]: at[end]], values[offsets[begin]: offsets[end]].astype(np.int64)
             group = np.repeat(np.arange(len(size)), size)
-            g, x, k = _slices(group, values[offsets[begin]: offsets[end]].astype(np.int64), np.ones(len(group), np.int64))
-            ids.append((g, x, k))
-            held.append(np.bincount(g, minlength=len(size)))
-        (ga, xa, ka), (_, xb, kb) = ids
-        reps = held[1][ga]
-        start = (np.cumsum(held[1]) - held[1])[ga]
-        place = np.repeat(start - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-        yield _slices(np.repeat(row[ga], reps), np.repeat(xa << 32, reps) | xb[place], np.repeat(ka, reps) * kb[place])
+            times = None
+            if sums[at[end]] - sums[at[begin]] > 4 * len(ids) + 16:
+                key, times = _distinct(group << bits | ids)
+                group, ids = key >> bits, key & ((1 << bits) - 1)
+                size = np.bincount(group, minlength=len(size))
+            sides.append((group, ids, times, size))
+        (group, xa, ka, _), (_, xb, kb, held) = sides
+        reps = held[group]
+        first = (np.cumsum(held) - held)[group]
+        place = np.repeat(first - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+        key = np.repeat((row[group] << a_bits | xa) << b_bits, reps) | xb[place]
+        times = None
+        if ka is not None or kb is not None:
+            times = (np.repeat(ka, reps) if ka is not None else 1) * (kb[place] if kb is not None else 1)
+        key, times = _distinct(key, times)
+        pair = key & ((1 << (a_bits + b_bits)) - 1)
+        yield begin + (key >> (a_bits + b_bits)), pair >> b_bits << 32 | pair & ((1 << b_bits) - 1), times
         begin = end
 
 
@@ -231,10 +285,7 @@ def _pairs(batches):
     block, held, size = None, [], 0
 
     def summed():
-        pair = np.concatenate([x for x, _ in held])
-        n = np.concatenate([y for _, y in held])
-        _, pair, n = _slices(np.zeros(len(pair), np.int64), pair, n)
-        return pair, n
+        return _distinct(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
 
     def done():
         pair, n = summed()

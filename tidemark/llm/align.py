@@ -6,10 +6,11 @@ a token; consecutive ones slice both id lists into groups.  A group links every
 A token in it with every B token in it, expanded slice by slice.
 
 Counting links over a corpus: rows of single links would be as many as its
-tokens.  Instead the aligned documents are written in blocks, and of a block each
-distinct id pair leaves as one row with the number of the block's documents that
-hold it.  The rows are summed by pair, compared with the best pair of their A id,
-and go back to their block, where they meet its documents again.
+tokens.  Instead each document keeps its distinct id pairs as arrays, documents
+are written in blocks, and of a block each distinct pair leaves as one row with
+the number of the block's documents that hold it.  The rows are summed by pair,
+compared with the best pair of their A id, and go back to their block, where they
+meet its documents again.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,29 +31,49 @@ from .bpe import PATTERN, _byte_names, _public
 from .frames import carried, released, schema_of
 from .symbols import row_groups, text_buffer
 
-BLOCK = 8 << 20  # bytes of text in a block; a longer text is a block by itself
+BLOCK = 1 << 21  # distinct pairs of documents in a block; a document with more is a block by itself
 LINKS = 1 << 19  # links expanded at once
 BATCH = 1 << 20  # bytes of text whose rows leave together
 WINDOW = 1 << 16  # bytes whose ends are compared at once
 OWN = ["n_a", "n_b", "a_ids", "b_ids", "a_sizes", "b_sizes"]
 TYPES = ("long", "long", "array<int>", "array<int>", "array<int>", "array<int>")
-COUNTED = ["n_groups", "n_links", "n_best", "count_sum"]
+FOUND = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pair_a", "pair_b", "times"]
+FOUND_TYPES = ("long", "long", "long", "long", "string", "array<int>", "array<int>", "array<int>")
+COUNTED = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+
+class Spelled:
+    """The bytes of many short strings, side by side."""
+
+    def __init__(self, strings: list[bytes]):
+        self.sizes = np.array([len(x) for x in strings], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        """The strings of ``ids`` one after another."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Side:
     """A tokenizer, and the bytes of each of its ids."""
 
     def __init__(self, encode, token_bytes: list[bytes]):
-        self.encode, self.bytes = encode, token_bytes
-        self.sizes = np.array([len(x) for x in token_bytes], np.int64)
+        self.encode, self.spelled = encode, Spelled(token_bytes)
 
-    def __call__(self, text: str, whole: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+    def __call__(self, text: str, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of a text and their byte ends, or nothing where their bytes aren't ``whole``."""
-        ids = self.encode(text)
-        if b"".join(map(self.bytes.__getitem__, ids)) != whole:
+        ids = np.array(self.encode(text), np.int32)
+        ends = np.cumsum(self.spelled.sizes[ids])
+        if not len(ends) or ends[-1] != len(whole):
             return None
-        ids = np.array(ids, np.int32)
-        return ids, np.cumsum(self.sizes[ids])
+        for lo in range(0, len(ids), WINDOW):
+            hi = min(lo + WINDOW, len(ids))
+            if not np.array_equal(self.spelled.joined(ids[lo:hi]), whole[ends[lo] - self.spelled.sizes[ids[lo]]: ends[hi - 1]]):
+                return None
+        return ids, ends
 
 
 def _json_side(path: str) -> Side:
@@ -84,7 +104,7 @@ def _json_side(path: str) -> Side:
 
     def encode(text):
         text = " " + text
-        return fast.encode_ordinary(text) if fast and (len(text) < 10_000 or not blank.search(text)) else slow(text)
+        return fast.encode_to_numpy(text) if fast and (len(text) < 10_000 or not blank.search(text)) else slow(text)
 
     token_bytes = [b""] * (max([*vocabulary.values(), *special.values()]) + 1)
     for t, i in ranks.items():
@@ -125,12 +145,12 @@ def groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 @cache
-def _names(n: int) -> list[bytes]:
+def _names(n: int) -> Spelled:
     """Decimal ids, each followed by a comma, a bar and a semicolon: entry 3 * id + sign."""
-    return [b"%d%c" % (i, c) for i in range(n) for c in b",|;"]
+    return Spelled([b"%d%c" % (i, c) for i in range(n) for c in b",|;"])
 
 
-def _digest(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> str:
+def digest(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> str:
     """Hex digest of the groups written as ids in order, A before B; the empty string for no groups."""
     if not len(a_sizes):
         return ""
@@ -144,43 +164,34 @@ def _digest(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarr
     code[np.arange(len(b)) + a_ends[of_b]] = b_code
     names = _names(1 << int(code.max() // 3).bit_length())
     sha = hashlib.sha256()
-    for lo in range(0, len(code) - 1, WINDOW):
-        sha.update(b"".join(map(names.__getitem__, code[lo: min(lo + WINDOW, len(code) - 1)].tolist())))
-    sha.update(names[code[-1]][:-1])
+    for lo in range(0, len(code), WINDOW):
+        text = names.joined(code[lo: lo + WINDOW])
+        sha.update(text if lo + WINDOW < len(code) else text[:-1])
     return sha.hexdigest()
 
 
-def _aligned(batches, a_path, b_path, digest):
+def _list_column(lists: list[np.ndarray]) -> pa.ListArray:
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(lists).astype(np.int32, copy=False)))
+
+
+def _aligned(batches, a_path, b_path):
     a_side, b_side, none = side(a_path), side(b_path), np.empty(0, np.int32)
     for batch in batches:
-        at = text_buffer(batch.column("text"))[1]
+        raw, at = text_buffer(batch.column("text"))
         for lo, hi in row_groups(at, BATCH):
             part = batch.slice(lo, hi - lo)
             lists: list[list[np.ndarray]] = [[], [], [], []]
-            digests = []
-            for text in part.column("text"):
+            for i, text in enumerate(part.column("text"), lo):
                 text = text.as_py() or ""
-                whole = b" " + text.encode()
+                whole = np.concatenate([[np.uint8(0x20)], raw[at[i]: at[i + 1]]])
                 a = a_side(text, whole) if text else None
                 b = b_side(text, whole) if a else None
                 found = (a[0], b[0], *groups(a[1], b[1])) if a and b else (none,) * 4
                 for out, x in zip(lists, found, strict=True):
                     out.append(x)
-                if digest:
-                    digests.append(_digest(*found))
             columns = [pa.array([len(x) for x in out], pa.int64()) for out in lists[:2]]
-            for out in lists:
-                starts = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(out), pa.int32())))
-            columns += [pa.array(digests, pa.string())] if digest else []
-            yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *OWN, *(["groups_sha256"] if digest else [])])
-
-
-def _align(rows: DataFrame, a_path: str | None, b_path: str | None, digest: bool) -> DataFrame:
-    """``rows`` (with a text) and the columns of the alignment."""
-    a_path, b_path = a_path or _public("byte_bpe_50k.json"), b_path or _public("piece_bpe_32k.model")
-    schema = schema_of(rows, **dict(zip(OWN, TYPES, strict=True)), **({"groups_sha256": "string"} if digest else {}))
-    return rows.mapInArrow(lambda it: _aligned(it, a_path, b_path, digest), schema)
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns, *map(_list_column, lists)], [*part.schema.names, *OWN])
 
 
 def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
@@ -198,7 +209,9 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None)
     null keys and empty tables need no rule.  A column of the input that has the
     name of an added one is replaced.
     """
-    out = _align(docs.select("text", carried(docs, "text").alias("rest")), a_path, b_path, False)
+    a_path, b_path = a_path or _public("byte_bpe_50k.json"), b_path or _public("piece_bpe_32k.model")
+    rows = docs.select("text", carried(docs, "text").alias("rest"))
+    out = rows.mapInArrow(lambda it: _aligned(it, a_path, b_path), schema_of(rows, **dict(zip(OWN, TYPES, strict=True))))
     return released(out, docs.columns, OWN)
 
 
@@ -265,19 +278,34 @@ def links(rows) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         begin = end
 
 
-def _blocks(batches, limit):
-    """Rows with the number of their block: a task's rows in order, a new block for every ``limit`` bytes of text."""
+def _found(batches, a_path, b_path, limit):
+    """The columns FOUND and a block's number in place of the text: a task's rows in order, a new block for every ``limit`` pairs."""
     block, held = TaskContext.get().partitionId() << 32, 0
-    for batch in batches:
-        sizes = np.asarray(batch.column("size"))
-        out = np.empty(len(sizes), np.int64)
-        for i, size in enumerate(sizes.tolist()):
-            if held and held + size > limit:
+    for batch in _aligned(batches, a_path, b_path):
+        ids = [_lists(batch.column(c)) for c in OWN[2:]]
+        pairs = [(np.empty(0, np.int64), np.empty(0, np.int64))] * batch.num_rows
+        for row, pair, times in links(batch):
+            cuts = [0, *(np.flatnonzero(np.diff(row)) + 1).tolist(), len(row)] if len(row) else []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                pairs[row[lo]] = pair[lo:hi], times[lo:hi]
+        n_links, digests, blocks = [], [], []
+        for i, (pair, times) in enumerate(pairs):
+            n_links.append(int(times.sum()))
+            digests.append(digest(*(x[at[i]: at[i + 1]] for x, at in ids)))
+            if held and held + len(pair) > limit:
                 block, held = block + 1, 0
-            held += size
-            out[i] = block
-        names = [c for c in batch.schema.names if c != "size"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out)], [*names, "block"])
+            held += len(pair)
+            blocks.append(block)
+        n_groups = np.diff(ids[2][1])
+        lists = [_list_column(x) for x in ([p >> 32 for p, _ in pairs], [p & 0xFFFFFFFF for p, _ in pairs], [n for _, n in pairs])]
+        own = [batch.column("n_a"), batch.column("n_b"), pa.array(n_groups), pa.array(n_links, pa.int64()), pa.array(digests, pa.string()), *lists]
+        yield pa.RecordBatch.from_arrays([batch.column("rest"), *own, pa.array(blocks, pa.int64())], ["rest", *FOUND, "block"])
+
+
+def _keys(rows) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ``rows`` as one number, and their offsets by row."""
+    (a, at), (b, _) = _lists(rows.column("pair_a")), _lists(rows.column("pair_b"))
+    return a.astype(np.int64) << 32 | b, at
 
 
 def _pairs(batches):
@@ -297,37 +325,32 @@ def _pairs(batches):
 
     for batch in batches:
         blocks = np.asarray(batch.column("block"))
-        edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        key, at = _keys(batch)
+        edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)] if len(blocks) else []
         for lo, hi in zip(edges, edges[1:], strict=False):
-            if hi > lo:
-                if block is not None and blocks[lo] != block:
-                    yield from done()
-                    held, size = [], 0
-                block = int(blocks[lo])
-                for _, pair, _ in links(batch.slice(lo, hi - lo)):
-                    held.append((pair, np.ones(len(pair), np.int64)))
-                    size += len(pair)
-                    if size > LINKS:
-                        held = [summed()]
-                        size = 0
+            if block is not None and blocks[lo] != block:
+                yield from done()
+                held, size = [], 0
+            block = int(blocks[lo])
+            held.append(_distinct(key[at[lo]: at[hi]]))
+            size += len(held[-1][0])
+            if size > LINKS:
+                held, size = [summed()], 0
     if block is not None:
         yield from done()
 
 
 def _back(left: pa.Table, right: pa.Table) -> pa.Table:
     """A block's documents with the counts of their links, from the block's slice of the counts."""
-    key = np.asarray(right.column("a")).astype(np.int64) << 32 | np.asarray(right.column("b")).astype(np.int64)
-    by = np.argsort(key)
-    key, n, best = key[by], np.asarray(right.column("n"))[by], np.asarray(right.column("best"))[by]
-    total, top, every = (np.zeros(left.num_rows, np.int64) for _ in range(3))
-    for row, pair, times in links(left):
-        at = np.searchsorted(key, pair)
-        np.add.at(every, row, times)
-        np.add.at(total, row, times * n[at])
-        np.add.at(top, row, times * best[at])
-    n_groups = pc.list_value_length(left.column("a_sizes")).cast(pa.int64())
-    names = [c for c in left.column_names if c not in (*OWN[2:], "block")]
-    return pa.Table.from_arrays([*(left.column(c) for c in names), n_groups, *map(pa.array, (every, top, total))], [*names, *COUNTED])
+    known = np.asarray(right.column("a")).astype(np.int64) << 32 | np.asarray(right.column("b")).astype(np.int64)
+    by = np.argsort(known)
+    known, n, best = known[by], np.asarray(right.column("n"))[by], np.asarray(right.column("best"))[by]
+    key, at = _keys(left)
+    times, found = _lists(left.column("times"))[0].astype(np.int64), np.searchsorted(known, key)
+    sums = [np.concatenate([[0], np.cumsum(times * x[found])]) for x in (best, n)]
+    n_best, count_sum = (pa.array(x[at[1:]] - x[at[:-1]]) for x in sums)
+    names = [c for c in left.column_names if c not in ("pair_a", "pair_b", "times", "block")]
+    return pa.Table.from_arrays([*(left.column(c) for c in names), n_best, count_sum], [*names, "n_best", "count_sum"])
 
 
 def link_counts(pairs: DataFrame) -> DataFrame:
@@ -354,14 +377,14 @@ def linked(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
     input that has the name of an added one is replaced.
     """
     spark = docs.sparkSession
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
-    rows = _align(docs.select("text", carried(docs, "text").alias("rest"), size), a_path, b_path, True).drop("text")
+    a_path, b_path = a_path or _public("byte_bpe_50k.json"), b_path or _public("piece_bpe_32k.model")
+    rows = docs.select("text", carried(docs, "text").alias("rest"))
+    schema = schema_of(rows.drop("text"), **dict(zip(FOUND, FOUND_TYPES, strict=True)), block="long")
     folder = shared_folder(spark)
-    blocked = rows.mapInArrow(lambda it: _blocks(it, block), schema_of(rows.drop("size"), block="long"))
-    blocked.write.option("compression", "zstd").parquet(f"{folder}/aligned")
-    rows = spark.read.parquet(f"{folder}/aligned")
-    parts = rows.select("block", *OWN[2:]).mapInArrow(_pairs, "block long, a int, b int, n long")
+    rows.mapInArrow(lambda it: _found(it, a_path, b_path, block), schema).write.option("compression", "zstd").parquet(f"{folder}/aligned")
+    rows = spark.read.schema(schema).parquet(f"{folder}/aligned")
+    parts = rows.select("block", "pair_a", "pair_b").mapInArrow(_pairs, "block long, a int, b int, n long")
     slices = parts.select("block", "a", "b").join(link_counts(parts), ["a", "b"]).select("block", "a", "b", "n", "best")
-    schema = schema_of(rows.drop(*OWN[2:], "block"), **dict.fromkeys(COUNTED, "long"))
+    schema = schema_of(rows.drop("pair_a", "pair_b", "times", "block"), n_best="long", count_sum="long")
     out = rows.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(_back, schema)
-    return released(out, [c for c in docs.columns if c != "text"], ["n_a", "n_b", *COUNTED, "groups_sha256"])
+    return released(out, [c for c in docs.columns if c != "text"], COUNTED)

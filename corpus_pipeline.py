@@ -18,19 +18,31 @@ from tidemark.session import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS = 2000  # documents that a Python worker gets at once; Spark's own 10,000 are tens of MB on either side
+
+
+def modest(spark: SparkSession) -> None:
+    """Smaller Arrow batches, unless the session has a size of its own."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, ROWS)
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model of trusted text doesn't reject."""
+    modest(spark)
     return quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select(docs.columns)
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least doc_id."""
+    modest(spark)
     return neardup.drop_near_duplicates(docs)
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 words that an earlier document has; a document stays even if nothing of it does."""
+    modest(spark)
     left = factors.remove_repeated_words(docs)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -39,11 +51,13 @@ def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def no_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
+    modest(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids and the digests of ids and decoded text."""
+    modest(spark)
     return bpe.encode(docs)
 
 

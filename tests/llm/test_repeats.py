@@ -93,3 +93,11 @@ def test_odd_tables(spark):
         assert left in out.columns and out.count() == 5 and f(df.limit(0)).count() == 0
     got = sorted((str(r.doc_id), r.n_removed, r.found) for r in factors.remove_repeated_words(df).collect())
     assert got == [("3", 0, "r"), ("3", 60, "q"), ("3", 60, "q"), ("9", 0, None), ("None", 0, "p")]
+
+
+def test_blocks_of_one_anchor_are_told_apart(spark, rows):
+    """Two texts that share 32 bytes only, whose blocks once had equal 40-bit hashes."""
+    one = "vthslifzxjljnnyqxjwfhknksdpgrqiuwtrjwothocuqfefbrjauwdiuuygmkpbzjorvghiohabcncmmtheiuaeqhzuehhzflphcrbuyueyrzvdntidfogco"
+    two = "pfcfolvjdecxaeqymqzjaotjqqkhvlnrefcdeeemnhkvfefbrjauwdiuuygmkpbzjorvghiohabcxvwxvysngodfxrwwbnvnxtyhdwjqkzncfzbwclcjukkp"
+    out = suffixes.remove_repeated_bytes(spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string"))
+    assert rows(out, "doc_id", "n_removed") == [(1, 0), (2, 0)]

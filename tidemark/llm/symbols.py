@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20  # symbols worked on at once
+SLICE = 1 << 18  # symbols worked on at once
 LONG_WORD = 4096  # bytes; longer words are hashed one by one
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 3  # odd, 3 modulo 4

@@ -2,32 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 
-
 SMALL = 100_000  # edges (1.6 MB as longs) that one task works on, so that a round needs no shuffle
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    """Each edge from both ends; not as a union, which would break up a single partition."""
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return edges.select(both.alias("e")).select("e.a", "e.b")
+
+
+def _with_least(rows: DataFrame, key: str, value: str, few: bool) -> DataFrame:
+    """Adds m, the least ``value`` of each key: by a join, which can split hot keys, or for few rows in their one partition."""
+    if few:
+        return rows.withColumn("m", F.min(value).over(Window.partitionBy(key)))
+    return rows.join(rows.groupBy(key).agg(F.min(value).alias("m")), key)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     """Every neighbour above a node is tied to the least of the node and its neighbours."""
-    sides = _both_ways(edges)
-    least = sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return sides.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+    sides = _with_least(_both_ways(edges), "a", "b", few).where("b > a")
+    return sides.select(F.least("a", "m").alias("a"), "b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     """A node and its neighbours below it are tied to the least of these."""
-    down = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))  # v < u
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    others = down.join(least, "u").where("v > m").select(F.col("m").alias("a"), F.col("v").alias("b"))
-    return others.unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
+    down = _with_least(edges.select(F.col("b").alias("u"), F.col("a").alias("v")), "u", "v", few)  # v < u
+    # the row of the least neighbour itself becomes the node's own edge
+    return down.select(F.col("m").alias("a"), F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -49,6 +55,6 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
-        now = cut(_small_star(_large_star(now)))
+        now = cut(_small_star(_large_star(now, few), few))
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
         now.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()

@@ -55,6 +55,46 @@ def in_edges(px, py, edges) -> Column:
     return (hits < 0) | (hits % 2 == 1)
 
 
+def side_of(x, y, e) -> Column:
+    """Positive where edge ``e`` passes (x, y) on the right if it goes up, on the left if down; zero on its line."""
+    ax, ay, bx, by = e["a"]["lon"], e["a"]["lat"], e["b"]["lon"], e["b"]["lat"]
+    return (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+
+
+def left_of_corner(x0, y0, e) -> Column:
+    """TRUE if edge ``e`` meets the line just above ``y0`` to the left of a place just left of ``x0``.
+
+    Just above and just left settle all ties: a place on the edge itself counts
+    by the edge's slope.  Only edges with one end above ``y0`` are asked.
+    """
+    rise, run = F.signum(e["b"]["lat"] - e["a"]["lat"]), F.signum(e["b"]["lon"] - e["a"]["lon"])
+    gap = side_of(x0, y0, e) * rise
+    return (gap < 0) | ((gap == 0) & (run * rise < 0))
+
+
+def in_cell(px, py, x0, y0, corner, edges) -> Column:
+    """TRUE if a point of the cell with the lower left corner (x0, y0) is inside a ring or on its border.
+
+    ``corner`` tells whether the place just left of and above the corner is
+    inside; ``edges`` are the ring's edges that cross the cell.  The way from there
+    goes up to the point's height and then to the point; each crossing changes
+    sides.
+    """
+    px, py = _c(px), _c(py)
+
+    def step(acc, e):
+        ax, ay, bx, by = e["a"]["lon"], e["a"]["lat"], e["b"]["lon"], e["b"]["lat"]
+        rise, run = F.signum(by - ay), F.signum(bx - ax)
+        here, turn = side_of(px, py, e), side_of(x0, py, e)
+        near = px.between(F.least(ax, bx), F.greatest(ax, bx)) & py.between(F.least(ay, by), F.greatest(ay, by))
+        across = ((ay > py) != (by > py)) & ((here * rise < 0) != left_of_corner(x0, py, e))
+        up = ((ax >= x0) != (bx >= x0)) & ((turn * run >= 0) != (side_of(x0, y0, e) * run >= 0))
+        return F.when((acc < 0) | ((here == 0) & near), F.lit(-1)).otherwise(acc + across.cast("int") + up.cast("int"))
+
+    hits = F.aggregate(edges, corner.cast("int"), step)
+    return (hits < 0) | (hits % 2 == 1)
+
+
 def in_ring(lon, lat, ring) -> Column:
     """TRUE if the point is inside the ring or on its border."""
     return in_edges(lon, lat, _edges(_c(ring)))

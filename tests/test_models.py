@@ -107,7 +107,55 @@ def test_two_way_unbalanced(table, panel):
 def test_two_way_says_when_it_has_not_settled(spark):
     d = spark.createDataFrame([(u, u + k, float(u * k + u)) for u in range(12) for k in range(2)], "u int, t int, y double")
     with pytest.raises(RuntimeError):
-        G.two_way_demean(d, ["y"], "u", "t", most=3)
+        G.two_way_demean(d, ["y"], "u", "t", most=2, direct=0)
+
+
+def split_panel():
+    """Group 'split': units seen at two times each, in two blocks of years that share none; group 'full': balanced."""
+    rnd = np.random.default_rng(8)
+    rows = [("split", u, 100 * (u // 13) + u + k, *rnd.normal(size=4)) for u in range(26) for k in range(3)]
+    rows += [("full", u, t, *rnd.normal(size=4)) for u in range(5) for t in range(6)]
+    return pd.DataFrame(rows, columns="g u t y x1 x2 z".split())
+
+
+def dense_two_way(p, z):
+    x = p[["x1", "x2"]].to_numpy()
+    d = np.column_stack([dummies(p.u), dummies(p.t)])
+    left = np.eye(len(p)) - d @ np.linalg.pinv(d)
+    y, x, z = left @ p.y.to_numpy(), left @ x, left @ p[z].to_numpy()
+    xh = z @ np.linalg.lstsq(z, x, rcond=None)[0]
+    b = np.linalg.solve(xh.T @ x, xh.T @ y)
+    dof = len(p) - np.linalg.matrix_rank(d) - 2
+    e = y - x @ b
+    return b, np.sqrt(np.diag(np.linalg.inv(xh.T @ xh)) * (e @ e) / dof), dof
+
+
+def test_two_way_on_a_split_panel(spark):
+    p = split_panel()
+    d = spark.createDataFrame(p)
+    fe = G.two_way_fixed_effects(d, "y", ["x1", "x2"], "u", "t", "g").toPandas()
+    iv = G.two_stage(d, "y", ["x1"], ["x2"], ["z"], "g", "u", "t").toPandas()
+    for g, rows in p.groupby("g"):
+        for got, z in ((fe, ["x1", "x2"]), (iv, ["x1", "z"])):
+            b, se, dof = dense_two_way(rows, z)
+            got = got[got.g == g].set_index("term").loc[["x1", "x2"]]
+            assert np.allclose(got["est"], b, atol=1e-7) and np.allclose(got["se"], se, atol=1e-7) and set(got["dof"]) == {dof}
+
+
+def test_two_way_steps_agree_with_the_dense_solution(spark):
+    rows = [("a", u, u + k, float(u * u + 3 * k)) for u in range(3) for k in range(2)] + [("b", u, t, float(u * t)) for u in range(3) for t in range(3)]
+    d = spark.createDataFrame(rows, "g string, u int, t int, y double").coalesce(1)
+    steps = G.two_way_demean(d, ["y"], "u", "t", "g", most=4, direct=0)
+    dense = G.two_way_demean(d, ["y"], "u", "t", "g")
+    key = ["g", "u", "t"]
+    assert np.allclose(steps.orderBy(*key).toPandas()["tw_y"], dense.orderBy(*key).toPandas()["tw_y"], atol=1e-7)
+
+
+def test_panel_parts(spark, rows):
+    d = spark.createDataFrame(
+        [("a", u, t) for u, t in [(1, 1), (1, 2), (2, 3), (2, 4), (3, 4), (3, 5), (4, None), (None, 9)]] + [("b", u, u + k) for u in range(9) for k in range(2)],
+        "g string, u int, t int")
+    assert rows(G.panel_parts(d, "u", "t", "g"), "g", "units", "times", "parts") == [("a", 5, 7, 4), ("b", 9, 10, 1)]
 
 
 @pytest.mark.parametrize("two_way", [False, True])

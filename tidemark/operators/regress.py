@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.missing import fill
 from ..functions.tails import chi2_upper, f_upper, t_two_sided
@@ -224,66 +225,164 @@ def significant(table: DataFrame, var: str, sign: int, alpha: float) -> DataFram
 
 # -- two-way effects ---------------------------------------------------------------
 
-def two_way_demean(df: DataFrame, cols, unit: str, time: str, by=(), tol: float = 1e-9, most: int = 300) -> DataFrame:
-    """Remove unit and time means (``tw_*``) by alternating passes until no time
-    effect moves by more than ``tol`` of its column's largest value; not getting
-    there in ``most`` passes is an error.  The first pass is exact on a balanced
-    panel.  Incomplete rows drop out first.
+DIRECT = 512  # times of a group up to which their equations are solved as one dense system
 
-    Only the unit and time effects are carried from pass to pass: each pass is
-    two aggregations of the stored rows, and the time effects are stored.
-    """
-    cols, by = list(cols), _names(by)
-    d = cut(df.dropna(subset=cols).withColumns({f"tw_{c}": F.col(c).cast("double") for c in cols}))
 
-    def effects(rows, level, other, mark):
-        keys = [*by, level]
-        x = {c: F.col(f"tw_{c}") for c in cols}
-        if other is not None:
-            j = merge(rows, other, by=[c for c in other.columns if not c.startswith("__")])
-            x = {c: F.col(f"tw_{c}") - F.col(f"__{'t' if mark == 'u' else 'u'}_{c}") for c in cols}
-            rows = j
-        return rows.groupBy(*keys).agg(*[F.avg(x[c]).alias(f"__{mark}_{c}") for c in cols])
+def two_way_demean(df: DataFrame, cols, unit: str, time: str, by=(), tol: float = 1e-9, most: int = 100, direct: int = DIRECT) -> DataFrame:
+    """Remove unit and time effects (``tw_*``), in any panel; incomplete rows drop out first.
 
+    Units are eliminated, which leaves one equation per time of a group.  Where
+    every group has at most ``direct`` times (counted first), the equations are
+    summed from the units' counts in one pass and solved densely.  Beyond that they
+    are solved by conjugate gradients, scaled by the times' row counts, for all
+    groups and columns at once: a step reads the counted (unit, time) cells, never
+    the rows, and stores one row per time; a group of T times takes T steps at most
+    but for rounding.  They end when no time's mean is off by more than ``tol`` of
+    its column's largest value; not getting there in ``most`` steps is an error.
+    """
+    return _two_way(df, cols, unit, time, by, tol, most, direct)[0]
+
+
+def _solved_times(cells: DataFrame, start: DataFrame, unit: str, time: str, by, k: int) -> DataFrame:
+    """Time effects ``__x*`` by dense systems, one per group, and the number of connected parts of the group's panel."""
+    units = cells.groupBy(*by, unit).agg(F.collect_list(F.struct(F.col(time).alias("t"), F.col("__n").alias("n"))).alias("__c"))
+    nu = F.aggregate("__c", F.lit(0.0), lambda acc, c: acc + c["n"])
+    pairs = units.select(*by, "__c", nu.alias("__nu"), F.explode("__c").alias("__p")).select(*by, "__nu", "__p", F.explode("__c").alias("__q"))
+    pairs = pairs.groupBy(*by, F.col("__p.t").alias(time), F.col("__q.t").alias("__o")).agg(F.sum(F.col("__p.n") * F.col("__q.n") / F.col("__nu")).alias("__v"))
+    right = start.select(*by, time, "__nt", *[(F.col(f"__b{i}") - F.col(f"__q{i}")).alias(f"__r{i}") for i in range(k)])
+    rows = merge(pairs, right, by=[*by, time])
+    found = [f"__x{i}" for i in range(k)]
+
+    def solve_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        codes = pd.factorize(pd.concat([pdf[time], pdf["__o"]]), use_na_sentinel=False)[0]
+        at, other = codes[: len(pdf)], codes[len(pdf):]
+        one = np.unique(at, return_index=True)[1]  # a row of each time, in the order of the codes
+        root = np.sqrt(pdf["__nt"].to_numpy()[one])
+        m = np.eye(len(one))
+        m[at, other] -= pdf["__v"].to_numpy() / (root[at] * root[other])
+        w, v = np.linalg.eigh(m)  # one zero eigenvalue for each connected part
+        keep = w > 1e-10
+        r = pdf[[f"__r{i}" for i in range(k)]].to_numpy()[one] / root[:, None]
+        x = (v[:, keep] / w[keep]) @ (v[:, keep].T @ r) / root[:, None]
+        return pdf[[*by, time]].iloc[one].assign(**{c: x[:, i] for i, c in enumerate(found)}, parts=int((~keep).sum()))
+
+    keys = T.StructType([start.schema[c] for c in [*by, time]])
+    schema = T.StructType([*keys.fields, *(T.StructField(c, T.DoubleType()) for c in found), T.StructField("parts", T.LongType())])
+    return rows.groupBy(*by).applyInPandas(solve_group, schema)
+
+
+def _two_way(df: DataFrame, cols, unit: str, time: str, by, tol: float = 1e-9, most: int = 100, direct: int = DIRECT):
+    """``two_way_demean``'s rows, and (``by``, units, times, parts) of each group."""
+    cols, given = list(cols), _names(by)
+    by = given or ["__all"]
+    d = df.dropna(subset=cols).withColumns({f"tw_{c}": F.col(c).cast("double") for c in cols})
+    d = cut(d if given else d.withColumn("__all", F.lit(0)))
+    at_unit, at_time = [*by, unit], [*by, time]
+    ix = range(len(cols))
+    cells = cut(d.groupBy(*by, unit, time).agg(
+        F.count(F.lit(1)).cast("double").alias("__n"), *[F.sum(f"tw_{c}").alias(f"__s{i}") for i, c in enumerate(cols)]))
     size = [float(x or 0.0) for x in d.agg(*[F.max(F.abs(f"tw_{c}")) for c in cols]).first()]
-    times = None
-    for _ in range(most):
-        units = effects(d, unit, times, "u")
-        before, times = times, cut(effects(d, time, units, "t"))
-        if before is not None:
-            key = [*by, time]
-            both = merge(times, before.withColumnsRenamed({f"__t_{c}": f"__b_{c}" for c in cols}), by=key)
-            moved = both.agg(*[F.max(F.abs(F.col(f"__t_{c}") - F.col(f"__b_{c}"))) for c in cols]).first()
-            if all((m or 0.0) <= tol * s for m, s in zip(moved, size)):
-                break
-    else:
-        raise RuntimeError(f"two-way means have not settled after {most} passes")
-    out = merge(merge(d, units, by=[*by, unit]), times, by=[*by, time])
-    out = out.withColumns({f"tw_{c}": F.col(f"tw_{c}") - F.col(f"__u_{c}") - F.col(f"__t_{c}") for c in cols})
-    return out.select(*d.columns)
+    if not any(size):
+        size = [1.0 for _ in size]
+
+    def unit_means(rows, values):
+        return rows.groupBy(*at_unit).agg(*[(F.sum(v) / F.sum("__n")).alias(f"__m{i}") for i, v in enumerate(values)])
+
+    def spread(means):  # the units' means, summed over the rows of each time
+        j = merge(cells.select(*at_unit, time, "__n", *[F.col(f"__s{i}") for i in ix]), means, by=at_unit)
+        return j.groupBy(*at_time).agg(
+            F.sum("__n").alias("__nt"), *[F.sum(F.col("__n") * F.col(f"__m{i}")).alias(f"__q{i}") for i in ix],
+            *[F.sum(f"__s{i}").alias(f"__b{i}") for i in ix])
+
+    start = spread(unit_means(cells, [F.col(f"__s{i}") for i in ix]))
+    if (start.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= direct:
+        times = cut(_solved_times(cells, start, unit, time, by, len(cols)))
+        parts = times.groupBy(*by).agg(F.count(F.lit(1)).alias("times"), F.max("parts").alias("parts"))
+        counts = cells.select(*by, F.struct(unit).alias("__u")).groupBy(*by).agg(F.count_distinct("__u").alias("units"))
+        return _without_effects(d, cells, times, cols, at_unit, at_time, unit_means), merge(counts, parts, by=by)
+    state = cut(start.select(
+        *at_time, "__nt", *[F.lit(0.0).alias(f"__x{i}") for i in ix], *[(F.col(f"__b{i}") - F.col(f"__q{i}")).alias(f"__r{i}") for i in ix],
+        *[((F.col(f"__b{i}") - F.col(f"__q{i}")) / F.col("__nt")).alias(f"__p{i}") for i in ix]))
+    for step in range(most + 1):
+        off = state.agg(*[F.max(F.abs(F.col(f"__r{i}")) / F.col("__nt")) for i in ix]).first()
+        if all((m or 0.0) <= tol * z for m, z in zip(off, size)):
+            break
+        if step == most:
+            raise RuntimeError(f"two-way effects have not settled after {most} steps")
+        j = merge(cells.select(*at_unit, time, "__n"), state.select(*at_time, *[f"__p{i}" for i in ix]), by=at_time)
+        q = spread(unit_means(j, [F.col("__n") * F.col(f"__p{i}") for i in ix])).drop("__nt", *[f"__b{i}" for i in ix])
+        q = merge(state, q, by=at_time).withColumns({f"__q{i}": F.col("__nt") * F.col(f"__p{i}") - F.col(f"__q{i}") for i in ix})
+        sums = q.groupBy(*by).agg(
+            *[F.sum(F.col(f"__p{i}") * F.col(f"__q{i}")).alias(f"__pq{i}") for i in ix],
+            *[F.sum(F.col(f"__r{i}") ** 2 / F.col("__nt")).alias(f"__rr{i}") for i in ix])
+        q = merge(q, sums, by=by)
+        for i in ix:  # a group that is done stays as it is
+            going = (F.col(f"__pq{i}") > 0) & (F.col(f"__rr{i}") > (0.01 * tol * size[i]) ** 2)
+            length = F.when(going, F.col(f"__rr{i}") / F.col(f"__pq{i}")).otherwise(0.0)
+            q = q.withColumns({f"__x{i}": F.col(f"__x{i}") + length * F.col(f"__p{i}"), f"__r{i}": F.col(f"__r{i}") - length * F.col(f"__q{i}")})
+        q = cut(q.select(*at_time, "__nt", *[f"__{v}{i}" for v in ("x", "r", "p", "rr") for i in ix]))
+        again = q.groupBy(*by).agg(*[F.sum(F.col(f"__r{i}") ** 2 / F.col("__nt")).alias(f"__new{i}") for i in ix])
+        state = merge(q, again, by=by).withColumns({
+            f"__p{i}": F.col(f"__r{i}") / F.col("__nt") + F.when(F.col(f"__rr{i}") > 0, F.col(f"__new{i}") / F.col(f"__rr{i}")).otherwise(0.0) * F.col(f"__p{i}")
+            for i in ix}).select(*state.columns)
+    times = state.select(*at_time, *[f"__x{i}" for i in ix])
+    return _without_effects(d, cells, times, cols, at_unit, at_time, unit_means), panel_parts(d, unit, time, by)
+
+
+def _without_effects(d, cells, times, cols, at_unit, at_time, unit_means) -> DataFrame:
+    ix = range(len(cols))
+    times = times.select(*at_time, *[f"__x{i}" for i in ix])
+    units = unit_means(merge(cells, times, by=at_time), [F.col(f"__s{i}") - F.col("__n") * F.col(f"__x{i}") for i in ix])
+    out = merge(merge(d, units, by=at_unit), times, by=at_time)
+    out = out.withColumns({f"tw_{c}": F.col(f"tw_{c}") - F.col(f"__m{i}") - F.col(f"__x{i}") for i, c in enumerate(cols)})
+    return out.select(*[c for c in d.columns if c != "__all"])
+
+
+def panel_parts(d: DataFrame, unit: str, time: str, by) -> DataFrame:
+    """(``by``, units, times, parts) of each group: parts are the connected pieces of the panel, units and times joined by rows.
+
+    Units tie their times to the first of them, which leaves at most one edge per
+    pair of times; labels then pass along edges, and from label to label, until
+    none changes.  Null units and times count as one.
+    """
+    by = _names(by)
+    cells = cut(d.select(*by, F.struct(unit).alias("__u"), F.struct(time).alias("__t")).distinct())
+    first = cells.groupBy(*by, "__u").agg(F.min("__t").alias("__l"))
+    edges = merge(cells, first, by=[*by, "__u"]).select(*by, "__t", "__l").distinct()
+    edges = cut(edges.unionByName(edges.select(*by, F.col("__l").alias("__t"), F.col("__t").alias("__l"))).distinct())
+    labels = edges.groupBy(*by, "__t").agg(F.min("__l").alias("__l"))
+    while True:
+        labels = cut(labels)
+        near = merge(edges.withColumnRenamed("__l", "__o"), labels.withColumnRenamed("__t", "__o"), by=[*by, "__o"])
+        least = merge(labels, near.groupBy(*by, "__t").agg(F.min("__l").alias("__m")), by=[*by, "__t"])
+        least = least.select(*by, "__t", F.least("__l", "__m").alias("__l"))
+        jumped = merge(least, least.select(*by, F.col("__t").alias("__l"), F.col("__l").alias("__far")), by=[*by, "__l"])
+        jumped = jumped.select(*by, "__t", F.col("__far").alias("__l"))
+        moved = merge(labels.withColumnRenamed("__l", "__was"), jumped, by=[*by, "__t"]).where("__l <> __was")
+        if moved.isEmpty():
+            break
+        labels = jumped
+    parts = labels.groupBy(*by).agg(F.count(F.lit(1)).alias("times"), F.count_distinct("__l").alias("parts"))
+    return merge(cells.groupBy(*by).agg(F.count_distinct("__u").alias("units")), parts, by=by)
 
 
 def two_way_fixed_effects(df: DataFrame, y: str, xs, unit: str, time: str, by) -> DataFrame:
-    """Within estimator with unit and time effects."""
+    """Within estimator with unit and time effects; each connected part of a panel loses units + times - 1 degrees."""
     xs, by = list(xs), _names(by)
-    d = two_way_demean(df, [y, *xs], unit, time, by)
+    d, parts = _two_way(df, [y, *xs], unit, time, by)
     cols = [f"tw_{c}" for c in [y, *xs]]
-    stats = merge(moments(d, cols, by), _levels(d, by, unit, time), by=by)
+    stats = merge(moments(d, cols, by), parts, by=by)
 
     def one(r):
         s = full(r["raw"], len(cols))
         n = int(r["n"])
-        beta, cov, rss, dof, kept = solve(s[1:, 1:], s[1:, 0], s[0, 0], n, int(r["units"] + r["times"] - 1))
+        beta, cov, rss, dof, kept = solve(s[1:, 1:], s[1:, 0], s[0, 0], n, int(r["units"] + r["times"] - r["parts"]))
         r2 = 1 - rss / s[0, 0] if s[0, 0] > 0 else np.nan
         return [_row(xs[j], beta[i], np.sqrt(cov[i, i]), n, dof, r2) for i, j in enumerate(kept)]
 
     return _per_group(stats, by, TERM_SCHEMA, one)
 
 
-def _levels(d, by, unit, time):
-    return d.groupBy(*by).agg(F.count_distinct(unit).alias("units"), F.count_distinct(time).alias("times"))
-
-
 # -- instruments --------------------------------------------------------------------
 
 def two_stage(df: DataFrame, y: str, exog, endog, instruments, by, unit: str, time: str | None = None) -> DataFrame:
@@ -295,9 +394,9 @@ def two_stage(df: DataFrame, y: str, exog, endog, instruments, by, unit: str, ti
         stats = moments(df, cols, by, within=unit).withColumn("lost", F.col("n_units"))
         field = "cross"
     else:
-        d = two_way_demean(df, cols, unit, time, by)
-        stats = merge(moments(d, [f"tw_{c}" for c in cols], by), _levels(d, by, unit, time), by=by)
-        stats = stats.withColumn("lost", F.col("units") + F.col("times") - 1)
+        d, parts = _two_way(df, cols, unit, time, by)
+        stats = merge(moments(d, [f"tw_{c}" for c in cols], by), parts, by=by)
+        stats = stats.withColumn("lost", F.col("units") + F.col("times") - F.col("parts"))
         field = "raw"
 
     def one(r):

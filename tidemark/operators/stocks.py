@@ -134,5 +134,9 @@ def distinct_values(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols).distinct()
 
 
-def stocks_per_area(area_means: DataFrame) -> DataFrame:
-    return area_means.groupBy("StatArea").agg(n_unique("RAM_stockid").alias("num_stocks"))
+def stocks_per_area(area_means: DataFrame, **lists) -> DataFrame:
+    """Per statistical area: its stocks, whether any of them was ever caught there, and for each list of areas
+    whether it names the area and something was caught there."""
+    present = F.max(F.coalesce(F.col("pres2") > 0, F.lit(False)))
+    d = area_means.groupBy("StatArea").agg(n_unique("RAM_stockid").alias("num_stocks"), present.alias("present"))
+    return d.withColumns({name: F.col("StatArea").isin(*areas) & F.col("present") for name, areas in lists.items()})

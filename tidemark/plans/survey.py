@@ -144,6 +144,15 @@ def _(v):
     return area_means(v)
 
 
+@query("j18_surveyed_areas", """
+    SELECT *, "StatArea" IN (3, 8, 13) AND present AS offshore, "StatArea" IN (4, 9, 14) AND present AS far_offshore FROM (
+    SELECT "StatArea", count(DISTINCT "RAM_stockid") AS num_stocks, bool_or(coalesce(pres2 > 0, false)) AS present FROM v_area_means GROUP BY 1)""")
+def _(v):
+    from ..operators.stocks import stocks_per_area
+
+    return stocks_per_area(area_means(v), offshore=(3, 8, 13), far_offshore=(4, 9, 14))
+
+
 @query("j14_swept_area", 'SELECT "StatArea", "RAM_stockid", spp, year, swept_bio_mt, total_swept_bio_mt, frac_swept_bio FROM v_swept',
        fl="swept_bio_mt total_swept_bio_mt frac_swept_bio")
 def _(v):
@@ -232,8 +241,9 @@ def _(v):
     from ..operators.describe import profile
 
     shown = (F.col("spp") == "Small marina") & F.col("year").isin(1999, 2000)
-    every = v.bio_panel().where(F.col("spp") == "Small marina").select("lat_bin").distinct()
-    return R.merge(every, profile(v.bio_panel(), shown, "lat_bin", F.avg("land_mt"), "year", [1999, 2000]), by="lat_bin", how="left")
+    panel = v.bio_panel().where(F.col("spp") == "Small marina")
+    every = panel.select("lat_bin").distinct()
+    return R.merge(every, profile(panel, shown, "lat_bin", F.avg("land_mt"), "year", [1999, 2000]), by="lat_bin", how="left")
 
 
 @query("j51_species_lookup", """

@@ -78,9 +78,13 @@ def _(v):
     return v.hauls().select(*keep)
 
 
-@query("b3_project_existing", 'SELECT stockid, year, "TB", "SSB", "F", "ER" FROM v_assess')
+# The columns kept of the assessment series, where they exist.
+SERIES = ["stockid", "year", "UdivUmsypref", "FdivFmsy", "ERdivERmsy", "F", "ER", "CdivMSY", "CPUE", "EFFORT", "TBbest", "TB", "SSB", "TC"]
+
+
+@query("b3_project_existing", 'SELECT stockid, year, "UdivUmsypref", "TB", "SSB", "F", "ER" FROM v_assess')
 def _(v):
-    return R.pick(v.assess(), ["stockid", "year", "F", "ER", "CPUE", "EFFORT", "TBbest", "TB", "SSB", "TC"])
+    return R.pick(v.assess(), SERIES)
 
 
 @query("b4_derive", """

@@ -176,15 +176,6 @@ def _(v):
     return v.hauls().select("haulid", "year", "lat").orderBy("lat", "haulid").limit(6)
 
 
-@query("j18_surveyed_areas", """
-    SELECT m."StatArea", count(DISTINCT m."RAM_stockid") AS num_stocks, m."StatArea" IN (3, 8, 13) AS offshore FROM v_stock_map m GROUP BY 1""")
-def _(v):
-    from ..operators.stocks import stocks_per_area
-
-    d = stocks_per_area(v.stock_map())
-    return d.withColumn("offshore", F.col("StatArea").isin(3, 8, 13))
-
-
 @query("k25_autocorrelation", """
     SELECT spp, corr(land_mt, l) AS r, count(*) FILTER (l IS NOT NULL) AS n FROM (SELECT spp, land_mt, lag(land_mt) OVER (PARTITION BY spp, lat_bin ORDER BY year) AS l FROM v_bio_panel) GROUP BY 1""", fl="r")
 def _(v):

@@ -33,7 +33,7 @@ def test_rows(spark):
     r.shuffle(rows)
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {x.conv_id: x for x in chat.digests(df).collect()}
-    assert set(got) == set(want)
+    assert set(got) == set(want) and {x.conv_id: x for x in chat.digests(df, lookback=0).collect()} == got
     for c, turns in want.items():
         x, loss = got[c], "".join(t for role, t in turns if role == "assistant")
         assert (x.n_turns, x.turns_sha256) == (len(turns), digest("".join(f"{a}\n{b}\n" for a, b in turns)))
@@ -50,17 +50,24 @@ def test_rows(spark):
 
 
 def test_templates_that_look_back():
-    def spans(template, n):
-        return [s for _, s in chat.spans(template, iter([("user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(n)]))]
+    def spans(template, n, lookback=None):
+        return [s for _, s in chat.spans(template, iter([("user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(n)]), lookback)]
 
+    whole = lambda template, n: template([("", f"t{i}") for i in range(n)])
     strips = lambda turns: "".join(t for _, t in turns[:-1]).replace("t0", "") + "|" + turns[-1][1]
     assert spans(strips, 4)[0] == "|t0" and None in spans(strips, 4)
     numbered = lambda turns: "".join(f"{i}:{t};" for i, (_, t) in enumerate(turns))
-    assert None not in spans(numbered, 32) and spans(numbered, 40)[32:] == [None] * 8  # a block cannot know the number
+    assert "".join(spans(numbered, 100)) == whole(numbered, 100)  # without a declaration any length is rendered whole
+    assert spans(numbered, 100, 1)[chat.BLOCK + 2:] == [None] * (98 - chat.BLOCK)  # a wrong one is found out
+    forgets = lambda turns: "".join(t for _, t in turns[-60:])
+    assert None not in spans(forgets, 60) and spans(forgets, 70)[60:] == [None] * 10
     pairs = lambda turns: "".join(f"({turns[i - 1][1] if i else ''}){t}" for i, (_, t) in enumerate(turns))
-    assert "".join(spans(pairs, 100)) == pairs([("", f"t{i}") for i in range(100)])
+    back = lambda turns: "".join(f"({turns[i - 3][1] if i > 2 else ''}){t}" for i, (_, t) in enumerate(turns))
     starts = lambda turns: "BOS" + "".join(t for _, t in turns)
-    assert "".join(spans(starts, 100)) == starts([("", f"t{i}") for i in range(100)])
+    for template, lookback in [(pairs, 1), (back, 3), (starts, 0), (chat.plain_template, 0)]:
+        want = "".join(spans(template, 150))
+        assert "".join(spans(template, 150, lookback)) == want
+        assert template is chat.plain_template or want == whole(template, 150)
 
 
 def test_odd_rows(spark):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
 
-BLOCK = 32  # turns rendered together; see ``spans``
+BLOCK = 32  # turns rendered together for a template that declares how far it looks back; see ``spans``
 # Strings that models take for marks of turns.
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>"]
 _FIND = re.compile("|".join(["\\\\", *map(re.escape, CONTROL)]))
@@ -56,27 +56,31 @@ def read_back(formatted: str) -> Turn:
     return _ROLE_BACK.sub(lambda m: "\n" if m[1] == "n" else m[1], role), unescape(text)
 
 
-def spans(template: Template, turns: Iterator[Turn]) -> Iterator[tuple[Turn, str | None]]:
+def spans(template: Template, turns: Iterator[Turn], lookback: int | None = None) -> Iterator[tuple[Turn, str | None]]:
     """Each turn and the text it adds to the output, or None from where the template rewrites history.
 
-    All prefixes of up to ``BLOCK`` turns are rendered whole.  A longer
-    conversation goes on in blocks that begin with the two last turns of the
-    block before: the second of them must add the same text as it did there,
-    else the template looks back further than a block and the rest is None.
-    So the work grows with the number of turns, not with its square.
+    Without ``lookback`` every prefix is rendered whole, whatever its length, so
+    numbering, first turns and late rewrites are seen; the work grows with the
+    square of the turns and the conversation is held in memory.
+
+    ``lookback`` declares that what a turn adds depends on that many turns before
+    it and nothing else.  Then conversations go on in blocks that begin with the
+    last turns of the block before; the last of them must add the same text as
+    it did there, else the declaration is wrong and the rest is None.  The work
+    grows with the turns and a block is held.
     """
+    kept = None if lookback is None else max(lookback, 1) + 1
     block: list[Turn] = []
-    before, told = "", 0  # output for the block so far; its turns already told
+    before = ""  # output for the block so far
     known: str | None = None
     broken = False
     for turn in turns:
         if broken:
             yield turn, None
             continue
-        if len(block) == BLOCK:
-            block = block[-2:]
-            first, before = template(block[:1]), template(block)
-            told = 2
+        if kept is not None and len(block) == BLOCK + kept:
+            block = block[-kept:]
+            first, before = template(block[:-1]), template(block)
             if not before.startswith(first) or before[len(first):] != known:
                 broken = True
                 yield turn, None
@@ -87,7 +91,7 @@ def spans(template: Template, turns: Iterator[Turn]) -> Iterator[tuple[Turn, str
             broken = True
             yield turn, None
             continue
-        known, before, told = after[len(before):], after, told + 1
+        known, before = after[len(before):], after
         yield turn, known
 
 
@@ -137,13 +141,13 @@ def _conversations(batches) -> Iterator[tuple[int | None, Iterator[Turn]]]:
             pass
 
 
-def _digests(batches, template, trained, parse):
+def _digests(batches, template, trained, parse, lookback):
     out = []
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),
                         ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("rewrites_history", pa.bool_())])
     for key, turns in _conversations(batches):
         d = _Digest(key)
-        for turn, span in spans(template, turns):
+        for turn, span in spans(template, turns, lookback):
             d.add(turn, span, trained, parse)
         out.append(d.row())
         if len(out) == 4096:
@@ -152,14 +156,14 @@ def _digests(batches, template, trained, parse):
     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema)
 
 
-def _formatted(batches, template, trained, parse):
+def _formatted(batches, template, trained, lookback):
     """One row per turn: its span, where it begins in the output, and whether it is trained on."""
     schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("begin", pa.int64()), ("span", pa.string()),
                         ("loss_begin", pa.int64()), ("loss_end", pa.int64())])
     out = []
     for key, turns in _conversations(batches):
         begin = 0
-        for i, ((role, text), span) in enumerate(spans(template, turns)):
+        for i, ((role, text), span) in enumerate(spans(template, turns, lookback)):
             inside = (None, None)
             if span is not None and role in trained:
                 at = span.rfind(escape(text)) if text else -1
@@ -178,7 +182,8 @@ def _in_order(turns: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
 
-def formatted(turns: DataFrame, template: Template = plain_template, trained: Sequence[str] = ("assistant",)) -> DataFrame:
+def formatted(turns: DataFrame, template: Template = plain_template, trained: Sequence[str] = ("assistant",),
+              lookback: int | None = None) -> DataFrame:
     """One row per turn of ``turns`` (conv_id, turn, role, text): where it stands in the formatted conversation.
 
     Columns: conv_id, turn (0, 1, ... in order), begin (character of the output),
@@ -186,22 +191,24 @@ def formatted(turns: DataFrame, template: Template = plain_template, trained: Se
     history), loss_begin and loss_end (the characters of a trained turn's text).
     The formatted conversation is its spans in order.  Rules as in ``digests``.
     """
-    return _in_order(turns).mapInArrow(partial(_formatted, template=template, trained=tuple(trained), parse=read_back),
+    return _in_order(turns).mapInArrow(partial(_formatted, template=template, trained=tuple(trained), lookback=lookback),
                                        "conv_id long, turn long, begin long, span string, loss_begin long, loss_end long")
 
 
 def digests(turns: DataFrame, template: Template = plain_template, parse: Callable[[str], Turn] = read_back,
-            trained: Sequence[str] = ("assistant",)) -> DataFrame:
+            trained: Sequence[str] = ("assistant",), lookback: int | None = None) -> DataFrame:
     """One row per conversation of ``turns``, read back from the template's output.
 
     Columns: conv_id, n_turns, turns_sha256 (of role, newline, text, newline of
     each turn), loss_chars and loss_sha256 (of the texts of ``trained`` roles),
     formatted_chars and rewrites_history.  Each task reads its conversations
-    turn by turn and holds ``BLOCK`` turns, so one conversation may be long.
+    turn by turn.  ``lookback`` is what the template declares (see ``spans``; 0
+    for ``plain_template``): with it a task holds a block of turns and one
+    conversation may be long, without it whole prefixes are rendered.
 
     Null roles and texts are empty; rows of a null conv_id are one conversation.
     Turns go by number (null first), equal ones by role and text, and repeated
     rows are turns of their own.  An empty table gives an empty table; further
     columns are ignored.
     """
-    return _in_order(turns).mapInArrow(partial(_digests, template=template, trained=tuple(trained), parse=parse), DIGEST)
+    return _in_order(turns).mapInArrow(partial(_digests, template=template, trained=tuple(trained), parse=parse, lookback=lookback), DIGEST)

@@ -84,6 +84,16 @@ def test_odd_rows(spark):
     assert neardup.near_duplicate_ids(df.limit(0)).count() == 0
 
 
+def test_different_texts_of_one_document(spark):
+    one, two, three = "a b c d e f", "k l m n o p", "q r s t u v"
+    rows = [(3, one), (7, one), (7, two), (8, two), (9, three), (9, "x y z x y z"), (9, ""), (12, three), (20, ""), (20, one), (21, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicate_ids(df).collect()}
+    assert got == {(3, 3, True), (7, 3, False), (8, 3, False), (9, 9, True), (12, 9, False), (20, 3, False), (21, 21, True)}
+    kept = sorted((r.doc_id, r.text or "") for r in neardup.drop_near_duplicates(df).collect())
+    assert kept == sorted([(3, one), (9, three), (9, "x y z x y z"), (9, ""), (21, "")])
+
+
 @pytest.mark.parametrize("small", [0, 1000])
 def test_components(spark, monkeypatch, small):
     monkeypatch.setattr(graph, "SMALL", small)

@@ -103,6 +103,19 @@ def _open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
     return cut(named.join(mixed, "band"))
 
 
+def _with_class(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``signed`` with each row's class as ``node``; a row with an empty set is its document's own."""
+    found = signed.join(classes.select("key1", "key2", "node"), ["key1", "key2"], "left")
+    return found.withColumn("node", F.coalesce("node", "doc"))
+
+
+def _same_document(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of one document, where rows with different texts repeat its doc_id."""
+    texts = signed.groupBy("doc").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo < hi").select("doc")
+    rows = _with_class(signed.join(texts, "doc", "left_semi"), classes)
+    return rows.where("node <> doc").select(F.col("node").alias("a"), F.col("doc").alias("b")).distinct()
+
+
 def grouped(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row of ``docs``: doc (key), tag, n_shingles, component (least key of its group)."""
     keyed = docs.select(key_column(docs).alias("doc"), F.xxhash64("text").alias("tag"), "text")
@@ -119,7 +132,7 @@ def grouped(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100),
     sizes = members.select(F.col("node").alias("center"), F.col("n").alias("n_center")).distinct()
     pairs = members.where("node <> center").select("center", "node", "n").distinct().join(sizes, "center")
     pairs = pairs.where(_alike_in_size(F.col("n"), F.col("n_center"), share)).select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(_confirmed(pairs, sets, share))
+    links = cut(_confirmed(pairs, sets, share).unionByName(_same_document(signed, classes)))
     groups = components(links)
 
     left = _open_members(members, groups)
@@ -136,8 +149,8 @@ def grouped(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100),
         pairs = _prefix_pairs(left.select("node", "component").distinct(), sets, share)
         groups = components(links.unionByName(_confirmed(pairs, sets, share)))
 
-    named = signed.join(classes.select("key1", "key2", "node"), ["key1", "key2"], "left").join(groups, "node", "left")
-    return named.select("doc", "tag", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc").alias("component"))
+    named = _with_class(signed, classes).join(groups, "node", "left")
+    return named.select("doc", "tag", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
 
 
 def _named(found: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """URL rules and aliases."""
 
+import pytest
+
 from tidemark.llm import urls
 
 
@@ -36,9 +38,11 @@ def test_aliases(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "block", 9: "block", 10: "block", 11: "allow"}
 
 
-def test_same_as_sql(spark):
+@pytest.mark.parametrize("hosts", [-1, urls.HOSTS])
+def test_same_as_sql(spark, monkeypatch, hosts):
     import duckdb
 
+    monkeypatch.setattr(urls, "HOSTS", hosts)
     rows = [(i, f"http://h{i}.com/{i}", page(f"http://h{i + 1}.com/{i + 1}") if i % 10 else page("http://x.net/")) for i in range(60)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     con = duckdb.connect()

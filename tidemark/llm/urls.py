@@ -21,6 +21,8 @@ from .frames import carried, quoted
 from .graph import components
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+HOSTS = 100_000  # hosts with a rule up to which their lists are broadcast (some tens of MB)
+SALT = 32
 _ATTRIBUTE = r"""(?i)\b{}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
@@ -86,15 +88,22 @@ def with_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``urls`` (host, path and others) with the longest fitting rule as ``found`` (rule, verdict), null without one.
 
     Each distinct host meets the rules of itself and of its parents once; pages
-    only meet their host's short list.
+    only meet their host's short list.  Hosts with a rule are counted: up to
+    ``HOSTS`` they are broadcast, beyond they are copied to ``SALT`` parts of
+    each host, dealt by path, so that no host's pages meet in one task.
     """
     hosts = urls.select("host").where("host <> ''").distinct()
     labels = F.split("host", r"\.")
     ends = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("rule_host"))
     lists = ends.join(rules, "rule_host").groupBy("host").agg(F.collect_list(F.struct(
         F.length("rule").alias("size"), "rule", "verdict", "rule_path")).alias("rules"))
+    lists = cut(lists)
     fitting = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["rule_path"])))
-    return urls.join(lists, "host", "left").withColumn("found", fitting).drop("rules")
+    if lists.count() <= HOSTS:
+        return urls.join(F.broadcast(lists), "host", "left").withColumn("found", fitting).drop("rules")
+    dealt = urls.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALT)))
+    copies = lists.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return dealt.join(copies, ["host", "salt"], "left").withColumn("found", fitting).drop("rules", "salt")
 
 
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES) -> DataFrame:

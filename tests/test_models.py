@@ -234,7 +234,7 @@ def test_random_intercept(table, panel):
 
 
 def test_crossed_intercepts(table, panel):
-    got = X.random_intercepts(table, "y", ["x1"], "m", "u", "t", list(range(9))).where("m = 'b'").toPandas().set_index("term")
+    got = X.random_intercepts(table, "y", ["x1"], "m", "u", "t").where("m = 'b'").toPandas().set_index("term")
     p = panel[panel.m == "b"].dropna()
     y, x, zs = p.y.to_numpy(), np.column_stack([np.ones(len(p)), p.x1]), [dummies(p.u), dummies(p.t)]
     s2 = got.loc["residual", "est"]
@@ -244,6 +244,53 @@ def test_crossed_intercepts(table, panel):
     assert crit < min(around) + 1e-3 and np.allclose(got.loc[["(Intercept)", "x1"], "est"].astype(float), b) and np.isclose(s, s2)
 
 
+@pytest.mark.parametrize("direct", [40, 10])
+def test_crossed_levels_from_the_data(spark, direct):
+    # 30 x 12 levels, cells of different sizes; with room for 10 nothing can be dense, with 40 the areas are
+    rnd = np.random.default_rng(11)
+    ue, te = rnd.normal(0, 1.5, 30), rnd.normal(0, 0.8, 12)
+    rec = [(u, f"area {t}", float(x), 5 + 0.7 * x + ue[u] + te[t] + rnd.normal(0, 0.6))
+           for u in range(30) for t in range(12) for x in rnd.normal(100, 2, rnd.integers(0, 4))]
+    d = spark.createDataFrame([("m", *r[:3], float(r[3])) for r in rec], "m string, u int, area string, x double, y double").repartition(4)
+    if direct == 10:
+        with pytest.raises(ValueError, match="more than 10 levels"):
+            X.random_intercepts(d, "y", ["x"], "m", "u", "area", direct=direct)
+        return
+    got = X.random_intercepts(d, "y", ["x"], "m", "u", "area").toPandas()
+    swapped = X.random_intercepts(d, "y", ["x"], "m", "area", "u", direct=12).toPandas()  # u has too many, so areas are dense
+    pdf = pd.DataFrame(rec, columns=["u", "area", "x", "y"])
+    y, x, zs = pdf.y.to_numpy(), np.column_stack([np.ones(len(pdf)), pdf.x]), [dummies(pdf.u), dummies(pdf.area)]
+    for g in (got, swapped):
+        fixed, var = g[g.kind == "fixed"].set_index("term"), g[g.kind == "variance"].set_index("term").est
+        r = [var["u"] / var["residual"], var["area"] / var["residual"]]
+        crit, b, s2, cov = dense_reml(y, x, zs, r)
+        assert np.allclose(fixed.est, b) and np.allclose(fixed.se, np.sqrt(np.diag(cov))) and np.isclose(var["residual"], s2)
+        assert crit < min(dense_reml(y, x, zs, [r[0] * i, r[1] * j])[0] for i in (0.98, 1, 1.02) for j in (0.98, 1, 1.02)) + 1e-5
+        effect = g[g.kind == "effect"].set_index("term").est
+        v = np.eye(len(y)) + sum(q * z @ z.T for q, z in zip(r, zs))
+        want = r[1] * zs[1].T @ np.linalg.solve(v, y - x @ b)
+        assert len(effect) == 12 and np.allclose(effect[sorted(set(pdf.area))], want)
+    assert np.allclose(got[got.kind == "fixed"].dof, swapped[swapped.kind == "fixed"].dof, rtol=0.01)
+
+
+def test_degrees_of_freedom_of_balanced_designs(spark):
+    # known exactly: groups - 1 for the mean, n - groups - 1 for a regressor that is the same within each group
+    rnd = np.random.default_rng(12)
+    rec = [(m, g, float(x), float(e + 2 * x + rnd.normal(0, 1))) for m in ("a", "b") for g in range(15) for e in [rnd.normal(0, 3 if m == "a" else 2)] for x in (-1, 0, 1, 2, -2)]
+    rec += [("short", 1, 1.0, 2.0), ("short", 2, 1.0, 3.0), ("flat", 1, 1.0, 2.0), ("flat", 1, 1.0, 4.0), ("flat", 2, 1.0, 3.0), ("none", None, 1.0, 2.0)]
+    d = spark.createDataFrame(rec, "m string, g int, x double, y double")
+    got = X.random_intercepts(d, "y", ["x"], "m", "g").toPandas().set_index(["m", "term"])
+    for m in ("a", "b"):
+        assert np.isclose(got.loc[(m, "(Intercept)"), "dof"], 14, rtol=0.01) and np.isclose(got.loc[(m, "x"), "dof"], 75 - 15 - 1, rtol=0.01)
+        p = [r for r in rec if r[0] == m]
+        y, g = np.array([r[3] for r in p]), np.array([r[1] for r in p])
+        means = np.array([y[g == i].mean() for i in range(15)])
+        assert np.isclose(got.loc[(m, "(Intercept)"), "se"], means.std(ddof=1) / 15**0.5, rtol=1e-3)
+    assert got.loc[["short", "flat"]].est.isna().all() and "none" not in got.index
+    twice = d.withColumn("z", 3 * d.x)
+    assert X.random_intercepts(twice, "y", ["x", "z"], "m", "g").toPandas().est.isna().all()
+
+
 def test_additive_finds_the_curve(spark):
     rnd = np.random.default_rng(3)
     x, z = rnd.uniform(0, 1, 600), rnd.uniform(0, 1, 600)

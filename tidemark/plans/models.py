@@ -12,7 +12,7 @@ from ..operators import relational as R
 from ..operators import smooth as A
 from ..session import cut
 from .registry import VIEWS, query
-from .shift import around, bias_and_intensity
+from .shift import around, bias_and_intensity, edge_and_intensity
 from .survey import growth
 
 UNIT = ["spp", "lat_bin"]
@@ -281,8 +281,7 @@ def _(v):
 @query("k19_mixed_crossed")
 def _(v):
     d = bias_and_intensity(v).withColumn("model", F.lit("bias"))
-    areas = ["US East Coast", "EBS", "US West Coast", "SEUS", "Canada East Coast"]
-    return X.random_intercepts(d, "annual_bias", ["UdivUmsypref"], "model", "spp", "subarea", areas)
+    return X.random_intercepts(d, "annual_bias", ["UdivUmsypref"], "model", "spp", "subarea")
 
 
 @query("k19_mixed_edge")
@@ -291,6 +290,12 @@ def _(v):
     return X.random_intercepts(d, "annual_bias", ["log_landedge"], "model", "spp")
 
 
+@query("k19_mixed_edge_intensity")
+def _(v):
+    d = edge_and_intensity(v).withColumn("model", F.lit("edge and intensity"))
+    return X.random_intercepts(d, "annual_bias", ["UdivUmsypref", "log_landedge"], "model", "spp")
+
+
 @query("k19_mixed_events")
 def _(v):
     return X.random_intercepts(v.panel(), "y", ["x", "clicks"], "grp", "user_id")

@@ -202,9 +202,12 @@ def bias_and_intensity(v):
 @query("j42_edge_and_intensity", """
     SELECT s.spp, s.year, u.stockid, s."log_landNS" * s.sign_pred AS log_landedge, u."UdivUmsypref" FROM v_around s JOIN v_frac u ON s.spp = u.scientificname AND s.year = u.year""", fl="log_landedge")
 def _(v):
+    return edge_and_intensity(v).select("spp", "year", "stockid", "log_landedge", "UdivUmsypref")
+
+
+def edge_and_intensity(v):
     u = stock_series(v).select("scientificname", "year", "stockid", "UdivUmsypref")
-    d = R.merge(around(v), u, by_x=["spp", "year"], by_y=["scientificname", "year"])
-    return d.select("spp", "year", "stockid", "log_landedge", "UdivUmsypref")
+    return R.merge(around(v), u, by_x=["spp", "year"], by_y=["scientificname", "year"])
 
 
 @query("f9_lead_centroid", """

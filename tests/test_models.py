@@ -1,12 +1,15 @@
 """Model operators against dense numpy computations."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 
-from tidemark.functions import tails
+from tidemark.functions import gamma, tails
 from tidemark.operators import mixed as X
 from tidemark.operators import regress as G
+from tidemark.operators import shares as B
 from tidemark.operators import smooth as A
 
 
@@ -357,3 +360,126 @@ def pd_lit():
     from pyspark.sql import functions as F
 
     return F.sin(F.col("x") * 3)
+
+
+def test_gamma_and_derivatives():
+    x = np.geomspace(1e-6, 1e6, 200)
+    assert np.allclose(gamma.lgamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)
+    h = 1e-4 * x
+    assert np.allclose(gamma.digamma(x), (gamma.lgamma(x + h) - gamma.lgamma(x - h)) / (2 * h), rtol=1e-6, atol=1e-6)
+    assert np.allclose(gamma.trigamma(x), (gamma.digamma(x + h) - gamma.digamma(x - h)) / (2 * h), rtol=1e-6, atol=1e-6)
+    assert abs(gamma.digamma(1.0) + 0.5772156649015329) < 1e-13 and abs(gamma.trigamma(1.0) - math.pi**2 / 6) < 1e-13
+
+
+def likelihood(x, y, v):
+    phi = math.exp(v[-1])
+    mu = 1 / (1 + np.exp(-(x @ v[:-1])))
+    lg = np.vectorize(math.lgamma)
+    return (math.lgamma(phi) - lg(mu * phi) - lg((1 - mu) * phi) + (mu * phi - 1) * np.log(y) + ((1 - mu) * phi - 1) * np.log(1 - y)).sum()
+
+
+def climbed(f, v):
+    """Newton's steps with numeric derivatives to the maximum of ``f``; also the Hessian there."""
+    d, h = np.eye(len(v)), 1e-3
+    for _ in range(40):
+        g = np.array([(f(v + h * e) - f(v - h * e)) / (2 * h) for e in d])
+        hess = np.array([[(f(v + h * (a + b)) - f(v + h * (a - b)) - f(v - h * (a - b)) + f(v - h * (a + b))) / (4 * h * h) for b in d] for a in d])
+        step = np.linalg.solve(hess, g)
+        v = v - step / max(1.0, np.abs(step).max())
+        if np.abs(step).max() < 1e-9:
+            break
+    return v, hess
+
+
+def test_beta_regression_is_the_dense_maximum(spark):
+    rnd = np.random.default_rng(12)
+    rec, dense = [], {}
+    for g, phi in (("loose", 0.7), ("middle", 5.0), ("tight", 200.0)):
+        x, z = rnd.normal(size=300), rnd.normal(size=300)
+        mu = 1 / (1 + np.exp(-(0.3 + 0.8 * x - 0.4 * z)))
+        y = np.clip(rnd.beta(mu * phi, (1 - mu) * phi), 1e-5, 1 - 1e-5)
+        design = np.column_stack([np.ones(300), x, z])
+        dense[g] = climbed(lambda v: likelihood(design, y, v), np.array([0.3, 0.8, -0.4, math.log(phi)]))[0], design, y
+        rec += [(g, *map(float, r)) for r in zip(y, x, z)]
+    rec += [("few", 0.5, 1.0, 2.0), ("few", 0.4, 2.0, 1.0), ("few", None, 2.0, 1.0)]
+    d = spark.createDataFrame(rec, "g string, y double, x double, z double").repartition(7)
+    got = B.additive_beta(d, "y", [], "g", ["x", "z"]).toPandas().set_index(["g", "var"])
+    for g, (v, design, y) in dense.items():
+        r = got.loc[g]
+        assert r.settled.all() and (r.gap < 1e-8).all()
+        assert np.allclose(r.loc[["x", "z"], "est"].astype(float), v[1:3], rtol=1e-4, atol=1e-4)
+        assert np.allclose(r.phi, math.exp(v[3]), rtol=1e-4) and np.allclose(r.loglik, likelihood(design, y, v), atol=1e-4)
+    few = got.loc["few"]
+    assert few.est.isna().all() and few.n.eq(2).all() and few.settled.isna().all()
+
+
+def test_beta_smooths(spark):
+    """The curve, the precision and the maximum of the penalised likelihood; shares of 0 and 1 are moved inside."""
+    rnd = np.random.default_rng(13)
+    x, z = rnd.uniform(0, 1, 900), rnd.uniform(0, 1, 900)
+    mu = 1 / (1 + np.exp(-2 * np.sin(6 * x)))
+    y = rnd.beta(20 * mu, 20 * (1 - mu))
+    rec = [("a", *map(float, r)) for r in zip(y, x, z)] + [("b", float(rnd.integers(0, 2)), float(v), float(w)) for v, w in zip(x, z)]
+    d = spark.createDataFrame(rec, "g string, y double, x double, z double").repartition(5)
+    got = B.additive_beta(d, "y", ["x", "z"], "g").toPandas().set_index(["g", "var"])
+    assert got.settled.all()
+    a = got.loc["a"]
+    assert a.loc["s(x)", "edf"] > 4 and a.loc["s(x)", "pval"] < 1e-10 and a.loc["s(z)", "pval"] > 1e-3 and a.loc["s(z)", "edf"] < 3
+    assert abs(a.phi.iloc[0] / 20 - 1) < 0.15
+    # ends only, far from each other: as imprecise as shares can be
+    assert got.loc["b"].phi.iloc[0] < 0.5
+
+
+def test_beta_steps_end_at_the_penalised_maximum():
+    rnd = np.random.default_rng(14)
+    x = rnd.uniform(0, 1, 400)
+    mu = 1 / (1 + np.exp(-np.cos(5 * x)))
+    y = np.clip(rnd.beta(3 * mu, 3 * (1 - mu)), 1e-5, 1 - 1e-5)
+    z = np.column_stack([np.ones(400), A.basis(x, np.full(400, x.min()), np.full(400, x.max()))])
+    r = dict.fromkeys(B.STATE) | {"n": 400.0, "go": [0.0] * 11 + [0.0], "chosen": False, "halved": 0, "passes": 0, "done": False}
+    while not r["done"]:
+        r = B._advance(r | {"found": B.scores(z, y, np.asarray(r["go"]))}, ["x"], [], 1e-12, 12)
+    assert r["passes"] < 40
+
+    def penalised(v):
+        return likelihood(z, y, v) - 0.5 * r["lam"][0] * r["norm"][0] * (np.diff(v[1:11], n=2) ** 2).sum()
+
+    at, top = np.asarray(r["at"]), penalised(np.asarray(r["at"]))
+    for _ in range(50):
+        assert penalised(at + rnd.normal(0, 1e-3, len(at))) <= top + 1e-9
+    slope = [(penalised(at + 1e-4 * e) - penalised(at - 1e-4 * e)) / 2e-4 for e in np.eye(len(at))]
+    assert np.abs(slope).max() < 1e-3
+
+
+def test_absorbed_dummies_are_the_dense_dummies(spark):
+    rnd = np.random.default_rng(15)
+    u = np.concatenate([rnd.integers(0, 25, 400), [25]])
+    x, z, w = rnd.uniform(0, 1, 401) + u / 10, rnd.uniform(0, 1, 401), 50 + rnd.normal(size=401)
+    y = 1000 + np.sin(4 * x) + 0.3 * w + rnd.normal(0, 2, 26)[u] + rnd.normal(0, 0.3, 401)
+    rec = [("m", int(a), *map(float, r)) for a, *r in zip(u, y, x, z, w)] + [("small", 1, 1.0, 2.0, 3.0, 4.0), (None, 1, 1.0, None, 3.0, 4.0)]
+    d = spark.createDataFrame(rec, "g string, u int, y double, x double, z double, w double").repartition(6)
+    got = A.additive_absorbed(d, "y", ["x", "z"], "g", "u", ["w"]).toPandas().set_index(["g", "var"])
+    assert got.loc["small"].edf.isna().all() and len(got) == 6
+    got = got.loc["m"]
+    dum = dummies(u)
+    out = dum @ np.linalg.solve(dum.T @ dum, dum.T)
+    cols, pens = [dum, w[:, None]], [np.zeros((26, 26)), np.zeros((1, 1))]
+    for s, v in (("x", x), ("z", z)):
+        b = A.basis(v, np.full(401, v.min()), np.full(401, v.max()))
+        q = np.linalg.qr(np.column_stack([b.sum(0), np.eye(10)[:, :9]]))[0][:, 1:]
+        c, d2 = b @ q, np.diff(np.eye(10), n=2, axis=0) @ q
+        p = d2.T @ d2
+        cols.append(c)
+        pens.append(10 ** got.loc[f"s({s})", "log10_lambda"] * p * np.trace(c.T @ (c - out @ c)) / np.trace(p))
+    big, pen = np.hstack(cols), np.zeros((45, 45))
+    at = 0
+    for p in pens:
+        pen[at : at + len(p), at : at + len(p)] = p
+        at += len(p)
+    inv = np.linalg.inv(big.T @ big + pen)
+    beta, edf = inv @ big.T @ y, np.diag(inv @ big.T @ big)
+    rss, dof = ((y - big @ beta) ** 2).sum(), 401 - edf.sum()
+    assert np.allclose(got["scale"], rss / dof, rtol=1e-5) and np.allclose(got["gcv"], 401 * rss / dof**2, rtol=1e-5)
+    assert np.allclose(got.loc[["s(x)", "s(z)"], "edf"], [edf[27:36].sum(), edf[36:].sum()], rtol=1e-4)
+    assert np.isclose(got.loc["w", "chi"], beta[26] ** 2 / (inv[26, 26] * rss / dof), rtol=1e-4)
+    assert got.loc["s(x)", "edf"] > 2 and (got.n == 401).all()

@@ -44,13 +44,13 @@ def design(pdf: pd.DataFrame, smooths, linear) -> np.ndarray:
     return np.hstack(cols)
 
 
-def with_ranges(df: DataFrame, y: str, smooths, linear, by) -> DataFrame:
-    """Complete rows with the group's range of each smooth variable."""
-    by = _names(by)
-    d = df.dropna(subset=[y, *smooths, *linear, *by])
-    d = d.select(*by, *dict.fromkeys([y, *smooths, *linear]))
+def with_ranges(df: DataFrame, y: str, smooths, linear, by, carry=()) -> DataFrame:
+    """Complete rows with the group's range of each smooth variable; ``carry`` names further columns to keep."""
+    by, carry = _names(by), _names(carry)
+    d = df.dropna(subset=[y, *smooths, *linear, *by, *carry])
+    d = d.select(*by, *dict.fromkeys([*carry, y, *smooths, *linear]))
     aggs = [f(c).cast("double").alias(f"__{n}_{c}") for c in smooths for n, f in (("lo", F.min), ("hi", F.max))]
-    return merge(d, d.groupBy(*by).agg(*aggs), by=by)
+    return merge(d, d.groupBy(*by).agg(*aggs), by=by) if aggs else d
 
 
 def blocks(rows: DataFrame, y: str, smooths, linear, by, weigh: bool = False) -> DataFrame:
@@ -105,39 +105,54 @@ def blocks(rows: DataFrame, y: str, smooths, linear, by, weigh: bool = False) ->
 
 
 class Fit:
-    """Penalised fit on summed cross products."""
+    """Penalised fit on summed cross products.
+
+    ``lam`` fixes the penalty weights and ``norm`` what they are multiples of
+    (by default the data's own size); ``start`` only begins their search.
+    ``centre`` are the columns' sums if not the first row, ``lost`` the degrees
+    of freedom spent outside the columns.  With ``known`` the residual variance
+    is 1 and the restricted criterion chooses the weights, else generalised
+    cross validation.
+    """
 
-    def __init__(self, m: np.ndarray, n: float, smooths, linear, lam=None):
+    def __init__(self, m: np.ndarray, n: float, smooths, linear, lam=None, norm=None, start=None, centre=None, lost=0, known=False):
         k = len(m) - 1
-        g, self.n = m[:k, :k], n
+        g, self.n, self.lost, self.known = m[:k, :k], n, lost, known
+        centre = g[0] if centre is None else centre
         head = 1 + len(linear)
         # each smooth is centred: its coefficients are kept orthogonal to its column sums
         t = np.zeros((k, k - len(smooths)))
         t[:head, :head] = np.eye(head)
-        self.blocks, self.pen = {}, {}
+        self.blocks, self.pen, self.norm, self.spread = {}, {}, {}, {}
         d2 = np.diff(np.eye(BASIS), n=2, axis=0)
         for i, s in enumerate(smooths):
             r0, c0 = head + i * BASIS, head + i * (BASIS - 1)
-            sums = g[0, r0 : r0 + BASIS]
+            sums = centre[r0 : r0 + BASIS]
             q = np.linalg.qr(np.column_stack([sums, np.eye(BASIS)[:, : BASIS - 1]]))[0][:, 1:]
             t[r0 : r0 + BASIS, c0 : c0 + BASIS - 1] = q
             self.blocks[s] = slice(c0, c0 + BASIS - 1)
             p = q.T @ d2.T @ d2 @ q
             inner = q.T @ g[r0 : r0 + BASIS, r0 : r0 + BASIS] @ q
-            self.pen[s] = p * (np.trace(inner) / max(np.trace(p), 1e-300))
+            self.norm[s] = norm[s] if norm else np.trace(inner) / max(np.trace(p), 1e-300)
+            self.pen[s] = p * self.norm[s]
+            ev = np.linalg.eigvalsh(self.pen[s])
+            self.spread[s] = ev[ev > 1e-10 * ev.max()]
         self.t, self.g, self.xy, self.yy = t, t.T @ g @ t, t.T @ m[:k, k], m[k, k]
         self.linear = {c: 1 + i for i, c in enumerate(linear)}
         self.smooths = list(smooths)
-        self.choose(given=lam)
+        self.choose(given=lam, start=start)
 
-    def _solve(self, lam):
+    def penalised(self, lam):
         a = self.g.copy()
         for s, v in lam.items():
             b = self.blocks[s]
             a[b, b] += v * self.pen[s]
         # a whisper of ridge keeps empty basis cells solvable
         a[np.diag_indices_from(a)] += 1e-9 * (np.trace(self.g) / len(a))
-        inv = np.linalg.inv(a)
+        return a
+
+    def _solve(self, lam):
+        inv = np.linalg.inv(self.penalised(lam))
         beta = inv @ self.xy
         edf = np.einsum("ij,ji->i", inv, self.g)
         rss = max(self.yy - 2 * beta @ self.xy + beta @ self.g @ beta, 0.0)
@@ -148,24 +163,23 @@ class Fit:
 
         A penalised smooth is a random effect whose precision is its penalty.
         """
-        a, free, logs = self.g.copy(), len(self.g), 0.0
-        for s, v in self.lam.items():
-            b = self.blocks[s]
-            a[b, b] += v * self.pen[s]
-            ev = np.linalg.eigvalsh(v * self.pen[s])
-            ev = ev[ev > 1e-10 * ev.max()]
-            free, logs = free - len(ev), logs + np.log(ev).sum()
-        a[np.diag_indices_from(a)] += 1e-9 * (np.trace(self.g) / len(a))
-        room = self.n - free
+        room = self.n - len(self.g) + sum(len(ev) for ev in self.spread.values())
         left = max(self.yy - self.beta @ self.xy, 1e-300)
-        return room * np.log(left / room) + np.linalg.slogdet(a)[1] - logs, left / room
+        return room * np.log(left / room) + np.linalg.slogdet(self.penalised(self.lam))[1] - self._logs(self.lam), left / room
+
+    def _logs(self, lam):
+        """Log determinant of the penalties where they are not zero."""
+        return sum(len(self.spread[s]) * np.log(v) + np.log(self.spread[s]).sum() for s, v in lam.items())
 
-    def choose(self, sweeps: int = 2, given=None):
-        lam = dict(given) if given else dict.fromkeys(self.smooths, 1.0)
+    def choose(self, sweeps: int = 2, given=None, start=None):
+        lam = dict(given or start or dict.fromkeys(self.smooths, 1.0))
 
         def score(trial):
+            if self.known:
+                a = self.penalised(trial)
+                return self.yy - self.xy @ np.linalg.solve(a, self.xy) + np.linalg.slogdet(a)[1] - self._logs(trial)
             _, _, edf, rss = self._solve(trial)
-            room = self.n - edf.sum()
+            room = self.n - self.lost - edf.sum()
             return self.n * rss / room**2 if room > 0 else np.inf
 
         for _ in range(0 if given else sweeps):
@@ -174,8 +188,8 @@ class Fit:
         self.lam = lam
         self.gcv = score(lam)
         self.inv, self.beta, self.edf, self.rss = self._solve(lam)
-        self.dof = self.n - self.edf.sum()
-        self.s2 = self.rss / self.dof if self.dof > 0 else np.nan
+        self.dof = self.n - self.lost - self.edf.sum()
+        self.s2 = 1.0 if self.known else self.rss / self.dof if self.dof > 0 else np.nan
 
     def raw_beta(self) -> np.ndarray:
         return self.t @ self.beta
@@ -203,7 +217,8 @@ def _rows_of(fit: Fit, family: str):
         out.append((f"s({s})", edf, chi, f, float(p), float(np.log10(fit.lam[s])), fit.n, fit.s2, fit.gcv))
     for c, i in fit.linear.items():
         chi = fit.beta[i] ** 2 / (fit.inv[i, i] * fit.s2)
-        out.append((c, 1.0, chi, chi, float(f_upper(chi, 1, fit.dof)), None, fit.n, fit.s2, fit.gcv))
+        p = chi2_upper(chi, 1) if fit.known else f_upper(chi, 1, fit.dof)
+        out.append((c, 1.0, chi, chi, float(p), None, fit.n, fit.s2, fit.gcv))
     return out
 
 
@@ -241,6 +256,77 @@ def additive(df: DataFrame, y: str, smooths, by, linear=()) -> DataFrame:
     return _map_fits(sums, by, smooths, linear, SMOOTH_SCHEMA, SMOOTH_COLS, lambda f: _rows_of(f, "gaussian"))
 
 
+def additive_absorbed(df: DataFrame, y: str, smooths, by, unit, linear=()) -> DataFrame:
+    """Gaussian additive model per group next to a dummy of each ``unit``: its smooths and linear terms.
+
+    The dummies are never columns.  Eliminating them takes the outer product of
+    each unit's column sums over its row count from the group's cross products;
+    those sums are all that is shuffled per unit, and a unit costs the fit one
+    degree of freedom.  y and the linear columns are first taken from their
+    group's means, which the dummies swallow anyway.  A group with no more rows
+    than columns and units has its rows without statistics.
+    """
+    by, unit, linear = _names(by), _names(unit), list(linear)
+    rows = with_ranges(df, y, smooths, linear, by, unit)
+    plain = [c for c in dict.fromkeys([y, *linear]) if c not in smooths]
+    means = rows.groupBy(*by).agg(*[F.avg(c).alias(f"__mean_{c}") for c in plain])
+    rows = merge(rows, means, by=by).withColumns({c: F.col(c) - F.col(f"__mean_{c}") for c in plain})
+    rows = cut(rows.drop(*[f"__mean_{c}" for c in plain]))
+    k = 2 + len(linear) + BASIS * len(smooths)
+    iu = np.triu_indices(k)
+    types = {c: rows.schema[c].dataType.simpleString() for c in [*by, *unit]}
+
+    def sums_of(batches):
+        for pdf in batches:
+            z = np.hstack([design(pdf, smooths, linear), pdf[y].to_numpy(float)[:, None]])
+            keys = pdf[[*by, *unit]].reset_index(drop=True)
+            at = keys.groupby([*by, *unit], dropna=False, sort=False)
+            out = keys.drop_duplicates().reset_index(drop=True)
+            add = np.zeros((len(out), k))
+            np.add.at(add, at.ngroup().to_numpy(), z)
+            yield out.assign(sums=list(add))
+
+    def outer(batches):
+        for pdf in batches:
+            out = []
+            for key, g in pdf.groupby(by, dropna=False, sort=False):
+                s = np.stack(g["sums"].to_numpy())
+                m = (s / s[:, :1]).T @ s
+                out.append((*key, float(len(g)), s.sum(0).tolist(), m[iu].tolist()))
+            yield pd.DataFrame(out, columns=[*by, "units", "centre", "taken"])
+
+    def columns(name, width):
+        return F.array(*[F.sum(F.get(name, F.lit(i))) for i in range(width)]).alias(name)
+
+    keys = ", ".join(f"`{c}` {types[c]}" for c in by)
+    each = rows.mapInPandas(sums_of, f"{keys}, {', '.join(f'`{c}` {types[c]}' for c in unit)}, sums array<double>")
+    each = each.groupBy(*by, *unit).agg(columns("sums", k))
+    parts = each.mapInPandas(outer, f"{keys}, units double, centre array<double>, taken array<double>")
+    cells = parts.select(*by, "units", "centre", F.posexplode("taken").alias("i", "v"))
+    taken = cells.groupBy(*by, "i").agg(F.sum("v").alias("v"))
+    # exactly k(k+1)/2 entries a group
+    taken = taken.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("taken"))
+    units = parts.groupBy(*by).agg(F.sum("units").alias("units"), columns("centre", k))
+    every = merge(merge(blocks(rows, y, smooths, linear, by), taken, by=by), units, by=by)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                if r["n"] <= k + r["units"]:
+                    found = _no_fit(smooths, linear, r["n"])
+                else:
+                    m = full(r["sums"], k) - full(r["taken"], k)
+                    # what is left of the intercept: a column of its own that explains nothing
+                    m[0], m[:, 0] = 0.0, 0.0
+                    m[0, 0] = 1.0
+                    found = _rows_of(Fit(m, r["n"], smooths, linear, centre=np.asarray(r["centre"]), lost=r["units"] - 1), "gaussian")
+                out += [tuple(r[c] for c in by) + tuple(v) for v in found]
+            yield pd.DataFrame(out, columns=[*by, *SMOOTH_COLS])
+
+    return every.mapInPandas(run, f"{keys}, {SMOOTH_SCHEMA}")
+
+
 def additive_logit(df: DataFrame, y: str, smooths, by, linear=(), passes: int = 5) -> DataFrame:
     """Additive model of a proportion with a logit link, by a fixed number of
     reweighted passes; rows and coefficients are stored between passes."""

@@ -9,6 +9,7 @@ from ..operators import mixed as X
 from ..operators import panel as P
 from ..operators import regress as G
 from ..operators import relational as R
+from ..operators import shares as B
 from ..operators import smooth as A
 from ..session import cut
 from .registry import VIEWS, query
@@ -225,26 +226,75 @@ def _(v):
     return A.additive(v.hauls(), "depth", ["lat", "SBT_seasonal"], "regionfact")
 
 
+@query("k14_absorbed_dummies")
+def _(v):
+    return A.additive_absorbed(lagged(v), "wtcpuenal", ["SBT", "SST"], "spp", "lat_bin", ["depth", "lag1_bio", "lag1_land"])
+
+
+def _changes(v):
+    """Every measure less its value a row before."""
+    pairs = {"bio": ("wtcpuenal", "lag1_bio"), "pres": ("pres2", "lag1_pres"), "sbt": ("SBT", "lag1_sbt"), "sst": ("SST", "lag1_sst"), "land": ("land_mt", "lag1_land")}
+    return lagged(v).withColumns({f"{n}_change": F.col(a) - F.col(b) for n, (a, b) in pairs.items()})
+
+
+@query("k14_first_differences")
+def _(v):
+    d = _changes(v)
+    bio = A.additive(d, "bio_change", ["sbt_change", "sst_change", "land_change"], "spp").withColumn("model", F.lit("bio"))
+    pres = A.additive(d, "pres_change", ["sbt_change", "sst_change", "depth", "lag1_land"], "spp").withColumn("model", F.lit("presence"))
+    return bio.unionByName(pres)
+
+
+@query("k14_demeaned")
+def _(v):
+    d = lagged(v).where(F.col("lat_bin") >= 35)
+    means = d.groupBy(*UNIT).agg(*[F.avg(c).alias(f"m_{c}") for c in ("wtcpuenal", "land_mt", "SBT", "SST")])
+    d = R.merge(d, means, by=UNIT)
+    d = d.select("spp", "depth", (F.col("wtcpuenal") - F.col("m_wtcpuenal")).alias("fe_bio"), (F.col("lag1_land") - F.col("m_land_mt")).alias("fe_land"),
+                 (F.col("SBT") - F.col("m_SBT")).alias("fe_sbt"), (F.col("SST") - F.col("m_SST")).alias("fe_sst"))
+    return A.additive(d, "fe_bio", ["fe_land", "fe_sbt", "fe_sst", "depth"], "spp")
+
+
 @query("k15_additive_random")
 def _(v):
     return A.additive_random(v.panel(), "y", ["x", "peak"], "grp", "user_id")
 
 
+def _presence(v, *more):
+    """Beta regression of the share of hauls with the species, next to ``more`` smooths."""
+    d = lagged(v).withColumn("p", squeeze("pres2"))
+    return B.additive_beta(d, "p", ["SBT_max", "SST_max", "depth", *more], "spp")
+
+
 @query("k16_presence_smooths")
 def _(v):
-    d = lagged(v).withColumn("p", squeeze("pres2"))
-    return A.additive_logit(d, "p", ["SBT_max", "SST_max", "depth", "lag1_land"], "spp", passes=4)
+    return _presence(v, "lag1_land")
 
 
-@query("k17_species_smooths")
+@query("k16_presence_smooths_lagged")
 def _(v):
+    return _presence(v, "lag1_land", "lag1_pres")
+
+
+@query("k16_presence_without_landings")
+def _(v):
+    return _presence(v, "lag1_pres")
+
+
+def species_smooths(v):
+    """Terms of both models for species that are fished."""
     d = lagged(v).withColumn("p", squeeze("pres2"))
     fished = R.having(d, "spp", (F.col("mean_land") >= 1) & (F.col("years") > 5), mean_land=F.avg("land_mt"),
                       years=F.sum((F.col("land_mt") > 0).cast("int")))
     d = R.keep_in(d, fished, "spp")
     bio = A.additive(d, "wtcpuenal", ["SBT", "SST"], "spp", ["depth", "lag1_land"]).withColumn("model", F.lit("bio"))
-    pres = A.additive_logit(d, "p", ["SBT", "SST"], "spp", ["depth", "lag1_land"], passes=4).withColumn("model", F.lit("presence"))
-    return bio.unionByName(pres)
+    pres = B.additive_beta(d, "p", ["SBT", "SST"], "spp", ["depth", "lag1_land"]).withColumn("model", F.lit("presence"))
+    return bio.unionByName(pres, allowMissingColumns=True)
+
+
+@query("k17_species_smooths")
+def _(v):
+    return species_smooths(v)
 
 
 VIEWS["v_tests"] = """

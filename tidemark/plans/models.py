@@ -12,6 +12,7 @@ from ..operators import relational as R
 from ..operators import shares as B
 from ..operators import smooth as A
 from ..session import cut
+from . import fits as Q
 from .registry import VIEWS, query
 from .shift import around, bias_and_intensity, edge_and_intensity
 from .survey import growth
@@ -19,7 +20,7 @@ from .survey import growth
 UNIT = ["spp", "lat_bin"]
 
 VIEWS["v_lag"] = """
-    SELECT *, lag(land_mt) OVER w AS lag1_land, lag(wtcpuenal) OVER w AS lag1_bio, lag(pres2) OVER w AS lag1_pres, lag("SBT") OVER w AS lag1_sbt, lag("SST") OVER w AS lag1_sst
+    SELECT *, lag(land_mt) OVER w AS lag1_land, lag(land_mt, 2) OVER w AS lag2_land, lag(wtcpuenal) OVER w AS lag1_bio, lag(pres2) OVER w AS lag1_pres, lag("SBT") OVER w AS lag1_sbt, lag("SST") OVER w AS lag1_sst
     FROM v_bio_panel WINDOW w AS (PARTITION BY spp, lat_bin ORDER BY year)"""
 
 
@@ -79,7 +80,8 @@ def _(v):
     return fit(G.ols(_lines(v), "y", ["q", "d"], "flag"), "flag")
 
 
-@query("k2_regression_full")
+@query("k2_regression_full", Q.all_terms("SELECT l_returnflag AS flag, l_extendedprice / 1000 AS y, l_quantity AS q, l_discount * 100 AS d, l_tax * 100 AS t FROM lineitem",
+                                         "y", ["q", "d", "t"], "flag", intercept=True), fl="est se t:4 p r2")
 def _(v):
     return G.ols(_lines(v), "y", ["q", "d", "t"], "flag")
 
@@ -110,12 +112,22 @@ def _(v):
     return G.dummy_regression(d, "wtcpuenal", ["SBT", "land_mt"], "spp", "lat_bin", {"mean_land": F.avg("land_mt")}).drop("pval")
 
 
-@query("k4_dummy_regression_lagged")
+_LAG = 'SELECT spp, lat_bin, wtcpuenal AS bio, "SBT" AS sbt, "SST" AS sst, depth, lag1_bio, lag1_land, lag2_land, land_mt FROM v_lag'
+
+
+def _lag_terms(*more):
+    return Q.dummy_terms(_LAG, "bio", ["sbt", "sst", "depth", "lag1_bio", *more], "spp", "lat_bin", ["SBT", "SST", "depth", "lag1_bio", *more])
+
+
+@query("k4_dummy_regression_lagged", f"""
+    SELECT t.*, mean_land FROM ({_lag_terms("lag2_land")}) t JOIN (SELECT spp, avg(land_mt) AS mean_land FROM v_lag GROUP BY 1) USING (spp)""", fl="est:5 pval mean_land")
 def _(v):
     return G.dummy_regression(lagged(v), "wtcpuenal", ["SBT", "SST", "depth", "lag1_bio", "lag2_land"], "spp", "lat_bin", {"mean_land": F.avg("land_mt")})
 
 
-@query("k5_significant_terms")
+@query("k5_significant_terms", f"""
+    SELECT t.*, w.* FROM ({_lag_terms("land_mt")}) t JOIN (VALUES ('land_mt', -1, 0.05::DOUBLE), ('land_mt', 1, 0.05::DOUBLE), ('lag1_bio', -1, 0.1::DOUBLE), ('lag1_bio', 1, 0.1::DOUBLE)) w(term, sign, alpha)
+    ON t.var = w.term AND sign(t.est) = w.sign AND t.pval < w.alpha""".replace("w.*", "w.sign, w.alpha"), fl="est:5 pval")
 def _(v):
     t = G.dummy_regression(lagged(v), "wtcpuenal", ["SBT", "SST", "depth", "lag1_bio", "land_mt"], "spp", "lat_bin")
     t = cut(t)
@@ -206,12 +218,23 @@ def _(v):
     return G.two_stage(_with_neighbours(v), "wtcpuenal", ["SBT", "SST", "depth"], ["pres_lag1", "land_lag1"], ["nlag", "slag"], "spp", "lat_bin")
 
 
-@query("k12_serial_correlation")
+_WITHIN = """
+    SELECT grp, user_id, day, y - avg(y) OVER u AS y, x - avg(x) OVER u AS x, clicks - avg(clicks) OVER u AS c
+    FROM (SELECT * FROM v_panel WHERE y IS NOT NULL AND x IS NOT NULL AND clicks IS NOT NULL) WINDOW u AS (PARTITION BY grp, user_id)"""
+_RESID = f"""
+    SELECT *, coalesce(lag(e) OVER (PARTITION BY grp, user_id ORDER BY day), 0) AS e1 FROM (
+      SELECT w.*, y - b0 * x - b1 * c AS e FROM w JOIN ({Q.swept("SELECT * FROM w", "y", ["x", "c"], "grp", raw=True)}) USING (grp))"""
+
+
+@query("k12_serial_correlation", f"""
+    WITH w AS ({_WITHIN}), a AS ({Q.swept(_RESID, "e", ["x", "c", "e1"], "grp", raw=True)})
+    SELECT grp, chisq, CAST(1 AS BIGINT) AS lags, {Q.chi2_1("chisq")} AS p, CAST(n AS BIGINT) AS n FROM (SELECT grp, n * (1 - rss / yy) AS chisq, n FROM a)""", fl="chisq:5 p")
 def _(v):
     return G.serial_correlation(v.panel(), "y", ["x", "clicks"], "grp", "user_id", "day", 1, F.floor(F.col("day") / 8))
 
 
-@query("k13_drop_one")
+@query("k13_drop_one", Q.dropped(_LAG, "bio", ["sbt", "sst", "depth", "lag1_bio", "lag1_land"], "spp", "lat_bin", ["SBT", "SST", "depth", "lag1_bio", "lag1_land"]),
+       fl="sum_sq:5 rss:5 f:5 p")
 def _(v):
     return G.drop_one(lagged(v), "wtcpuenal", ["SBT", "SST", "depth", "lag1_bio", "lag1_land"], "spp", "lat_bin")
 

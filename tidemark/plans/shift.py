@@ -11,6 +11,7 @@ from ..operators import shift as S
 from ..operators import survey as V
 from ..session import cut
 from .landings import stock_series, total_landings
+from .fits import two_sided
 from .registry import VIEWS, query
 
 TERMS = ("SBT_seasonal", "SST_seasonal_mean", "rugosity")
@@ -153,7 +154,17 @@ def _(v):
     return S.trends(shifts(v), KEY).drop("lm_obs_p", "lm_pred_p")
 
 
-@query("j24_trend_p_values")
+def _slope_t(y):
+    return f"regr_slope({y}, year) / nullif(sqrt(greatest(regr_syy({y}, year) - regr_slope({y}, year) * regr_sxy({y}, year), 0) / nullif(regr_count({y}, year) - 2, 0) / nullif(regr_sxx({y}, year), 0)), 0)"
+
+
+_TESTED = _TREND.replace("FROM v_shift", f""", {_slope_t("obs_lat")} AS t_obs, {_slope_t("pred_lat_bio")} AS t_pred,
+    regr_count(obs_lat, year) - 2 AS dof_obs, regr_count(pred_lat_bio, year) - 2 AS dof_pred FROM v_shift""")
+
+
+@query("j24_trend_p_values", f"""
+    SELECT * EXCLUDE (t_obs, t_pred, dof_obs, dof_pred) FROM ({two_sided(two_sided(_TESTED, "lm_obs_p", "t_obs", "dof_obs"), "lm_pred_p", "t_pred", "dof_pred")})""",
+       fl="lm_obs_slope lm_obs_r2 lm_pred_slope lm_pred_r2 obsminuspred lm_obs_p lm_pred_p")
 def _(v):
     return S.trends(shifts(v), KEY)
 

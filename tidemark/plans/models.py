@@ -91,7 +91,8 @@ def _(v):
     return fit(G.ols(_lines(v), "y", ["q", "d"], "flag", intercept=False), "flag")
 
 
-@query("k3_growth_model")
+@query("k3_growth_model", Q.all_terms("SELECT * FROM v_percap WHERE season = 'fall'", "percap_log", ["sbt_diff", "bio_mt", '"logLB"'], "spp", ["sbt_diff", "bio_mt", "logLB"]),
+       fl="est:5 se:5 t:4 p:5 r2")
 def _(v):
     d = growth(v).where(F.col("season") == "fall")
     return G.ols(d, "percap_log", ["sbt_diff", "bio_mt", "logLB"], "spp", intercept=False)
@@ -213,7 +214,17 @@ def _(v):
     return G.two_stage(_with_neighbours(v), "wtcpuenal", ["SBT", "SST", "depth"], ["land_lag1"], ["nlag", "slag"], "spp", "lat_bin", "year")
 
 
-@query("k11_instruments_one_way")
+_NEXT = """
+    SELECT r.spp, r.lat_bin, r.year, CASE WHEN r.land_mt IS NOT NULL THEN a.land_mt END AS north, CASE WHEN r.land_mt IS NOT NULL THEN b.land_mt END AS south
+    FROM r LEFT JOIN r a ON a.spp = r.spp AND a.year = r.year AND a.rk = r.rk + 1 LEFT JOIN r b ON b.spp = r.spp AND b.year = r.year AND b.rk = r.rk - 1"""
+_LAG_NEXT = f"""
+    WITH r AS (SELECT *, dense_rank() OVER (PARTITION BY spp ORDER BY lat_bin) AS rk FROM v_bio_panel), y AS ({_NEXT})
+    SELECT r.spp, r.lat_bin, r.wtcpuenal AS bio, r."SBT" AS sbt, r."SST" AS sst, r.depth, p.pres2 AS pres_lag1, p.land_mt AS land_lag1, y.north AS nlag, y.south AS slag
+    FROM r LEFT JOIN r p ON p.spp = r.spp AND p.lat_bin = r.lat_bin AND p.year = r.year - 1 LEFT JOIN y ON y.spp = r.spp AND y.lat_bin = r.lat_bin AND y.year = r.year - 1"""
+
+
+@query("k11_instruments_one_way", Q.two_stage(_LAG_NEXT, "bio", ["sbt", "sst", "depth"], ["pres_lag1", "land_lag1"], ["nlag", "slag"], "spp", "lat_bin",
+                                              ["SBT", "SST", "depth", "pres_lag1", "land_lag1"]), fl="est:4 se:4 t:4 p:5 r2:5")
 def _(v):
     return G.two_stage(_with_neighbours(v), "wtcpuenal", ["SBT", "SST", "depth"], ["pres_lag1", "land_lag1"], ["nlag", "slag"], "spp", "lat_bin")
 
@@ -374,7 +385,8 @@ def _(v):
     return X.random_intercepts(v.panel(), "y", ["x", "clicks"], "grp", "user_id")
 
 
-@query("k23_effect_curve")
+@query("k23_effect_curve", Q.curve(_LAG.replace("FROM v_lag", "FROM v_lag WHERE pres2 <> 0"), "bio", ["sbt", "sst", "depth", "lag1_land"], "spp", "lat_bin", "lag1_land"),
+       fl="at fit:5 lower:5 upper:5")
 def _(v):
     d = lagged(v).where(F.col("pres2") != 0)
     return G.effect_curve(d, "wtcpuenal", ["SBT", "SST", "depth", "lag1_land"], "spp", "lat_bin", "lag1_land")

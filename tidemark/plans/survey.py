@@ -200,10 +200,13 @@ VIEWS["v_growth"] = """
     USING (year, statarea, spp)"""
 
 
-@query("j48_per_capita_growth", """
+VIEWS["v_percap"] = """
     SELECT statarea, spp, season, year, bio_mt, land_mt, (nb - bio_mt) / bio_mt AS percap_diff, CASE WHEN (nb - bio_mt) / bio_mt + 1.0001 > 0 THEN ln((nb - bio_mt) / bio_mt + 1.0001) END AS percap_log,
     ns - sbt AS sbt_diff, nt - sst AS sst_diff, ln(CASE WHEN land_mt = 0 THEN 0.0001 ELSE land_mt END / bio_mt) AS "logLB"
-    FROM (SELECT *, lead(bio_mt) OVER w AS nb, lead(sbt) OVER w AS ns, lead(sst) OVER w AS nt FROM v_growth WINDOW w AS (PARTITION BY statarea, spp, season ORDER BY year)) WHERE bio_mt > 0""",
+    FROM (SELECT *, lead(bio_mt) OVER w AS nb, lead(sbt) OVER w AS ns, lead(sst) OVER w AS nt FROM v_growth WINDOW w AS (PARTITION BY statarea, spp, season ORDER BY year)) WHERE bio_mt > 0"""
+
+
+@query("j48_per_capita_growth", "SELECT statarea, spp, season, year, bio_mt, land_mt, percap_diff, percap_log, sbt_diff, sst_diff, \"logLB\" FROM v_percap",
        fl="bio_mt percap_diff percap_log:5 sbt_diff sst_diff logLB")
 def _(v):
     return growth(v).select("statarea", "spp", "season", "year", "bio_mt", "land_mt", "percap_diff", "percap_log", "sbt_diff", "sst_diff", "logLB")

@@ -133,7 +133,7 @@ def _advance(r: dict, smooths, linear, tol: float, choose: int) -> dict:
 
 
 def additive_beta(
-    df: DataFrame, y: str, smooths, by, linear=(), eps: float = 1e-5, tol: float = 1e-8, most: int = 60, choose: int = 12,
+    df: DataFrame, y: str, smooths, by, linear=(), eps: float = 1e-5, tol: float = 1e-8, most: int = 25, choose: int = 12,
 ) -> DataFrame:
     """Beta regression of a share on smooths and linear terms per group, logit link, one precision ``phi``.
 

@@ -294,6 +294,31 @@ def test_degrees_of_freedom_of_balanced_designs(spark):
     assert X.random_intercepts(twice, "y", ["x", "z"], "m", "g").toPandas().est.isna().all()
 
 
+def test_ratios_that_settle_in_different_rounds(spark):
+    """A settled model keeps its ratio while others are still searched."""
+    rnd = np.random.default_rng(21)
+    rec = [(m, u, x, float(2 * x + ue + rnd.normal())) for m, sd in enumerate((0.05, 0.4, 4.0, 400.0)) for u in range(30)
+           for ue in [rnd.normal(0, sd)] for x in rnd.normal(size=8).tolist()]
+    d = spark.createDataFrame(rec, "m int, u int, x double, y double")
+    got = X.random_intercepts(d, "y", ["x"], "m", "u").toPandas().set_index(["m", "term"]).est
+    for m in range(4):
+        p = [r for r in rec if r[0] == m]
+        y, x, z = np.array([r[3] for r in p]), np.column_stack([np.ones(240), [r[2] for r in p]]), np.eye(30)[[r[1] for r in p]]
+        r = got[m, "u"] / got[m, "residual"]
+        around = [dense_reml(y, x, [z], [r * i + j])[0] for i, j in ((0.98, 0), (1.02, 0), (1, 1e-3))]
+        assert dense_reml(y, x, [z], [r])[0] < min(around) + 1e-5
+
+
+def test_ratios_that_rounding_cannot_tell_apart():
+    """Equal criteria end a search at zero or in their middle, not at whichever rounding favours."""
+    rnd = np.random.default_rng(22)
+    noise = 1e6 + 1e-10 * rnd.normal(size=10)
+    assert X._lowest([0.0, *np.geomspace(1e-12, 1e-8, 9)], noise, 1e6) == (0, False)
+    at, flat = X._lowest(np.geomspace(1e-3, 1.1e-3, 10), noise, 1e6)
+    assert at == 5 and flat
+    assert X._lowest([0.0, 0.1, 0.2, 0.3], [4.0, 2.0, 1.0, 3.0], 10.0) == (2, False)
+
+
 def test_additive_finds_the_curve(spark):
     rnd = np.random.default_rng(3)
     x, z = rnd.uniform(0, 1, 600), rnd.uniform(0, 1, 600)

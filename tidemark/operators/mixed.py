@@ -28,6 +28,7 @@ DIRECT = 512  # levels up to which the second factor's equations are solved dens
 STEP = 0.02  # of the logarithms in numerical derivatives
 CHUNK = 2000  # groups put into one matrix
 HELD = 4_000_000  # numbers a task holds before it passes its sums on
+TIE = 1e-14  # rounding of a criterion, relative to itself and to the rows
 
 
 def _levels(cells: DataFrame, by, factor: str) -> tuple[DataFrame, int]:
@@ -139,8 +140,8 @@ class _AtRatio:
         grid = np.asarray(COARSE)
         for _ in range(40):
             values = [self.criterion(t) for t in grid]
-            at = int(np.argmin(values))
-            if _settled(grid, at):
+            at, flat = _lowest(grid, values, self.n)
+            if flat or _settled(grid, at):
                 break
             grid = _next(grid, at)
         return values[at], float(grid[at])
@@ -151,6 +152,20 @@ class _AtRatio:
         return self.v @ ((self.b[:, self.p] - self.b[:, : self.p] @ beta) * ratio2 / (1 + ratio2 * self.w))
 
 
+def _lowest(grid, values, n: float) -> tuple[int, bool]:
+    """Place of the least criterion, and whether its neighbours differ from it by no more than rounding.
+
+    Of values that rounding cannot tell apart a ratio of zero comes first, else the middle one.
+    """
+    values = np.asarray(values)
+    low = values.min()
+    ties = np.flatnonzero(values <= low + TIE * (n + abs(low)))
+    if grid[0] == 0 and ties[0] == 0:
+        return 0, False
+    at = int(ties[len(ties) // 2])
+    return at, at - 1 in ties and at + 1 in ties
+
+
 def _settled(grid, at: int, tol: float = 1e-3) -> bool:
     if at + 1 == len(grid):
         return grid[at] >= 1e12  # a perfect fit within the groups
@@ -206,8 +221,8 @@ def random_intercepts(df: DataFrame, y: str, xs, by, group: str, second: str | N
     Rows by ``kind``: ``fixed`` terms with estimate, error, t, Satterthwaite's
     degrees of freedom and p; ``variance`` components; with ``second`` also the
     predicted ``effect`` of each level of the factor with fewer levels.  Ratios
-    are searched until they are known to a thousandth; not getting there in
-    ``rounds`` is an error.  A model without more rows than terms, or with
+    are searched until they are known to a thousandth or as far as rounding lets
+    their criteria differ; not getting there in ``rounds`` is an error.  A model without more rows than terms, or with
     collinear terms, has null estimates and no effects.
     """
     xs, by = list(xs), _names(by)
@@ -244,8 +259,8 @@ def random_intercepts(df: DataFrame, y: str, xs, by, group: str, second: str | N
         ratios = np.asarray(pdf["ratios"].iloc[0])
         out = pdf[by].iloc[:1].copy()
         fits = fitted(pdf, len(ratios))
-        at = int(np.argmin([f.best()[0] for f in fits])) if fits else None
-        done = at is None or _settled(ratios, at)
+        at, flat = _lowest(ratios, [f.best()[0] for f in fits], fits[0].n) if fits else (None, True)
+        done = flat or _settled(ratios, at)
         new = np.full(FINE + 1, 0.0 if at is None else ratios[at]) if done else _next(ratios, at)
         out["ratios"], out["done"] = [new.tolist()], done
         return out
@@ -275,17 +290,20 @@ def random_intercepts(df: DataFrame, y: str, xs, by, group: str, second: str | N
         out[numbers] = out[numbers].astype(float)
         return pdf[by].iloc[[0] * len(out)].reset_index(drop=True).join(out)
 
-    state, tried = groups.select(*by).distinct().withColumn("ratios", F.array(*[F.lit(v) for v in COARSE])), len(COARSE)
+    state, tried, settled = groups.select(*by).distinct().withColumn("ratios", F.array(*[F.lit(v) for v in COARSE])), len(COARSE), None
     for _ in range(rounds):
         # a model's equations reach one task: at most direct + terms rows and columns
         state = cut(summed(state, tried).groupBy(*by).applyInPandas(narrow, f"{keys}, ratios array<double>, done boolean"))
         tried = FINE + 1
-        if state.where(~F.col("done")).isEmpty():
+        # a settled model keeps its ratio while others go on
+        done, state = state.where("done"), state.where("not done")
+        settled = done if settled is None else settled.unionByName(done)
+        if state.isEmpty():
             break
     else:
         raise RuntimeError(f"variance ratios have not settled after {rounds} rounds")
     last = F.get("ratios", F.lit(0))
-    state = state.withColumn("ratios", F.array(*[last * F.lit(float(np.exp(STEP * s))) for s in (-1, 0, 1)]))
+    state = settled.withColumn("ratios", F.array(*[last * F.lit(float(np.exp(STEP * s))) for s in (-1, 0, 1)]))
     found = summed(state, 3).groupBy(*by).applyInPandas(
         solve, f"{keys}, kind string, term string, code int, est double, se double, t double, dof double, p double")
     found = found.withColumns({c: F.nullif(c, F.lit(float("nan"))) for c in ("est", "se", "t", "dof", "p")})

@@ -6,9 +6,13 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
+from tidemark import session
 from tidemark.functions import gamma, tails
 from tidemark.operators import mixed as X
 from tidemark.operators import regress as G
+from tidemark.operators import relational as R
 from tidemark.operators import shares as B
 from tidemark.operators import smooth as A
 
@@ -294,6 +298,20 @@ def test_degrees_of_freedom_of_balanced_designs(spark):
     assert X.random_intercepts(twice, "y", ["x", "z"], "m", "g").toPandas().est.isna().all()
 
 
+def test_additive_random_moves_only_sums(spark, monkeypatch):
+    """A group is stored as one row of column sums, not as cross products, and one model's groups are not gathered in a task."""
+    stored = []
+    monkeypatch.setattr(A, "cut", lambda df: stored.append(real(df)) or stored[-1])
+    monkeypatch.setattr(A, "merge_few", lambda a, b, by: joins.append(few(a, b, by)) or joins[-1])
+    real, few, joins = session.cut, R.merge_few, []
+    rnd = np.random.default_rng(23)
+    d = spark.createDataFrame([(u, float(x), float(x + e + rnd.normal())) for u in range(40) for e in [rnd.normal()] for x in rnd.uniform(size=9)], "u int, x double, y double")
+    assert A.additive_random(d.withColumn("g", F.lit(1)), "y", ["x"], "g", "u").count() == 3
+    units = [t for t in stored if "u" in t.columns and "sums" in t.columns]
+    assert len(units) == 1 and units[0].count() == 40 and units[0].agg(F.max(F.size("sums"))).first()[0] == 2 + A.BASIS
+    assert joins and all("SortMergeJoin" not in j._jdf.queryExecution().toString() for j in joins)
+
+
 def test_ratios_that_settle_in_different_rounds(spark):
     """A settled model keeps its ratio while others are still searched."""
     rnd = np.random.default_rng(21)

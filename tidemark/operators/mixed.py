@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.tails import t_two_sided
 from ..session import cut
 from .regress import cell_moments, full, independent
-from .relational import _names, merge
+from .relational import _names, merge, merge_few
 
 COARSE = [0.0, *(float(v) for v in 10.0 ** np.linspace(-4, 3, 22))]
 FINE = 9  # further ratios tried in a later round
@@ -246,7 +246,7 @@ def random_intercepts(df: DataFrame, y: str, xs, by, group: str, second: str | N
     keys = ", ".join(f"`{c}` {groups.schema[c].dataType.simpleString()}" for c in by)
 
     def summed(state, tried):
-        entries = _equations(merge(groups, state.select(*by, "ratios"), by=by), by, k, tried)
+        entries = _equations(merge_few(groups, state.select(*by, "ratios"), by), by, k, tried)
         return merge(entries, state.select(*by, "ratios"), by=by)
 
     def fitted(pdf, tried):

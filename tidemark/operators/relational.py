@@ -1,6 +1,6 @@
 """Joins, keyed filters and unions with NULL-matches-NULL keys.
 
-No join here carries a broadcast hint but that with a counted list of values:
+No join here carries a broadcast hint but those with a counted list or table:
 Spark compares the measured size of a side with
 ``spark.sql.autoBroadcastJoinThreshold`` and falls back to a sort-merge join,
 whose hot partitions adaptive execution splits.
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
+FEW = 10_000  # short rows that are sent to every task
+
+
 def _names(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
@@ -55,6 +58,14 @@ def merge(
     return j.select(*keys, *rest)
 
 
+def merge_few(a: DataFrame, b: DataFrame, by) -> DataFrame:
+    """``merge`` with a stored table of one short row per key, sent to ``a``'s tasks if it has at most ``FEW`` rows (counted first).
+
+    Else a key with very many rows would be sorted in one task.
+    """
+    return merge(a, F.broadcast(b) if b.count() <= FEW else b, by=by)
+
+
 def shared_join(a: DataFrame, b: DataFrame, how: str = "inner", nulls: str = "match") -> DataFrame:
     """Join on every column name the two tables have in common."""
     return merge(a, b, by=[c for c in a.columns if c in b.columns], how=how, nulls=nulls)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.tails import chi2_upper, f_upper
 from ..session import cut
 from .regress import full
-from .relational import _names, merge
+from .relational import _names, merge, merge_few
 
 BASIS = 10
 LAMBDAS = 10.0 ** np.linspace(-4, 7, 23)
@@ -104,6 +104,26 @@ def blocks(rows: DataFrame, y: str, smooths, linear, by, weigh: bool = False) ->
     )
 
 
+def unit_sums(rows: DataFrame, y: str, smooths, linear, by, unit) -> DataFrame:
+    """Column sums of (design, y) per ``unit`` of a group, the first of them its row count: ``sums``."""
+    by, unit = _names(by), _names(unit)
+    keys = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*by, *unit])
+    k = 2 + len(linear) + BASIS * len(smooths)
+
+    def run(batches):
+        for pdf in batches:
+            z = np.hstack([design(pdf, smooths, linear), pdf[y].to_numpy(float)[:, None]])
+            own = pdf[[*by, *unit]].reset_index(drop=True)
+            at = own.groupby([*by, *unit], dropna=False, sort=False)
+            out = own.drop_duplicates().reset_index(drop=True)
+            add = np.zeros((len(out), k))
+            np.add.at(add, at.ngroup().to_numpy(), z)
+            yield out.assign(sums=list(add))
+
+    each = rows.mapInPandas(run, f"{keys}, sums array<double>")
+    return each.groupBy(*by, *unit).agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(k)]).alias("sums"))
+
+
 class Fit:
     """Penalised fit on summed cross products.
 
@@ -274,17 +294,6 @@ def additive_absorbed(df: DataFrame, y: str, smooths, by, unit, linear=()) -> Da
     rows = cut(rows.drop(*[f"__mean_{c}" for c in plain]))
     k = 2 + len(linear) + BASIS * len(smooths)
     iu = np.triu_indices(k)
-    types = {c: rows.schema[c].dataType.simpleString() for c in [*by, *unit]}
-
-    def sums_of(batches):
-        for pdf in batches:
-            z = np.hstack([design(pdf, smooths, linear), pdf[y].to_numpy(float)[:, None]])
-            keys = pdf[[*by, *unit]].reset_index(drop=True)
-            at = keys.groupby([*by, *unit], dropna=False, sort=False)
-            out = keys.drop_duplicates().reset_index(drop=True)
-            add = np.zeros((len(out), k))
-            np.add.at(add, at.ngroup().to_numpy(), z)
-            yield out.assign(sums=list(add))
 
     def outer(batches):
         for pdf in batches:
@@ -298,10 +307,8 @@ def additive_absorbed(df: DataFrame, y: str, smooths, by, unit, linear=()) -> Da
     def columns(name, width):
         return F.array(*[F.sum(F.get(name, F.lit(i))) for i in range(width)]).alias(name)
 
-    keys = ", ".join(f"`{c}` {types[c]}" for c in by)
-    each = rows.mapInPandas(sums_of, f"{keys}, {', '.join(f'`{c}` {types[c]}' for c in unit)}, sums array<double>")
-    each = each.groupBy(*by, *unit).agg(columns("sums", k))
-    parts = each.mapInPandas(outer, f"{keys}, units double, centre array<double>, taken array<double>")
+    keys = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    parts = unit_sums(rows, y, smooths, linear, by, unit).mapInPandas(outer, f"{keys}, units double, centre array<double>, taken array<double>")
     cells = parts.select(*by, "units", "centre", F.posexplode("taken").alias("i", "v"))
     taken = cells.groupBy(*by, "i").agg(F.sum("v").alias("v"))
     # exactly k(k+1)/2 entries a group
@@ -343,8 +350,10 @@ def additive_random(df: DataFrame, y: str, smooths, by, group: str, linear=()) -
     """Gaussian additive model with a random intercept per ``group``: its
     smooths and the variance components.
 
-    Groups enter through their summed block; for each candidate variance ratio
-    the blocks are weighted and added, partially inside each task.  The ratio
+    Groups enter through their column sums only: at a variance ratio t a group
+    of n rows takes t / (1 + n t) times the outer product of its sums from the
+    model's cross products.  Tasks add these up for each candidate; the ratios
+    are sent to them where the models are few (counted first).  The ratio
     minimises the restricted criterion: first on a coarse grid from 0 to 1e4,
     where each ratio chooses its penalties, then on ever finer grids around the
     best one with that one's penalties.  A grid whose last ratio is best is
@@ -353,10 +362,11 @@ def additive_random(df: DataFrame, y: str, smooths, by, group: str, linear=()) -
     by = _names(by)
     # one knot range per model, so the blocks of all groups add up
     d = df.dropna(subset=[y, *smooths, *linear, *by, group])
-    d = d.select(*by, group, *dict.fromkeys([y, *smooths, *linear]))
+    d = cut(d.select(*by, group, *dict.fromkeys([y, *smooths, *linear])))
     ends = [f(c).cast("double").alias(f"__{n}_{c}") for c in smooths for n, f in (("lo", F.min), ("hi", F.max))]
-    rows = merge(d, d.groupBy(*by).agg(*ends), by=by)
-    sums = cut(blocks(rows, y, smooths, linear, [*by, group]))
+    rows = merge_few(d, cut(d.groupBy(*by).agg(*ends)), by)
+    whole = cut(blocks(rows, y, smooths, linear, by))
+    sums = cut(unit_sums(rows, y, smooths, linear, by, group))
     k = 2 + len(linear) + BASIS * len(smooths)
     coarse = [0.0, *(float(v) for v in 10.0 ** np.linspace(-4, 4, 17))]
     keys = ", ".join(f"`{c}` {sums.schema[c].dataType.simpleString()}" for c in by)
@@ -364,26 +374,23 @@ def additive_random(df: DataFrame, y: str, smooths, by, group: str, linear=()) -
 
     def weigh(batches):
         for pdf in batches:
-            acc: dict = {}
-            for r in pdf.to_dict("records"):
-                key = tuple(r[c] for c in by)
-                m, n, ratios = full(r["sums"], k), float(r["n"]), np.asarray(r["ratios"], float)
-                block = m[iu][None, :] - (ratios / (1 + n * ratios))[:, None] * np.outer(m[0], m[0])[iu][None, :]
-                old = acc.get(key, (None, 0.0, 0.0, 0.0))
-                acc[key] = (ratios, old[1] + n, old[2] + block, old[3] + np.log1p(n * ratios))
-            out = [
-                key + (float(t), n, b.tolist(), float(ld))
-                for key, (ts, n, bs, lds) in acc.items() for t, b, ld in zip(ts, bs, lds)
-            ]
-            yield pd.DataFrame(out, columns=[*by, "ratio", "n", "sums", "logdet"])
+            out = []
+            for key, g in pdf.groupby(by, dropna=False, sort=False):
+                at, ratios = np.stack(g["sums"].to_numpy()), np.asarray(g["ratios"].iloc[0], float)
+                n = at[:, 0]
+                for t in ratios:
+                    taken = (at * (t / (1 + n * t))[:, None]).T @ at
+                    out.append((*key, float(t), taken[iu].tolist(), float(np.log1p(n * t).sum())))
+            yield pd.DataFrame(out, columns=[*by, "ratio", "taken", "logdet"])
+
+    width = k * (k + 1) // 2
 
     def weighted(grids):
-        j = merge(sums, grids.select(*by, "ratios"), by=by)
-        parts = j.mapInPandas(weigh, f"{keys}, ratio double, n double, sums array<double>, logdet double")
-        width = k * (k + 1) // 2
+        parts = merge_few(sums, grids.select(*by, "ratios"), by).mapInPandas(weigh, f"{keys}, ratio double, taken array<double>, logdet double")
         per = parts.groupBy(*by, "ratio").agg(
-            F.sum("n").alias("n"), F.sum("logdet").alias("logdet"), F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(width)]).alias("sums"))
-        return merge(per, grids.select(*by, "lams"), by=by)
+            F.sum("logdet").alias("logdet"), F.array(*[F.sum(F.get("taken", F.lit(i))) for i in range(width)]).alias("taken"))
+        per = merge(merge(per, whole, by=by), grids.select(*by, "lams"), by=by)
+        return per.withColumn("sums", F.zip_with("sums", "taken", lambda a, b: a - b)).drop("taken")
 
     def best_of(pdf: pd.DataFrame):
         best = None

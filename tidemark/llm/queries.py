@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import align, bpe, chat, counts, decontaminate, factors, neardup, pages, quality, runs, sketch, sql, suffixes, urls
+from . import align, bpe, chat, counts, decontaminate, factors, neardup, ngrams, pages, runs, sketch, sql, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -60,7 +60,7 @@ def op1_document_fingerprints(spark, folder):
 @query
 def op9_quality_classifier(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
-    out = quality.judge(docs, table(spark, folder, "labels"))
+    out = ngrams.judge(docs, table(spark, folder, "labels"))
     return out.select("doc_id", "lang", "n_symbols", "perplexity", "deviation", "kept")
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_quality import folds
 
+import corpus_pipeline
 from tidemark.llm import ngrams, queries
 
 
@@ -76,19 +77,30 @@ def test_against_brute_force(spark):
     assert all(r.kept and r.perplexity is None for r in ngrams.judge(docs, labels.limit(0)).collect())
 
 
-def test_words_beyond_ascii_are_learned(spark, tmp_path):
-    """The query tells junk from prose where both are runs of one byte class."""
+def prose_and_junk(spark, folder):
+    """Tables of Cyrillic words, and of random letters under keys from 100 on: runs of one byte class both."""
     rnd = np.random.default_rng(4)
     words = ["\u0434\u043e\u043c", "\u0440\u0435\u043a\u0430", "\u043b\u0435\u0441", "\u043c\u043e\u0440\u0435", "\u0433\u043e\u0440\u0430"]
     letters = [chr(c) for c in range(0x430, 0x450)]
     rows = [(i, " ".join(rnd.choice(words, 40)), "ru") for i in range(60)]
     junk = [(100 + i, "".join(c if c == " " else str(rnd.choice(letters)) for c in rows[i][1]), "ru") for i in range(5)]
-    spark.createDataFrame(rows + junk, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(rows + junk, "doc_id long, text string, lang string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_words_beyond_ascii_are_learned(spark, tmp_path):
+    prose_and_junk(spark, tmp_path)
     got = {r.doc_id: r for r in queries.op9_quality_classifier(spark, str(tmp_path)).collect()}
     assert len(got) == 65 and not any(got[100 + i].kept for i in range(5)) and sum(got[i].kept for i in range(60)) >= 57
 
 
+def test_pipeline_stage_learns_words(spark, tmp_path):
+    prose_and_junk(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.good_quality(spark, docs, str(tmp_path)).collect()}
+    assert max(kept) < 100 and len(kept) >= 57
+
+
 def test_limits_at_the_stated_rate(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))

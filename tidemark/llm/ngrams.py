@@ -28,7 +28,7 @@ ORDER, WIDE = 4, 8  # symbols of context and next one; bits of a symbol
 BITS = ORDER * WIDE
 BYTES = np.arange(256, dtype=np.int64)
 BYTES[ord("0"): ord("9") + 1] = ord("0")  # numbers and keys are as likely as any other
-SLAB = 8 << 20  # bytes of text; a longer document stands alone
+SLAB = 16 << 20  # bytes of text; a longer document stands alone
 PART = 1 << 19  # bytes worked on at once
 
 
@@ -51,29 +51,35 @@ def _counted(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key >> BITS), pa.array(key & ((1 << BITS) - 1)), pa.array(n)], ["fold", "code", "n"])
 
 
-def _packed(batches):
-    for batch in batches:
-        _, offsets = text_buffer(batch.column("text"))
-        for a, b in row_groups(offsets, SLAB):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(batch.slice(a, b - a))
-            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["slab", "rows"])
+def _blob(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def _unpacked(blob) -> pa.RecordBatch:
     return next(iter(pa.ipc.open_stream(blob.as_buffer())))
 
 
-def _requests(batches):
+def _packed(batches):
+    """Rows in slabs, each with the distinct keys of its bytes as differences."""
     for batch in batches:
-        for slab, blob in zip(batch.column("slab"), batch.column("rows")):
-            rows = _unpacked(blob)
+        _, offsets = text_buffer(batch.column("text"))
+        for a, b in row_groups(offsets, SLAB):
+            rows = batch.slice(a, b - a)
             found = [np.unique(key) for _, _, key, _ in _parts(rows.column("text"), np.asarray(rows.column("fold")))]
-            if found:
-                key = np.unique(np.concatenate(found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([slab.as_py()] * len(key)), pa.array(key >> BITS), pa.array(key & ((1 << BITS) - 1))], ["slab", "fold", "code"])
+            key = np.unique(np.concatenate([np.empty(0, np.int64), *found]))
+            keys = pa.RecordBatch.from_arrays([pa.array(np.diff(key, prepend=0))], ["key"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([uuid.uuid4().int >> 65]), pa.array([_blob(rows)], pa.binary()), pa.array([_blob(keys)], pa.binary())], ["slab", "rows", "asked"])
+
+
+def _requests(batches):
+    for batch in batches:
+        for slab, blob in zip(batch.column("slab"), batch.column("asked")):
+            key = np.cumsum(np.asarray(_unpacked(blob).column("key")), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), slab.as_py())), pa.array(key)], ["slab", "key"])
 
 
 def _scored(batches):
@@ -109,13 +115,13 @@ def _opened(scored: DataFrame, rows: DataFrame, names: list[str]) -> DataFrame:
 
 def score(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """Slabs of ``rows`` (text, fold and others) with each row's n_symbols and surprise, by the model of ``counts`` (fold, code, n)."""
-    slabs = cut(rows.mapInArrow(_packed, "slab string, rows binary"))
-    requests = cut(slabs.mapInArrow(_requests, "slab string, fold long, code long"))
-    model = kneser_ney(counts, requests.select("fold", "code").distinct(), ORDER, WIDE)
-    key = F.shiftleft("fold", BITS).bitwiseOR(F.col("code"))
-    told = requests.join(model, ["fold", "code"]).select("slab", F.struct(key.alias("key"), (-F.log("p")).alias("surprise")).alias("told"))
-    # a slab's list is no longer than its text
-    told = told.groupBy("slab").agg(F.collect_list("told").alias("told")).select("slab", F.col("told.key").alias("keys"), F.col("told.surprise").alias("surprises"))
+    slabs = cut(rows.mapInArrow(_packed, "slab long, rows binary, asked binary"))
+    requests = slabs.select("slab", "asked").mapInArrow(_requests, "slab long, key long")
+    needed = requests.select("key").distinct().select(F.shiftright("key", BITS).alias("fold"), F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)).alias("code"))
+    model = kneser_ney(counts, cut(needed), ORDER, WIDE)
+    model = model.select(F.shiftleft("fold", BITS).bitwiseOR(F.col("code")).alias("key"), (-F.log("p")).alias("surprise"))
+    # a slab's lists are no longer than its text; both are filled row by row, none is null
+    told = requests.join(model, "key").groupBy("slab").agg(F.collect_list("key").alias("keys"), F.collect_list("surprise").alias("surprises"))
     return cut(slabs.join(told, "slab", "left").select("rows", "keys", "surprises").mapInArrow(
         _scored, "rows binary, n_symbols array<long>, surprise array<double>"))
 

@@ -3,8 +3,10 @@
 import math
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_quality import folds
@@ -101,6 +103,64 @@ def test_pipeline_stage_learns_words(spark, tmp_path):
     assert max(kept) < 100 and len(kept) >= 57
 
 
+def random_words(spark, folder, n=3000, size=1000):
+    """Texts that pack badly and yet have few n-grams; returns their bytes."""
+    rnd = np.random.default_rng(9)
+    rows = [(i, bytes(rnd.choice(np.frombuffer(b"abcdefgh ", np.uint8), size)).decode(), "en") for i in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(n)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return n * size
+
+
+def test_texts_are_shuffled_once_and_not_stored(spark, tmp_path, monkeypatch, capsys):
+    size = random_words(spark, tmp_path)
+    kept, cut = [], ngrams.cut
+
+    def watched(df):
+        kept.append(df)
+        return cut(df)
+
+    monkeypatch.setattr(ngrams, "cut", watched)
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = sum(p.stat().st_size for p in shared.rglob("*") if p.is_file())
+    out = queries.op9_quality_classifier(spark, str(tmp_path))
+    assert sum(p.stat().st_size for p in shared.rglob("*") if p.is_file()) - before < 0.4 * size
+    scored = next(df for df in kept if "surprise" in df.columns and "rows" in df.columns)
+    capsys.readouterr()
+    scored.explain()
+    told = capsys.readouterr().out.split("Initial Plan")[0]
+    assert "isFinalPlan=true" in told and "ReusedExchange" in told
+    assert out.count() == 3000 and out.where("perplexity is null or n_symbols <> 1000").count() == 0
+
+
+def test_with_and_without_texts(spark, tmp_path):
+    random_words(spark, tmp_path, 80, 200)
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.union(docs.limit(3)).union(spark.createDataFrame([(None, None, "en"), (7, "", None)], docs.schema))
+    whole, narrow = ngrams.judge(docs, labels), ngrams.judge(docs, labels, with_text=False)
+    assert narrow.columns == [c for c in whole.columns if c != "text"]
+    assert sorted(map(str, whole.drop("text").collect())) == sorted(map(str, narrow.collect()))
+    assert sorted(map(str, whole.select("doc_id", "text").collect())) == sorted(map(str, docs.select("doc_id", "text").collect()))
+    assert ngrams.judge(docs, labels.limit(0), with_text=False).columns == narrow.columns
+
+
+def test_answers_to_other_questions_are_an_error():
+    rows = pa.RecordBatch.from_pydict({"doc": [1], "fold": [0], "text": ["abcd"]})
+    (_, key), = ngrams._slabs([rows])
+    asked = ngrams._blob(pa.RecordBatch.from_pydict({"key": np.diff(key, prepend=0)}))
+
+    def scored(keys):
+        told = {"rows": [ngrams._blob(rows)], "asked": [asked], "keys": [keys], "surprises": [keys and [1.0] * len(keys)]}
+        types = [pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+        batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(told.values(), types)], [*told])
+        return next(ngrams._scored([batch], ["doc"]))
+
+    assert scored(key.tolist()[::-1]).column("surprise").to_pylist() == [[1.0]]
+    for wrong in (key.tolist()[1:], [*key.tolist(), 5], None):
+        with pytest.raises(ValueError, match="answers"):
+            scored(wrong)
+
+
 def test_limits_at_the_stated_rate(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))

@@ -2,20 +2,23 @@
 
 The model is ``quality``'s interpolated modified Kneser-Ney one of order four, on
 bytes of which only the digits are taken for one.  Its counts are a Spark table that grows with the trusted text.
-Documents are packed into slabs of some MB; a slab asks once for each distinct
-n-gram of its documents.  These requests are joined, sharded by n-gram, to the
-counts, contexts' totals and lower orders, and the answers go back to the slab,
-where every document's surprises are added up.  An n-gram is requested at most
-once a slab and a context has at most 256 successors, so no key is hot.  Folds,
-limits and odd rows are as in ``quality.judge``.
+The documents' distinct n-grams are joined, sharded by n-gram, to the counts,
+contexts' totals and lower orders.  Documents are packed into slabs of some MB; a
+slab asks once for each distinct n-gram of its documents, and the answers go back
+to the slab, where every document's surprises are added up.  An n-gram is
+requested at most once a slab and a context has at most 256 successors, so no key
+is hot.  Slabs are shuffled once, and both the requests and the scores are made
+from that one shuffle; texts are on disk a second time only where they are part of
+the result.  Folds, limits and odd rows are as in ``quality.judge``.
 """
 
 from __future__ import annotations
 
-import uuid
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,42 +65,59 @@ def _unpacked(blob) -> pa.RecordBatch:
     return next(iter(pa.ipc.open_stream(blob.as_buffer())))
 
 
-def _packed(batches):
-    """Rows in slabs, each with the distinct keys of its bytes as differences."""
+def _slabs(batches):
+    """Rows of some MB of text with the distinct keys of their bytes, ascending."""
     for batch in batches:
         _, offsets = text_buffer(batch.column("text"))
         for a, b in row_groups(offsets, SLAB):
             rows = batch.slice(a, b - a)
             found = [np.unique(key) for _, _, key, _ in _parts(rows.column("text"), np.asarray(rows.column("fold")))]
-            key = np.unique(np.concatenate([np.empty(0, np.int64), *found]))
-            keys = pa.RecordBatch.from_arrays([pa.array(np.diff(key, prepend=0))], ["key"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().int >> 65]), pa.array([_blob(rows)], pa.binary()), pa.array([_blob(keys)], pa.binary())], ["slab", "rows", "asked"])
+            yield rows, np.unique(np.concatenate([np.empty(0, np.int64), *found]))
+
+
+def _seen(batches):
+    for _, key in _slabs(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
+
+
+def _packed(batches):
+    """Slabs, numbered by task and place in it, each with its keys as differences."""
+    first = TaskContext.get().partitionId() << 32
+    for i, (rows, key) in enumerate(_slabs(batches)):
+        keys = pa.RecordBatch.from_arrays([pa.array(np.diff(key, prepend=0))], ["key"])
+        yield pa.RecordBatch.from_arrays([pa.array([first + i]), pa.array([_blob(rows)], pa.binary()), pa.array([_blob(keys)], pa.binary())], ["slab", "rows", "asked"])
+
+
+def _asked(blob) -> np.ndarray:
+    return np.cumsum(np.asarray(_unpacked(blob).column("key")), dtype=np.int64)
 
 
 def _requests(batches):
     for batch in batches:
         for slab, blob in zip(batch.column("slab"), batch.column("asked")):
-            key = np.cumsum(np.asarray(_unpacked(blob).column("key")), dtype=np.int64)
+            key = _asked(blob)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), slab.as_py())), pa.array(key)], ["slab", "key"])
 
 
-def _scored(batches):
-    """Each row's length and mean surprise, as lists beside the packed rows."""
+def _scored(batches, names):
+    """Each row's length and mean surprise, as lists beside columns ``names`` of the packed rows."""
     for batch in batches:
-        for blob, keys, values in zip(*(batch.column(c) for c in ("rows", "keys", "surprises"))):
-            rows = _unpacked(blob)
+        for blob, asked, keys, values in zip(*(batch.column(c) for c in ("rows", "asked", "keys", "surprises"))):
+            rows, asked = _unpacked(blob), _asked(asked)
             n, sums = np.diff(text_buffer(rows.column("text"))[1]), np.zeros(rows.num_rows)
-            if keys.is_valid:
-                keys, values = np.asarray(keys.values), np.asarray(values.values)
+            if len(asked):
+                keys, values = (np.asarray(x.values if x.is_valid else []) for x in (keys, values))
                 order = np.argsort(keys)
                 keys, values = keys[order], values[order]
+                if not np.array_equal(keys, asked):
+                    raise ValueError("a slab's answers are not those it asked for: the documents changed between two reads")
                 for a, b, key, edges in _parts(rows.column("text"), np.asarray(rows.column("fold"))):
                     total = np.concatenate([[0.0], np.cumsum(values[np.searchsorted(keys, key)])])
                     sums[a:b] += total[edges[1:]] - total[edges[:-1]]
             mean = np.where(n > 0, sums / np.maximum(n, 1), np.nan)
+            told = blob.as_py() if names == rows.schema.names else _blob(rows.select(names))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([blob.as_py()], pa.binary()), pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([mean.tolist()], pa.list_(pa.float64()))],
+                [pa.array([told], pa.binary()), pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([mean.tolist()], pa.list_(pa.float64()))],
                 ["rows", "n_symbols", "surprise"])
 
 
@@ -113,25 +133,31 @@ def _opened(scored: DataFrame, rows: DataFrame, names: list[str]) -> DataFrame:
     return scored.mapInArrow(run, schema_of(rows.select(*names), n_symbols="long", surprise="double"))
 
 
-def score(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Slabs of ``rows`` (text, fold and others) with each row's n_symbols and surprise, by the model of ``counts`` (fold, code, n)."""
-    slabs = cut(rows.mapInArrow(_packed, "slab long, rows binary, asked binary"))
-    requests = slabs.select("slab", "asked").mapInArrow(_requests, "slab long, key long")
-    needed = requests.select("key").distinct().select(F.shiftright("key", BITS).alias("fold"), F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)).alias("code"))
+def score(rows: DataFrame, counts: DataFrame, names: list[str]) -> DataFrame:
+    """Slabs of columns ``names`` of ``rows`` (text, fold and others) with each row's n_symbols and surprise, by the model of ``counts`` (fold, code, n)."""
+    seen = rows.select("text", "fold").mapInArrow(_seen, "key long").distinct()
+    needed = seen.select(F.shiftright("key", BITS).alias("fold"), F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)).alias("code"))
     model = kneser_ney(counts, cut(needed), ORDER, WIDE)
     model = model.select(F.shiftleft("fold", BITS).bitwiseOR(F.col("code")).alias("key"), (-F.log("p")).alias("surprise"))
+    # both uses of the slabs take all their columns, so that Spark shuffles them once for the two
+    slabs = rows.mapInArrow(_packed, "slab long, rows binary, asked binary").repartition("slab")
+    requests = slabs.mapInArrow(_requests, "slab long, key long")
     # a slab's lists are no longer than its text; both are filled row by row, none is null
     told = requests.join(model, "key").groupBy("slab").agg(F.collect_list("key").alias("keys"), F.collect_list("surprise").alias("surprises"))
-    return cut(slabs.join(told, "slab", "left").select("rows", "keys", "surprises").mapInArrow(
-        _scored, "rows binary, n_symbols array<long>, surprise array<double>"))
+    return cut(slabs.join(told, "slab", "left").mapInArrow(partial(_scored, names=names), "rows binary, n_symbols array<long>, surprise array<double>"))
+
 
+def judge(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, with_text: bool = True) -> DataFrame:
+    """``docs`` with n_symbols (bytes), perplexity (per byte), deviation and kept, as ``quality.judge`` defines them, by the model of byte n-grams.
 
-def judge(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """``docs`` with n_symbols (bytes), perplexity (per byte), deviation and kept, as ``quality.judge`` defines them, by the model of byte n-grams."""
+    ``with_text=False`` leaves the text column out, and the texts are not written again beside their scores.
+    """
     rows, own = _rows(docs), [*OWN, "kept"]
+    columns = [c for c in docs.columns if with_text or c != "text"]
     counts = cut(learned(docs, labels, _counted))
     if counts.select("fold").distinct().count() < FOLDS:
-        return released(_unjudged(rows), docs.columns, own)
-    scored = score(rows, counts)
+        return released(_unjudged(rows), columns, own)
+    scored = score(rows, counts, [c for c in rows.columns if with_text or c != "text"])
     limits = cut(_limits(_opened(scored, rows, ["doc", "lang"]), labels, low, high))
-    return released(_judged(_opened(scored, rows, ["text", "lang", "rest"]), limits), docs.columns, own)
+    told = [*["text"] * with_text, "lang", "rest"]
+    return released(_judged(_opened(scored, rows, told), limits), columns, own)

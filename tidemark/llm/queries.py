@@ -60,7 +60,7 @@ def op1_document_fingerprints(spark, folder):
 @query
 def op9_quality_classifier(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
-    out = ngrams.judge(docs, table(spark, folder, "labels"))
+    out = ngrams.judge(docs, table(spark, folder, "labels"), with_text=False)
     return out.select("doc_id", "lang", "n_symbols", "perplexity", "deviation", "kept")
 
 
